@@ -265,12 +265,12 @@ query(
 @query(
     "ind_15_avg_dollar_volume",
     check_sql(
-        f"SELECT symbol, date, round({_mean('close * volume', 20)}, 2) AS avg_dollar_volume FROM panel", "panel"
+        f"SELECT symbol, date, round({_mean('close * volume', 20)}, 8) AS avg_dollar_volume FROM panel", "panel"
     ),
 )
 def adv(spark, sf_dir):
     prices = market.panel(spark, sf_dir).prices
-    return prices.select("symbol", "date", rnd(ind.avg_dollar_volume(), "avg_dollar_volume", 2))
+    return prices.select("symbol", "date", rnd(ind.avg_dollar_volume(), "avg_dollar_volume", 8))
 
 
 @query(

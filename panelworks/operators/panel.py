@@ -108,35 +108,41 @@ def resample(panel: Panel, timeframe: str) -> Panel:
     return Panel(prices, labels, panel.symbols)
 
 
-def align(
+def asof(
+    targets: DataFrame,
     events: DataFrame,
-    sessions: DataFrame,
-    keys: DataFrame,
     columns: Sequence[str],
+    key: str = "symbol",
     carry: str = "value",
 ) -> DataFrame:
-    """Backward as-of onto keys x sessions, as union + window instead of a range join.
+    """Backward as-of join on ``date`` per ``key``, as union + window instead of a range join.
 
     ``carry='value'`` takes the last non-null value of every column on its own; ``carry='row'`` takes
-    the last event row as a whole, NULLs included. ``events`` must be unique per (key, date), so a
-    partition holds at most two rows per calendar day of its key.
+    the last event row as a whole, NULLs included. ``events`` is unique per (key, date), so a partition
+    holds at most one event per calendar day of its key plus the targets.
     """
-    key = keys.columns[0]
-    rows = events.select(key, "date", F.lit(0).alias("_kind"), *columns).unionByName(
-        grid(keys, sessions).withColumn("_kind", F.lit(1)), allowMissingColumns=True
+    own = [c for c in targets.columns if c not in (key, "date")]
+    rows = events.select(key, "date", F.lit(0).alias("_kind"), F.struct(*columns).alias("_event")).unionByName(
+        targets.withColumn("_kind", F.lit(1)), allowMissingColumns=True
     )
     w = Window.partitionBy(key).orderBy("date", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     if carry == "value":
-        picked = [F.last(c, ignorenulls=True).over(w).alias(c) for c in columns]
-        return rows.select(key, "date", "_kind", *picked).filter("_kind = 1").drop("_kind")
-    if carry != "row":
+        picked = [F.last(F.col("_event")[c], ignorenulls=True).over(w).alias(c) for c in columns]
+        found = rows.select(key, "date", "_kind", *own, *picked)
+    elif carry == "row":
+        found = rows.withColumn("_event", F.last("_event", ignorenulls=True).over(w)).select(
+            key, "date", "_kind", *own, *[F.col("_event")[c].alias(c) for c in columns]
+        )
+    else:
         raise ValueError(f"unknown carry mode: {carry}")
-    packed = F.when(F.col("_kind") == 0, F.struct(*columns))
-    return (
-        rows.select(key, "date", "_kind", F.last(packed, ignorenulls=True).over(w).alias("_row"))
-        .filter("_kind = 1")
-        .select(key, "date", *[F.col("_row")[c].alias(c) for c in columns])
-    )
+    return found.filter("_kind = 1").drop("_kind")
+
+
+def align(
+    events: DataFrame, sessions: DataFrame, keys: DataFrame, columns: Sequence[str], carry: str = "value"
+) -> DataFrame:
+    """As-of onto every session of every key; events dated on a weekend show at the next session."""
+    return asof(grid(keys, sessions), events, columns, keys.columns[0], carry)
 
 
 def fill_gaps(frame: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:

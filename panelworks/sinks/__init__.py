@@ -1 +1 @@
-
+"""Writers: run outputs, append-only logs, keyed upserts."""

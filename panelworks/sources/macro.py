@@ -36,11 +36,17 @@ def series_meta(spark: SparkSession, series=SERIES) -> DataFrame:
     return spark.createDataFrame(rows, META_SCHEMA)
 
 
-def read_series(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
-    """Date-indexed CSV files, one series each: first column the date, second the value; what does not
-    parse as a number is NULL. Without ``series_id`` the file name is the series."""
-    raw = spark.read.schema("date string, value string").option("header", True).csv(path)
-    name = F.lit(series_id) if series_id else F.regexp_extract("_metadata.file_name", r"^(.*)\.csv", 1)
+def read_series(spark: SparkSession, path: str, series_id: str | None = None, partitioned: bool = False) -> DataFrame:
+    """Date-indexed CSV files: first column the date, second the value; what does not parse as a number
+    is NULL. The series is given, or the directory's partition, or else the file name."""
+    schema = "date string, value string" + (", series_id string" if partitioned else "")
+    raw = spark.read.schema(schema).option("header", True).csv(path)
+    if partitioned:
+        name = F.col("series_id")
+    elif series_id is not None:
+        name = F.lit(series_id)
+    else:
+        name = F.regexp_extract("_metadata.file_name", r"^(.*)\.csv", 1)
     return raw.select(
         name.alias("series_id"),
         F.col("date").try_cast("date").alias("date"),
