@@ -115,13 +115,13 @@ def surprise(spark, sf_dir):
 
 @query(
     "fnd_05_market_value",
-    check_sql("SELECT symbol, date, price, shares, round(market_cap, 6) AS market_cap FROM valued", "valued"),
+    check_sql("SELECT symbol, date, price, shares, round(market_cap, 4) AS market_cap FROM valued", "valued"),
 )
 def market_value(spark, sf_dir):
     dates = tables.statements(spark, sf_dir).select("symbol", "period_end").distinct()
     prices = market.panel(spark, sf_dir).prices
     out = fnd.with_market_value(dates, prices, tables.company_info(spark, sf_dir), 45)
-    return r4(out.drop("period_end"), "market_cap", digits=6)
+    return r4(out.drop("period_end"), "market_cap", digits=4)
 
 
 ROUNDED = ", ".join(f"round({f}, 6) AS {f}" for f in FUNDAMENTAL)

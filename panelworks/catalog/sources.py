@@ -129,7 +129,7 @@ def write_snapshot(spark, sf_dir):
 def fund_file_body(spark, sf_dir):
     line = F.concat_ws(",", F.concat(F.lit('"'), "Ticker", F.lit('"')), "Name", "Sector", F.col("`Asset Class`"), F.col("`Weight (%)`"))
     body = F.concat_ws("\n", F.array_sort(F.collect_list(line)))
-    head = "﻿Fund Holdings\nAs of,today\n\n" + ",".join(holdings.RAW_COLUMNS) + "\n"
+    head = "\ufeffFund Holdings\nAs of,today\n\n" + ",".join(holdings.RAW_COLUMNS) + "\n"
     files = (
         raw_holdings(spark, sf_dir)
         .groupBy("snapshot_date")
@@ -137,7 +137,7 @@ def fund_file_body(spark, sf_dir):
     )
     path = staged(spark, "fund-files")
     files.repartition("snapshot_date").write.partitionBy("snapshot_date").text(path)
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     out = holdings.fund_file_rows(texts, keep=["snapshot_date"])
     return out.select("snapshot_date", "Ticker", "Name", F.col("`Weight (%)`").try_cast("double").alias("weight"))
 

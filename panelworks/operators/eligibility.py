@@ -72,3 +72,9 @@ def effective_window(requested: DataFrame, benchmark: DataFrame, membership: Dat
         .withColumn("effective_start", F.greatest("requested_start", "benchmark_start", "membership_start"))
         .withColumn("load_start", F.add_months("requested_start", -12 * (train_years + 2)))
     )
+
+
+def primary_window(frame: DataFrame, start: str, as_of_year: int | None = None) -> DataFrame:
+    """Dates from ``start`` on; with ``as_of_year`` also without that partial year and later ones."""
+    kept = frame.filter(F.col("date") >= F.lit(start).cast("date"))
+    return kept if as_of_year is None else kept.filter(F.year("date") < as_of_year)
