@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelworks.catalog import tables
+from panelworks.catalog import alignment, fundamentals, tables  # noqa: F401  (shared table expressions)
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, query
 from panelworks.functions.windows import padded_change

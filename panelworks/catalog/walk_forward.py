@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from panelworks.catalog import tables
+from panelworks.catalog import alignment, fundamentals, tables  # noqa: F401  (shared table expressions)
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, cte, query
 from panelworks.config import Config, Strategy, WalkForward
@@ -126,7 +126,7 @@ cte(
 
 
 def _context(spark, sf_dir) -> plan.MarketContext:
-    p = market.panel(spark, sf_dir)
+    p = market.stored_panel(spark, sf_dir)
     known = macro.known_at_open(macro.order_composite(spark, sf_dir), "macro_score").select("date", "macro_score")
     snaps = tables.snapshots(spark, sf_dir)
     return plan.MarketContext(
@@ -307,7 +307,7 @@ cte(
     "wf_12_live_screen",
     check_sql(
         f"""SELECT s.date, s.rank, s.symbol, round(s.score, 6) AS score, h.name, h.sector, round(h.weight_pct, 4) AS etf_weight_pct,
-        round(s.macro_score, 4) AS macro_composite FROM (SELECT r.*, CAST(row_number() OVER (ORDER BY score DESC, symbol) AS INTEGER) AS rank, t.n, t.macro_score FROM (
+        round(s.macro_score, 4) AS macro_composite FROM (SELECT r.*, CAST(row_number() OVER (ORDER BY r.score DESC, r.symbol) AS INTEGER) AS rank, t.n, t.macro_score FROM (
         SELECT u.symbol, u.date, sum(coalesce(u.x, 0) * w.weight) AS score FROM (
         {' UNION ALL '.join(f"SELECT symbol, date, '{f}' AS factor, {f} AS x FROM live_ranks" for f in FACTORS)}) u
         JOIN (SELECT factor, CASE WHEN fund THEN 0.25 ELSE 0.75 END * {NORMAL.format(w='(PARTITION BY fund)')} AS weight
@@ -340,7 +340,7 @@ def live_screen(spark, sf_dir):
     ),
 )
 def alpha_blend(spark, sf_dir):
-    p = market.panel(spark, sf_dir)
+    p = market.stored_panel(spark, sf_dir)
     alphas = spark.createDataFrame([(a,) for a in (0.0, 0.25, 0.5, 0.75, 1.0)], "alpha double")
     trend = tables.tech_known(p, ("trend_filter",))
     both = tables.scores(spark, sf_dir, p).join(trend, ["symbol", "date"])

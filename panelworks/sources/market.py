@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelworks.operators.panel import Panel, densify
+from panelworks.operators.stage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,14 @@ def panel(spark: SparkSession, sf_dir: str, by: str = "brand") -> Panel:
     return densify(bars(spark, sf_dir, by), sessions(spark, sf_dir), symbols(spark, sf_dir, by))
 
 
+def stored_panel(spark: SparkSession, sf_dir: str, by: str = "brand") -> Panel:
+    """Panel written out once, for analyses that read it from several places: ingest, aggregation and
+    densification then run once instead of once per use."""
+    p = panel(spark, sf_dir, by)
+    prices = materialize(p.prices, "panel")
+    return Panel(prices, materialize(p.sessions, "sessions"), materialize(p.symbols, "symbols"))
+
+
 def benchmark(prices: DataFrame) -> DataFrame:
     """Volume-weighted close of all symbols per session."""
     return prices.groupBy("date").agg(
