@@ -13,6 +13,7 @@ from panelworks.operators import fundamentals as fnd
 from panelworks.operators.eligibility import base_mask
 from panelworks.operators.indicators import technical_factors
 from panelworks.operators.panel import Panel, lag_for_open
+from panelworks.operators.stage import materialize
 from panelworks.operators.xsection import cross_sectional_rank
 from panelworks.sources import holdings, market, statements as stm
 
@@ -265,3 +266,8 @@ def scores(spark, sf_dir, p: Panel) -> DataFrame:
         .select("date", "symbol", (total / 3).alias("score"))
         .filter("score > 1e-9")
     )
+
+
+def stored_scores(spark, sf_dir, p: Panel) -> DataFrame:
+    """Scores written out, for queries that read them several times."""
+    return materialize(scores(spark, sf_dir, p), "scores")

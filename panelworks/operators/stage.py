@@ -23,4 +23,4 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{stage_dir(spark)}/panelworks/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
