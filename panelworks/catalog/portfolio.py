@@ -122,17 +122,22 @@ def prices(spark, sf_dir):
     return trade_prices(market.panel(spark, sf_dir).prices)
 
 
-@query("pf_02_weighted_equity", check_sql("SELECT run_id, date, round(equity, 4) AS equity FROM wt_equity", "wt_equity"))
+def _logged(equity):
+    """Unit prices of the driver tables jump by factors, so curves are compared on a log scale."""
+    return equity.select("run_id", "date", F.round(F.ln("equity"), 8).alias("log_equity"))
+
+
+@query("pf_02_weighted_equity", check_sql("SELECT run_id, date, round(ln(equity), 8) AS log_equity FROM wt_equity", "wt_equity"))
 def equity(spark, sf_dir):
-    return r4(weighted_equity(spark, sf_dir)[1], "equity")
+    return _logged(weighted_equity(spark, sf_dir)[1])
 
 
-@query("pf_03_full_turnover_equity", check_sql("SELECT run_id, date, round(equity, 4) AS equity FROM ft_equity", "ft_equity"))
+@query("pf_03_full_turnover_equity", check_sql("SELECT run_id, date, round(ln(equity), 8) AS log_equity FROM ft_equity", "ft_equity"))
 def full_turnover(spark, sf_dir):
     p = market.stored_panel(spark, sf_dir)
     px = trade_prices(p.prices)
     v = pf.value(pf.equal_targets(base_targets(spark, sf_dir, p)), px, 0.0005, CAPITAL, skip_unchanged=False, sequential=False)
-    return r4(pf.equity_curve(v, px, p.sessions, CAPITAL), "equity")
+    return _logged(pf.equity_curve(v, px, p.sessions, CAPITAL))
 
 
 @query("pf_04_keep_overlap_equity")
@@ -140,7 +145,7 @@ def keep_overlap(spark, sf_dir):
     p = market.stored_panel(spark, sf_dir)
     px = trade_prices(p.prices)
     v = pf.keep_overlap(base_targets(spark, sf_dir, p), px, 0.0005, CAPITAL)
-    return r4(pf.equity_curve(v, px, p.sessions, CAPITAL), "equity")
+    return _logged(pf.equity_curve(v, px, p.sessions, CAPITAL))
 
 
 cte(
@@ -156,13 +161,25 @@ cte(
 @query(
     "pf_05_trade_log",
     check_sql(
-        "SELECT run_id, date, action, symbol, round(shares, 6) AS shares, price, round(fee, 6) AS fee, round(pnl, 4) AS pnl, reason FROM wt_trades",
+        """SELECT run_id, date, action, symbol, round(ln(shares), 6) AS log_shares, price, round(ln(fee), 6) AS log_fee,
+        round(pnl / (shares * price), 6) AS pnl_share, reason FROM wt_trades""",
         "wt_trades",
     ),
 )
 def trade_log(spark, sf_dir):
     p, px, v = weighted(spark, sf_dir)
-    return r4(r4(pf.trades(v, px, p.sessions, COST), "shares", "fee", digits=6), "pnl")
+    fills = pf.trades(v, px, p.sessions, COST)
+    return fills.select(
+        "run_id",
+        "date",
+        "action",
+        "symbol",
+        F.round(F.ln("shares"), 6).alias("log_shares"),
+        "price",
+        F.round(F.ln("fee"), 6).alias("log_fee"),
+        F.round(F.col("pnl") / (F.col("shares") * F.col("price")), 6).alias("pnl_share"),
+        "reason",
+    )
 
 
 @query(
@@ -269,13 +286,13 @@ def sized_screen(spark, sf_dir):
 
 @query(
     "snk_01_run_outputs",
-    check_sql("SELECT run_id, count(*) AS sessions, round(max(equity), 4) AS peak FROM wt_equity GROUP BY run_id", "wt_equity"),
+    check_sql("SELECT run_id, count(*) AS sessions, round(ln(max(equity)), 6) AS log_peak FROM wt_equity GROUP BY run_id", "wt_equity"),
 )
 def run_outputs(spark, sf_dir):
     path = staged(spark, "outputs")
     sink.write_run_outputs(path, equity=weighted_equity(spark, sf_dir)[1])
     back = spark.read.parquet(f"{path}/equity")
-    return r4(back.groupBy("run_id").agg(F.count("*").alias("sessions"), F.max("equity").alias("peak")), "peak")
+    return back.groupBy("run_id").agg(F.count("*").alias("sessions"), F.round(F.ln(F.max("equity")), 6).alias("log_peak"))
 
 
 LOG_SCHEMA = "mode string, priority int, action string, symbol string, target_weight double"

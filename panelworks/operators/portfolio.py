@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.functions.scalar import ratio
+from panelworks.operators.stage import materialize
 
 RUN = Window.partitionBy("run_id").orderBy("date")
 
@@ -60,29 +61,24 @@ def value(
     rank order matters; otherwise every name gets its weight of the cash at hand. ``cost`` is a rate
     per side.
     """
-    t = executed(targets, px, skip_unchanged)
-    c = F.lit(cost)
+    t = executed(materialize(targets, "targets"), px, skip_unchanged)
     scale = F.when(F.col("_total") > 1 + 1e-9, F.col("_total")).otherwise(F.lit(1.0))
-    t = t.withColumn("weight", F.col("weight") / scale)
-    buys = t.filter("open > 0")
-    if sequential:
-        before = (
-            Window.partitionBy("run_id", "date").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        left = F.coalesce(F.product(1 - F.col("weight")).over(before), F.lit(1.0))
-        buys = buys.withColumn("eff", F.col("weight") * left)
-    else:
-        buys = buys.withColumn("eff", F.col("weight"))
+    priced = F.col("open") > 0
+    t = t.withColumn("weight", F.when(priced, F.col("weight") / scale))
+    before = Window.partitionBy("run_id", "date").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.product(1 - F.col("weight")).over(before), F.lit(1.0)) if sequential else F.lit(1.0)
     exits = px.select("symbol", F.col("date").alias("until"), F.col("open_px").alias("open_next"))
-    buys = buys.join(exits, ["symbol", "until"], "left")
-    grown = F.col("eff") * (1 - c) * (1 - c) * ratio("open_next", "open")
-    dates = t.select("run_id", "date", "until").distinct()
-    sums = buys.groupBy("run_id", "date").agg(F.sum("eff").alias("_used"), F.sum(grown).alias("_grown"))
-    periods = dates.join(sums, ["run_id", "date"], "left").withColumn("_rest", 1 - F.coalesce("_used", F.lit(0.0)))
-    periods = periods.withColumn("_factor", F.col("_rest") + F.coalesce("_grown", F.lit(0.0)))
-    past = RUN.rowsBetween(Window.unboundedPreceding, -1)
-    periods = periods.withColumn("capital", capital * F.coalesce(F.product("_factor").over(past), F.lit(1.0)))
-    positions = buys.join(periods.select("run_id", "date", "capital"), ["run_id", "date"]).select(
+    fills = t.withColumn("eff", F.col("weight") * left).join(exits, ["symbol", "until"], "left")
+    # everything below reads the fills, several times over
+    fills = materialize(fills.select("run_id", "date", "until", "rank", "symbol", "open", "open_next", "eff"), "fills")
+    grown = F.col("eff") * (1 - cost) * (1 - cost) * ratio("open_next", "open")
+    periods = fills.groupBy("run_id", "date", "until").agg(
+        (1 - F.coalesce(F.sum("eff"), F.lit(0.0))).alias("_rest"), F.coalesce(F.sum(grown), F.lit(0.0)).alias("_grown")
+    )
+    growth = F.product(F.col("_rest") + F.col("_grown")).over(RUN.rowsBetween(Window.unboundedPreceding, -1))
+    periods = periods.withColumn("capital", capital * F.coalesce(growth, F.lit(1.0)))
+    bought = fills.filter("eff is not null").join(periods.select("run_id", "date", "capital"), ["run_id", "date"])
+    positions = bought.select(
         "run_id",
         "date",
         "until",
@@ -92,7 +88,7 @@ def value(
         "open_next",
         "capital",
         (F.col("capital") * F.col("eff")).alias("cost_basis"),
-        ratio(F.col("capital") * F.col("eff") * (1 - c), "open").alias("shares"),
+        ratio(F.col("capital") * F.col("eff") * (1 - cost), "open").alias("shares"),
     )
     cash = periods.select("run_id", "date", "until", (F.col("capital") * F.col("_rest")).alias("cash"))
     return Valuation(positions, cash)
@@ -184,6 +180,7 @@ def keep_overlap(selections: DataFrame, px: DataFrame, cost: float, capital: flo
     per group; a group holds decisions x names ever selected of one run. Prices are joined beforehand and
     the daily curve is computed set-wise afterwards.
     """
+    selections = materialize(selections.select("run_id", "date", "rank", "symbol"), "selections")
     dates = selections.select("run_id", "date").distinct()
     names = selections.filter("symbol is not null").select("run_id", "symbol").distinct()
     opens = px.select("symbol", "date", F.col("open_px").alias("open"))
@@ -214,7 +211,7 @@ def keep_overlap(selections: DataFrame, px: DataFrame, cost: float, capital: flo
             out += [(run, day, s, n, None) for s, n in held.items()]
         return pd.DataFrame(out, columns=["run_id", "date", "symbol", "shares", "cash"])
 
-    state = book.groupBy("run_id").applyInPandas(carry, HELD_SCHEMA)
+    state = materialize(book.groupBy("run_id").applyInPandas(carry, HELD_SCHEMA), "held")
     until = dates.select("run_id", "date", F.lead("date").over(RUN).alias("until"))
     dated = state.join(until, ["run_id", "date"])
     periods = dated.filter("symbol is null").select("run_id", "date", "until", "cash")
