@@ -8,6 +8,7 @@ from panelworks.catalog import alignment, fundamentals, tables  # noqa: F401  (s
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, query
 from panelworks.functions.windows import padded_change
+from panelworks.operators import calendar as cal
 from panelworks.operators.panel import asof, grid
 from panelworks.operators.xsection import top_n
 from panelworks.sources import holdings, market
@@ -82,6 +83,28 @@ def screen_metadata(spark, sf_dir):
     return r4(r4(out, "score", digits=6), "weight_pct")
 
 
+@query(
+    "join_05_positions_against_targets",
+    check_sql(
+        """SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.date, b.date) AS date, CASE WHEN b.symbol IS NULL THEN 'SELL'
+        WHEN a.symbol IS NULL THEN 'BUY' ELSE 'HOLD' END AS action FROM (SELECT n.date, m.symbol FROM membership m JOIN
+        (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM rebal) r ON r.date = m.date JOIN rebal n ON n.date = r.nxt) a
+        FULL JOIN (SELECT date, symbol FROM membership WHERE date IN (SELECT date FROM rebal) AND date > (SELECT min(date) FROM rebal)) b
+        ON a.symbol = b.symbol AND a.date = b.date""",
+        "membership",
+        "rebal",
+    ),
+)
+def positions_against_targets(spark, sf_dir):
+    days = cal.rebalance_sessions(market.sessions(spark, sf_dir), "monthly")
+    near = F.broadcast(cal.neighbours(days))
+    members = tables.membership(spark, sf_dir).join(near, "date")
+    held = members.filter("next is not null").select("symbol", F.col("next").alias("date"), F.lit(1).alias("held"))
+    wanted = members.filter("previous is not null").select("symbol", "date", F.lit(1).alias("wanted"))
+    action = F.when(F.col("wanted").isNull(), "SELL").when(F.col("held").isNull(), "BUY").otherwise("HOLD")
+    return held.join(wanted, ["symbol", "date"], "full_outer").select("symbol", "date", action.alias("action"))
+
+
 @query(
     "join_06_returns_with_benchmark",
     check_sql(

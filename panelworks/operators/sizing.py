@@ -19,8 +19,7 @@ VOL_FLOOR = 0.001
 
 def top_n_equal_weights(scores: DataFrame, n: int, keys=("date",)) -> DataFrame:
     """Best ``n`` names with weight 1 over the names found."""
-    picks = top_n(scores, n, keys)
-    return picks.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(*keys)))
+    return equal_within(top_n(scores, n, keys), keys)
 
 
 def prior_volatility(prices: DataFrame, dates: DataFrame, lookback: int, need: int = 10) -> DataFrame:
@@ -149,3 +148,8 @@ def perturb(scores: DataFrame, runs: DataFrame, sigma: float) -> DataFrame:
     draw = standard_normal("run_id", F.col("date").cast("string"), "symbol")
     noisy = noisy.withColumn("score", F.col("score") + sigma * F.col("_scale") * draw)
     return noisy.filter("score > 0").select("run_id", "date", "symbol", "score")
+
+
+def equal_within(picks: DataFrame, keys=("date",)) -> DataFrame:
+    """Equal weights over the names already picked."""
+    return picks.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(*keys)))
