@@ -86,7 +86,7 @@ def _variant_metrics(spark, sf_dir):
     params = spark.createDataFrame(VARIANTS, "run_id string, n int, threshold double")
     s = tables.scores(spark, sf_dir, p).join(sizing.ratios(p), ["symbol", "date"], "left")
     kept = s.crossJoin(F.broadcast(params)).filter(~F.coalesce(F.col("ratio") < F.col("threshold"), F.lit(False)))
-    best = top_n(kept, F.col("n"), ["run_id", "date"])
+    best = top_n(kept, F.col("n"), ["run_id", "date"], at_most=3)
     return _run_metrics(p, sz.equal_within(best, ["run_id", "date"]))
 
 

@@ -43,15 +43,15 @@ cte(
 )
 
 
-def snapshots(spark, sf_dir) -> DataFrame:
+def snapshots(spark, sf_dir, by: str = "brand", n: int = 20) -> DataFrame:
     quarter = F.add_months(F.trunc("date", "quarter"), 3)
-    q = market.trades(spark, sf_dir).groupBy(quarter.alias("snapshot_date"), F.col("symbol").alias("ticker"))
+    q = market.trades(spark, sf_dir, by).groupBy(quarter.alias("snapshot_date"), F.col("symbol").alias("ticker"))
     q = q.agg(F.sum("l_quantity").alias("q"))
     w = Window.partitionBy("snapshot_date")
     return (
         q.withColumn("total", F.sum("q").over(w))
         .withColumn("rn", F.row_number().over(w.orderBy(F.col("q").desc(), "ticker")))
-        .filter("rn <= 20")
+        .filter(F.col("rn") <= n)
         .select(
             "snapshot_date",
             "ticker",
@@ -67,9 +67,9 @@ def current_holdings(snaps: DataFrame) -> DataFrame:
     return snaps.join(F.broadcast(last), "snapshot_date", "left_semi").drop("snapshot_date")
 
 
-def membership(spark, sf_dir) -> DataFrame:
-    snaps = snapshots(spark, sf_dir)
-    days, names = market.sessions(spark, sf_dir), market.symbols(spark, sf_dir)
+def membership(spark, sf_dir, by: str = "brand", n: int = 20) -> DataFrame:
+    snaps = snapshots(spark, sf_dir, by, n)
+    days, names = market.sessions(spark, sf_dir), market.symbols(spark, sf_dir, by)
     return holdings.membership(days, names, snaps, current_holdings(snaps))
 
 
@@ -125,8 +125,8 @@ cte(
 )
 
 
-def statements(spark, sf_dir) -> DataFrame:
-    t = market.trades(spark, sf_dir)
+def statements(spark, sf_dir, by: str = "brand") -> DataFrame:
+    t = market.trades(spark, sf_dir, by)
     ends = F.array(
         F.struct(F.lit("quarterly").alias("freq"), F.date_sub(F.add_months(F.trunc("date", "quarter"), 3), 1).alias("period_end")),
         F.struct(F.lit("annual").alias("freq"), F.date_sub(F.add_months(F.trunc("date", "year"), 12), 1).alias("period_end")),
@@ -146,7 +146,7 @@ def statements(spark, sf_dir) -> DataFrame:
         .select("*", F.explode(ends).alias("p"))
         .groupBy("symbol", "p.freq", "p.period_end")
         .agg(*[F.sum(c).alias(c) for c in ("n", "ext", "disc", "tax", "qty", "n_qty", "r_qty")])
-        .withColumn("even", F.substring("symbol", 7, 9).cast("int") % 2 == 0)
+        .withColumn("even", F.coalesce(F.substring("symbol", 7, 9).try_cast("int"), F.lit(0)) % 2 == 0)
     )
     return sums.selectExpr("symbol", "freq", "period_end", f"stack(8, {STACKED_LINES}) AS (statement, label, value)")
 
@@ -160,16 +160,16 @@ def company_info(spark, sf_dir) -> DataFrame:
     )
 
 
-def earnings(spark, sf_dir) -> DataFrame:
-    t = market.trades(spark, sf_dir).groupBy("symbol", F.trunc("date", "month").alias("m"))
+def earnings(spark, sf_dir, by: str = "brand") -> DataFrame:
+    t = market.trades(spark, sf_dir, by).groupBy("symbol", F.trunc("date", "month").alias("m"))
     surprise = F.when(F.count("*") % 5 != 0, F.avg("l_discount") - 0.05)
     return t.agg(F.max("date").alias("date"), surprise.alias("surprise")).drop("m")
 
 
-def records(spark, sf_dir, prices: DataFrame, lag_days: int = 45, names=None) -> DataFrame:
-    rows = statements(spark, sf_dir)
+def records(spark, sf_dir, prices: DataFrame, lag_days: int = 45, names=None, by: str = "brand") -> DataFrame:
+    rows = statements(spark, sf_dir, by)
     chosen = stm.choose_labels(rows, stm.label_table(spark))
-    args = (chosen, rows.select("symbol", "period_end"), prices, company_info(spark, sf_dir), earnings(spark, sf_dir))
+    args = (chosen, rows.select("symbol", "period_end"), prices, company_info(spark, sf_dir), earnings(spark, sf_dir, by))
     return fnd.fundamental_records(*args, lag_days, *([names] if names else []))
 
 

@@ -125,15 +125,15 @@ cte(
 )
 
 
-def _context(spark, sf_dir) -> plan.MarketContext:
-    p = market.stored_panel(spark, sf_dir)
+def context(spark, sf_dir, by: str = "brand", members: int = 20) -> plan.MarketContext:
+    p = market.stored_panel(spark, sf_dir, by)
     known = macro.known_at_open(macro.order_composite(spark, sf_dir), "macro_score").select("date", "macro_score")
-    snaps = tables.snapshots(spark, sf_dir)
+    snaps = tables.snapshots(spark, sf_dir, by, members)
     return plan.MarketContext(
         panel=p,
-        membership=tables.membership(spark, sf_dir),
+        membership=tables.membership(spark, sf_dir, by, members),
         macro=known,
-        fundamentals=tables.records(spark, sf_dir, p.prices, names=tables.FUND),
+        fundamentals=tables.records(spark, sf_dir, p.prices, names=tables.FUND, by=by),
         holdings=tables.current_holdings(snaps),
     )
 
@@ -164,7 +164,7 @@ def clean_train(spark, sf_dir):
 
 @query("wf_04_information_coefficients", check_sql("SELECT factor, date, round(ic, 6) AS ic FROM ic_by_date", "ic_by_date"))
 def coefficients(spark, sf_dir):
-    ctx = _context(spark, sf_dir)
+    ctx = context(spark, sf_dir)
     days = tables.monthly(ctx.panel)
     ranks, _, factors = plan.ranked_factors(ctx, CONFIG, days)
     return r4(wf.information_coefficients(ranks, forward_open_returns(ctx.panel.prices, days), factors, 8), "ic", digits=6)
@@ -178,7 +178,7 @@ def coefficients(spark, sf_dir):
 )
 def normalized(spark, sf_dir):
     config = CONFIG.with_value("walk_forward.scheme", "legacy")
-    return r4(plan.build_factor_state(_context(spark, sf_dir), config).weights, "weight", digits=6)
+    return r4(plan.build_factor_state(context(spark, sf_dir), config).weights, "weight", digits=6)
 
 
 @query(
@@ -207,7 +207,7 @@ def explicit_weights(spark, sf_dir):
     ),
 )
 def schemes(spark, sf_dir):
-    state = plan.build_factor_state(_context(spark, sf_dir), CONFIG)
+    state = plan.build_factor_state(context(spark, sf_dir), CONFIG)
     legacy = plan.with_params(CONFIG, walk_forward__scheme="legacy", walk_forward__use_ic_weights=False)
     equal = CONFIG.with_value("walk_forward.scheme", "grouped_equal")
     parts = [("grouped_ic", state.weights)]
@@ -231,7 +231,7 @@ def target_counts(spark, sf_dir):
     check_sql("SELECT symbol, date, round(score, 6) AS score FROM wf_scores", "wf_scores"),
 )
 def scored_universe(spark, sf_dir):
-    state = plan.build_factor_state(_context(spark, sf_dir), CONFIG)
+    state = plan.build_factor_state(context(spark, sf_dir), CONFIG)
     return r4(plan.scored(state, CONFIG), "score", digits=6)
 
 
@@ -251,7 +251,7 @@ def scored_universe(spark, sf_dir):
 )
 def overridden(spark, sf_dir):
     config = CONFIG.with_value("strategy.require_positive_composite", False)
-    state = plan.build_factor_state(_context(spark, sf_dir), config)
+    state = plan.build_factor_state(context(spark, sf_dir), config)
     ranks = state.ranks.withColumns({"flipped": -F.col("breakout"), "boost": F.col("sma_crossover")})
     out = plan.composite_scores(state, config, {"breakout": "flipped"}, {"boost": 0.1}, ranks)
     return r4(out, "score", digits=6)
@@ -262,7 +262,7 @@ def overridden(spark, sf_dir):
     check_sql("SELECT date, rank, symbol, round(score, 6) AS score FROM wf_plan", "wf_plan"),
 )
 def walk_forward_plan(spark, sf_dir):
-    state = plan.build_factor_state(_context(spark, sf_dir), CONFIG)
+    state = plan.build_factor_state(context(spark, sf_dir), CONFIG)
     return r4(plan.walk_forward_plan(state, CONFIG), "score", digits=6)
 
 
@@ -278,7 +278,7 @@ def walk_forward_plan(spark, sf_dir):
     ),
 )
 def diagnostics(spark, sf_dir):
-    out = plan.split_diagnostics(plan.build_factor_state(_context(spark, sf_dir), CONFIG))
+    out = plan.split_diagnostics(plan.build_factor_state(context(spark, sf_dir), CONFIG))
     return out.withColumn("breakout_weight", F.round(F.col("weights")["breakout"], 6)).drop("weights")
 
 
@@ -322,7 +322,7 @@ cte(
     ),
 )
 def live_screen(spark, sf_dir):
-    out = plan.live_screen(_context(spark, sf_dir), CONFIG, LIVE)
+    out = plan.live_screen(context(spark, sf_dir), CONFIG, LIVE)
     out = r4(r4(out, "score", digits=6), "etf_weight_pct", "macro_composite")
     return out.select("date", "rank", "symbol", "score", "name", "sector", "etf_weight_pct", "macro_composite")
 

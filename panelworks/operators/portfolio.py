@@ -145,7 +145,7 @@ def trades(v: Valuation, px: DataFrame, sessions: DataFrame, cost: float) -> Dat
         F.lit(None).cast("double").alias("pnl"),
         F.lit("rebalance").alias("reason"),
     )
-    sold = p.join(F.broadcast(finals), "symbol", "left").withColumn("price", F.coalesce("open_next", "_final"))
+    sold = p.join(finals, "symbol", "left").withColumn("price", F.coalesce("open_next", "_final"))
     gross = F.col("shares") * F.col("price")
     sells = sold.select(
         "run_id",
@@ -288,7 +288,7 @@ def sized_screen(targets: DataFrame, scores: DataFrame, positions: DataFrame, ho
     return (
         targets.withColumn("rank", F.row_number().over(by_weight))
         .join(scores.select("date", "symbol", F.col("score").alias("composite_score")), ["date", "symbol"], "left")
-        .join(F.broadcast(meta), "symbol", "left")
+        .join(meta, "symbol", "left")
         .join(held, "symbol", "left")
         .withColumn("action", F.when(F.coalesce("_held", F.lit(False)), "HOLD").otherwise("BUY"))
         .drop("_held")

@@ -59,7 +59,7 @@ def select_targets(scores: DataFrame, macro: DataFrame, s: Strategy) -> DataFram
     """Best names per date, as many as the macro score of that date allows: (date, rank, symbol, score)."""
     counts = macro.select("date", target_holdings("macro_score", s).alias("n"))
     with_count = scores.join(F.broadcast(counts), "date", "left").withColumn("n", F.coalesce("n", F.lit(s.max_holdings)))
-    return top_n(with_count.filter("n > 0"), F.col("n")).select("date", "rank", "symbol", "score")
+    return top_n(with_count.filter("n > 0"), F.col("n"), at_most=s.max_holdings).select("date", "rank", "symbol", "score")
 
 
 def risk_on(scores: DataFrame, macro: DataFrame, s: Strategy) -> DataFrame:

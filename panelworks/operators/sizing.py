@@ -93,25 +93,32 @@ def correlation_windows(sessions: DataFrame, dates: DataFrame, length: int = 63)
 
 
 def diversify(
-    scores: DataFrame, prices: DataFrame, sessions: DataFrame, threshold: float, length: int = 63, min_rows: int = 20
+    scores: DataFrame,
+    prices: DataFrame,
+    sessions: DataFrame,
+    threshold: float,
+    length: int = 63,
+    min_rows: int = 20,
+    keys=("date",),
 ) -> DataFrame:
     """Leader plus the best name whose trailing return correlation to it is at most ``threshold``; a date
     without such a name is left as it is. Names without a defined correlation do not qualify."""
+    keys = list(keys)
     returns = prices.select("symbol", F.col("date").alias("day"), padded_change("close").alias("ret"))
-    leaders = leader_gap(scores).select("date", F.col("top_symbol").alias("leader"))
+    leaders = leader_gap(scores, keys).select(*keys, F.col("top_symbol").alias("leader"))
     windows = correlation_windows(sessions, scores.select("date").distinct(), length)
     long_enough = windows.groupBy("date").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows).select("date")
     windows = windows.join(long_enough, "date", "left_semi")
-    rows = scores.select("date", "symbol").join(F.broadcast(windows), "date").join(returns, ["symbol", "day"])
-    lead = rows.join(leaders, "date").filter("symbol = leader").select("date", "day", F.col("ret").alias("lead_ret"))
-    pairs = rows.join(lead, ["date", "day"]).filter("ret is not null and lead_ret is not null")
-    corr = pairs.groupBy("date", "symbol").agg(pearson("ret", "lead_ret").alias("corr"))
-    led = scores.join(leaders, "date")
-    calm = led.filter("symbol != leader").join(corr.filter(F.col("corr") <= threshold), ["date", "symbol"])
-    partner = top_n(calm, 1).select("date", F.col("symbol").alias("partner"))
-    out = led.join(partner, "date", "left")
+    rows = scores.select(*keys, "symbol").join(F.broadcast(windows), "date").join(returns, ["symbol", "day"])
+    lead = rows.join(leaders, keys).filter("symbol = leader").select(*keys, "day", F.col("ret").alias("lead_ret"))
+    pairs = rows.join(lead, [*keys, "day"]).filter("ret is not null and lead_ret is not null")
+    corr = pairs.groupBy(*keys, "symbol").agg(pearson("ret", "lead_ret").alias("corr"))
+    led = scores.join(leaders, keys)
+    calm = led.filter("symbol != leader").join(corr.filter(F.col("corr") <= threshold), [*keys, "symbol"])
+    partner = top_n(calm, 1, keys).select(*keys, F.col("symbol").alias("partner"))
+    out = led.join(partner, keys, "left")
     keep = F.col("partner").isNull() | (F.col("symbol") == F.col("leader")) | (F.col("symbol") == F.col("partner"))
-    return out.filter(keep).select("date", "symbol", "score")
+    return out.filter(keep).select(*keys, "symbol", "score")
 
 
 def regime_scale(bench: DataFrame, dates: DataFrame, window: int, fraction: float, need: int = 10) -> DataFrame:

@@ -94,7 +94,7 @@ def sample_candidates(
     out = out.withColumn("config_hash", config_hash(F.col("params")))
     first = Window.partitionBy("config_hash").orderBy("candidate_id")
     out = out.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
-    return out if seen is None else out.join(F.broadcast(seen.select("config_hash")), "config_hash", "left_anti")
+    return out if seen is None else out.join(seen.select("config_hash"), "config_hash", "left_anti")
 
 
 def leak_audit(splits: DataFrame, train: DataFrame, clean_train: DataFrame) -> DataFrame:

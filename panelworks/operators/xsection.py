@@ -59,6 +59,22 @@ def wide_pct_rank(frame: DataFrame, value: str, keys: Keys = ("date",), out: str
     return frame.join(ranked, [*keys, value], "left")
 
 
+# Cross-sections up to this many rows are ranked by a window, one task per date; longer ones are spread
+# over the cluster.
+WINDOW_ROWS = 2_000_000
+
+
+def rank_columns(frame: DataFrame, columns: Sequence[str], section_rows: int, limit: int = WINDOW_ROWS) -> DataFrame:
+    """(symbol, date, centred rank per column). ``section_rows`` is the size of one date's cross-section,
+    i.e. the number of symbols, and decides the way."""
+    if section_rows <= limit:
+        return frame.select("symbol", "date", *[cross_sectional_rank(c).alias(c) for c in columns])
+    long = frame.unpivot(["symbol", "date"], list(columns), "_column", "_value")
+    ranked = wide_pct_rank(long, "_value", ("_column", "date"), "_rank")
+    cells = [F.max(F.when(F.col("_column") == c, F.col("_rank") - 0.5)).alias(c) for c in columns]
+    return ranked.groupBy("symbol", "date").agg(*cells)
+
+
 def zscore(value: Column | str, keys: Keys = ("date",)) -> Column:
     """Sample z-score; 0 when the spread is 0, NULL stays NULL."""
     value = F.col(value) if isinstance(value, str) else value
@@ -74,11 +90,19 @@ def below_quantile(frame: DataFrame, value: str, q: float, keys: Keys = ("date",
     return frame.join(cut, list(keys), "left").withColumn(out, flagged).drop("_cut")
 
 
-def top_n(scores: DataFrame, n: int | Column, keys: Keys = ("date",), score: str = "score") -> DataFrame:
-    """Best ``n`` per cross-section with their rank. The reference order of ties is unspecified; here
-    the symbol decides."""
+def top_n(
+    scores: DataFrame, n: int | Column, keys: Keys = ("date",), score: str = "score", at_most: int | None = None
+) -> DataFrame:
+    """Best ``n`` per cross-section with their rank; the symbol decides between ties.
+
+    With a constant ``n`` Spark cuts every group to its best rows before the shuffle. For an ``n`` that
+    differs by row, ``at_most`` names an upper bound of it, which brings the same cut.
+    """
     by = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col("symbol"))
-    return scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
+    ranked = scores.withColumn("rank", F.row_number().over(by))
+    if at_most is not None:
+        ranked = ranked.filter(F.col("rank") <= at_most)
+    return ranked.filter(F.col("rank") <= n)
 
 
 def leader_gap(scores: DataFrame, keys: Keys = ("date",), score: str = "score") -> DataFrame:

@@ -17,7 +17,7 @@ from panelworks.operators.indicators import technical_factors
 from panelworks.operators.panel import Panel, forward_open_returns, lag_for_open
 from panelworks.operators.scoring import clean_scores, composite, risk_on, select_targets
 from panelworks.operators.stage import materialize
-from panelworks.operators.xsection import cross_sectional_rank
+from panelworks.operators.xsection import rank_columns
 
 
 @dataclass(frozen=True)
@@ -64,14 +64,12 @@ def ranked_factors(ctx: MarketContext, config: Config, at: DataFrame) -> tuple[D
         filed = filed.join(F.broadcast(at.select("date")), "date", "left_semi")
         known = known.join(filed, ["symbol", "date"], "left")
     factors = technical + fundamental
-    raw = [F.col(c).alias(f"raw_{c}") for c in trend]
-    ranks = materialize(
-        known.select("symbol", "date", *raw, *[cross_sectional_rank(f).alias(f) for f in factors]), "factor_ranks"
-    )
-    flags = ranks.select("symbol", "date", *[F.col(f"raw_{c}").alias(c) for c in trend]) if trend else None
+    known = materialize(known, "known_factors")
+    ranks = materialize(rank_columns(known, factors, p.symbols.count()), "factor_ranks")
+    flags = known.select("symbol", "date", *trend) if trend else None
     mask = base_mask(p.prices, ctx.membership, config.universe, flags)
     mask = mask.join(F.broadcast(at.select("date")), "date", "left_semi")
-    return ranks.select("symbol", "date", *factors), mask, factors
+    return ranks, mask, factors
 
 
 def build_factor_state(ctx: MarketContext, config: Config) -> FactorState:
