@@ -10,12 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelworks.functions.scalar import ratio
 from panelworks.operators.stage import materialize
 
-RUN = Window.partitionBy("run_id").orderBy("date")
+def _by_run() -> WindowSpec:
+    return Window.partitionBy("run_id").orderBy("date")
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,10 @@ def executed(targets: DataFrame, px: DataFrame, skip_unchanged: bool) -> DataFra
         F.sum("weight").alias("_total"),
     )
     if skip_unchanged:
-        held = F.lag("_got").over(RUN)
+        held = F.lag("_got").over(_by_run())
         same = (F.size("_want") > 0) & F.coalesce(F.col("_want") == held, F.lit(False))
         sets = sets.withColumn("_same", same).filter("not _same")
-    kept = sets.select("run_id", "date", "_total", F.lead("date").over(RUN).alias("until"))
+    kept = sets.select("run_id", "date", "_total", F.lead("date").over(_by_run()).alias("until"))
     return wanted.join(kept, ["run_id", "date"])
 
 
@@ -75,7 +76,7 @@ def value(
     periods = fills.groupBy("run_id", "date", "until").agg(
         (1 - F.coalesce(F.sum("eff"), F.lit(0.0))).alias("_rest"), F.coalesce(F.sum(grown), F.lit(0.0)).alias("_grown")
     )
-    growth = F.product(F.col("_rest") + F.col("_grown")).over(RUN.rowsBetween(Window.unboundedPreceding, -1))
+    growth = F.product(F.col("_rest") + F.col("_grown")).over(_by_run().rowsBetween(Window.unboundedPreceding, -1))
     periods = periods.withColumn("capital", capital * F.coalesce(growth, F.lit(1.0)))
     bought = fills.filter("eff is not null").join(periods.select("run_id", "date", "capital"), ["run_id", "date"])
     positions = bought.select(
@@ -212,7 +213,7 @@ def keep_overlap(selections: DataFrame, px: DataFrame, cost: float, capital: flo
         return pd.DataFrame(out, columns=["run_id", "date", "symbol", "shares", "cash"])
 
     state = materialize(book.groupBy("run_id").applyInPandas(carry, HELD_SCHEMA), "held")
-    until = dates.select("run_id", "date", F.lead("date").over(RUN).alias("until"))
+    until = dates.select("run_id", "date", F.lead("date").over(_by_run()).alias("until"))
     dated = state.join(until, ["run_id", "date"])
     periods = dated.filter("symbol is null").select("run_id", "date", "until", "cash")
     return Valuation(dated.filter("symbol is not null").select("run_id", "date", "until", "symbol", "shares"), periods)
