@@ -80,7 +80,7 @@ span_ctes("panel", "close", 26, "ema26")
 @query("ind_02_ema", check_sql("SELECT symbol, date, round(y, 4) AS ema FROM ema63", "ema63"))
 def ema(spark, sf_dir):
     prices = market.panel(spark, sf_dir).prices.select("symbol", "date", "close")
-    return r4(ewm_columns(prices, [Ewm.span("ema", "close", 63)]).drop("close"), "ema")
+    return r4(ewm_columns(prices, [Ewm.span("ema", "close", 63)], keep=["symbol", "date"]), "ema")
 
 
 FAST, SLOW = _mean("close", 20), _mean("close", 50)

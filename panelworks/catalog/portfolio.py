@@ -242,13 +242,14 @@ def _plans(spark, sf_dir):
 @query(
     "pf_06_rebalance_plan",
     check_sql(
-        """SELECT mode, priority, action, symbol, shares, round(target_weight, 6) AS target_weight, target_rank,
+        """SELECT mode, priority, action, symbol, CAST(shares AS DOUBLE) AS shares, round(target_weight, 6) AS target_weight, CAST(target_rank AS DOUBLE) AS target_rank,
         round(composite_score, 6) AS composite_score FROM plans""",
         "plans",
     ),
 )
 def plan(spark, sf_dir):
-    return r4(_plans(spark, sf_dir).drop("name", "note"), "target_weight", "composite_score", digits=6)
+    out = _plans(spark, sf_dir).drop("name", "note").withColumn("target_rank", F.col("target_rank").cast("double"))
+    return r4(out, "target_weight", "composite_score", digits=6)
 
 
 @query(

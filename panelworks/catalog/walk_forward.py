@@ -330,7 +330,7 @@ def live_screen(spark, sf_dir):
 @query(
     "wf_13_alpha_blend",
     check_sql(
-        f"""SELECT alpha, date, symbol, rank FROM (SELECT alpha, date, symbol, CAST(row_number() OVER (PARTITION BY alpha, date ORDER BY blended DESC, symbol) AS INTEGER) AS rank
+        f"""SELECT CAST(alpha AS DOUBLE) AS alpha, date, symbol, rank FROM (SELECT alpha, date, symbol, CAST(row_number() OVER (PARTITION BY alpha, date ORDER BY blended DESC, symbol) AS INTEGER) AS rank
         FROM (SELECT a.alpha, s.date, s.symbol, (1 - a.alpha) * s.score + a.alpha * s.f AS blended FROM (
         SELECT date, symbol, score, {tables.rank_sql('tv', centre='')} AS f FROM (SELECT s.*, t.trend_filter AS tv FROM scores s
         JOIN tech_known t ON t.symbol = s.symbol AND t.date = s.date)) s,

@@ -10,11 +10,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelworks.functions.scalar import clean
-
 
 @dataclass(frozen=True)
 class Ewm:
@@ -32,23 +31,31 @@ class Ewm:
         return cls(out, source, 2.0 / (span + 1.0), max(2, span // 2))
 
 
-def ewm_columns(frame: DataFrame, specs: Sequence[Ewm], key: str = "symbol", order: str = "date") -> DataFrame:
-    """``frame`` plus one column per spec."""
-    names = frame.columns
-    schema = StructType(list(frame.schema.fields) + [StructField(s.out, DoubleType()) for s in specs])
+def ewm_columns(
+    frame: DataFrame, specs: Sequence[Ewm], key: str = "symbol", order: str = "date", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The ``keep`` columns (default: all) plus one column per spec. Kept columns pass through as Arrow
+    buffers; only the averaged series are turned into pandas."""
+    keep = list(frame.columns if keep is None else keep)
+    schema = StructType([frame.schema[c] for c in keep] + [StructField(s.out, DoubleType()) for s in specs])
+
+    def one_symbol(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        series: dict[str, pd.Series] = {}
+
+        def column(name: str) -> pd.Series:
+            if name not in series:
+                series[name] = table.column(name).to_pandas().astype("float64")
+            return series[name]
 
-    def one_symbol(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True)
         for spec in specs:
-            if isinstance(spec.source, tuple):
-                series = rows[spec.source[0]] - rows[spec.source[1]]
-            else:
-                series = rows[spec.source]
-            ewm = series.astype("float64").ewm(alpha=spec.alpha, adjust=False, min_periods=spec.min_periods)
-            rows[spec.out] = ewm.mean()
-        return rows
-
-    out = frame.groupBy(key).applyInPandas(one_symbol, schema)
-    # pandas returns missing values as NaN
-    doubles = {f.name for f in schema.fields if isinstance(f.dataType, DoubleType)}
-    return out.select(*[clean(c).alias(c) if c in doubles else c for c in [*names, *[s.out for s in specs]]])
+            source = spec.source
+            values = column(source[0]) - column(source[1]) if isinstance(source, tuple) else column(source)
+            ewm = values.ewm(alpha=spec.alpha, adjust=False, min_periods=spec.min_periods)
+            series[spec.out] = ewm.mean()
+        out = table.select(keep)
+        for spec in specs:
+            out = out.append_column(spec.out, pa.array(series[spec.out], type=pa.float64(), from_pandas=True))
+        return out
+
+    return frame.groupBy(key).applyInArrow(one_symbol, schema)

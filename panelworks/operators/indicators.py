@@ -86,7 +86,8 @@ def ewm_factors(signal: DataFrame, p: Indicators, names: set[str]) -> DataFrame:
         frame = on_balance_volume(frame).withColumn("_obv_size", F.abs("obv_level") + 1)
         specs += [Ewm.span("obv_mean", "obv_level", p.obv_ema), Ewm.span("obv_size", "_obv_size", p.obv_ema)]
         finals.append(ratio(F.col("obv_level") - F.col("obv_mean"), "obv_size").alias("obv"))
-    return ewm_columns(frame, specs).select(*kept, *finals)
+    carried = [*kept, "obv_level"] if "obv" in names else kept
+    return ewm_columns(frame, specs, keep=carried).select(*kept, *finals)
 
 
 def month_momentum(months: DataFrame, lookback: int, skip: int) -> DataFrame:
