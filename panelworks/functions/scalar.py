@@ -45,11 +45,3 @@ def first_float(mapping: Column | str, keys: Sequence[str]) -> Column:
     """Value of the first key that parses as a number."""
     m = _col(mapping)
     return F.coalesce(*[F.element_at(m, F.lit(k)).try_cast("double") for k in keys])
-
-
-def months_before(day: Column | str, years: int = 0, months: int = 0) -> Column:
-    return F.add_months(_col(day), -(12 * years + months))
-
-
-def rounded(c: Column | str, digits: int = 4) -> Column:
-    return F.round(_col(c), digits)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelworks.functions.scalar import ratio
 from panelworks.operators.stage import materialize
 
 Keys = Sequence[str]
@@ -120,9 +119,3 @@ def keep_one(frame: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame
     """Drop duplicates, keeping the row that comes first in the given total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return frame.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def share(value: Column | str, keys: Keys = ("date",)) -> Column:
-    """Value over the sum of its cross-section."""
-    value = F.col(value) if isinstance(value, str) else value
-    return ratio(value, F.sum(value).over(Window.partitionBy(*keys)))
