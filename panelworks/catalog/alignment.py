@@ -89,7 +89,7 @@ def lag_open(spark, sf_dir):
     return pan.lag_for_open(prices, ["close", "volume"])
 
 
-# Macro series: mean order value per order priority, with the frequencies and lags of the reference table.
+# Macro series: mean order value per order priority, with their frequencies and publication lags.
 cte(
     "macro_meta",
     """SELECT * FROM (VALUES ('1-URGENT', 0, FALSE), ('2-HIGH', 10, TRUE), ('3-MEDIUM', 45, FALSE),
