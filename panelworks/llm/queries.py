@@ -67,27 +67,27 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_chat_formatting",
     r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
-    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at,
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
         23 + length(regexp_replace(role, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?SYS)', '\1\\\2\3', 'g'))
         + length(regexp_replace(text, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?SYS)', '\1\\\2\3', 'g')) AS chars FROM r),
-    q AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY at) - tokens AS start,
-        sum(CASE WHEN role = 'system' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY at) AS others FROM p),
+    q AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS start,
+        sum(CASE WHEN role = 'system' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY pos) AS others FROM p),
     w AS (SELECT *, start // 1024 AS win FROM q),
-    f AS (SELECT conv_id, win, min(start) AS opens, min(at) AS at FROM w GROUP BY conv_id, win),
+    f AS (SELECT conv_id, win, min(start) AS opens FROM w GROUP BY conv_id, win),
     n AS (SELECT *, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS nwin,
         lead(opens) OVER (PARTITION BY conv_id ORDER BY win) AS nopens FROM f),
-    m AS (SELECT w.conv_id, w.win, w.at, w.chars FROM w
-        UNION ALL SELECT w.conv_id, n.nwin, w.at, w.chars FROM w JOIN n USING (conv_id, win)
+    m AS (SELECT w.conv_id, w.win, w.pos, w.chars FROM w
+        UNION ALL SELECT w.conv_id, n.nwin, w.pos, w.chars FROM w JOIN n USING (conv_id, win)
         WHERE w.others > 0 AND w.start >= n.nopens - 256),
-    g AS (SELECT conv_id, win, min(at) AS at, sum(chars) AS chars FROM m GROUP BY conv_id, win),
-    h AS (SELECT g.conv_id, sum(w.chars) AS chars FROM g JOIN w ON w.conv_id = g.conv_id AND w.others = 0 AND w.at < g.at
+    g AS (SELECT conv_id, win, min(pos) AS pos, sum(chars) AS chars FROM m GROUP BY conv_id, win),
+    h AS (SELECT g.conv_id, sum(w.chars) AS chars FROM g JOIN w ON w.conv_id = g.conv_id AND w.others = 0 AND w.pos < g.pos
         GROUP BY g.conv_id),
     t AS (SELECT conv_id, sum(chars) AS chars FROM g GROUP BY conv_id)
     SELECT p.conv_id, count(*) AS n_turns,
-        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
         (any_value(t.chars) + coalesce(any_value(h.chars), 0))::BIGINT AS formatted_chars
     FROM p JOIN t USING (conv_id) LEFT JOIN h ON h.conv_id = p.conv_id GROUP BY p.conv_id""",
 )
