@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, exact, mixing
+from panelworks.llm import chat, exact, language, mixing, quality
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -101,3 +101,13 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(hostile).alias("text"),
     )
     return chat.read_back(chat.chat_windows(rows.unionByName(probe)))
+
+
+@register("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+@register("op5_quality")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
