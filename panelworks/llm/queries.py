@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, exact, language, mixing, quality
+from panelworks.llm import chat, decontaminate, exact, language, mixing, quality
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -111,3 +111,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_quality")
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register("op3_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
