@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, decontaminate, exact, language, mixing, quality
+from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -116,3 +116,8 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register("op2_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), length=3, percent=90)
