@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelworks.llm.components import components
 from panelworks.llm.rtree import CountTree, needed
 from panelworks.llm.staging import broadcast_if_small, id_or_null, known_id, stored
-from panelworks.llm.words import fold, hashes, long_ids, runs, scramble, slices, words
+from panelworks.llm.words import fold, groups, hashes, runs, scramble, slices, words
 
 #: Coordinates of a count vector.
 GROUPS = 32
@@ -169,7 +169,7 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     dealt = asks.select(columns).unionByName(holds.select(columns)).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in groups(batches, 3):
             side = group.column("side").to_numpy()
             ids, sizes = group.column("id").to_numpy(), group.column("n").to_numpy()
             labels, vectors = group.column("label").to_numpy(), _vectors(group.column("vector"))
@@ -183,27 +183,6 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of consecutive rows that agree in their first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        same = np.ones(batch.num_rows - 1, dtype=bool)
-        for i in range(keys):
-            column = batch.column(i).to_numpy()
-            same &= column[1:] == column[:-1]
-        cuts = [0, *(np.flatnonzero(~same) + 1), batch.num_rows]
-        for begin, end in zip(cuts, cuts[1:]):
-            piece = batch.slice(begin, end - begin)
-            if held and any(held[-1].column(i)[0] != piece.column(i)[0] for i in range(keys)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(piece)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def near_duplicates(
     docs: DataFrame, length: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality
+from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, repeats
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -121,3 +121,9 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), length=3, percent=90)
+
+
+@register("op6_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -106,3 +106,24 @@ def runs(hashed: np.ndarray, owner: np.ndarray, length: int, seed: int = 1) -> t
 
 def long_ids(column: pa.Array, null: int) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of consecutive rows that agree in their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows - 1, dtype=bool)
+        for i in range(keys):
+            column = batch.column(i).to_numpy()
+            same &= column[1:] == column[:-1]
+        cuts = [0, *(np.flatnonzero(~same) + 1), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            piece = batch.slice(begin, end - begin)
+            if held and any(held[-1].column(i)[0] != piece.column(i)[0] for i in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(piece)
+    if held:
+        yield pa.Table.from_batches(held)
