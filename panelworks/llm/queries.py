@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, repeats
+from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, repeats, suffixes
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -127,3 +127,9 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.without_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op7_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.without_repeated_strings(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelworks.llm.bits import collect_bits, is_set, slots
+from panelworks.llm.bits import collect_bits, holds
 from panelworks.llm.staging import id_or_null, known_id, stored
 from panelworks.llm.words import groups, hashes, long_ids, runs, slices, words
 
@@ -40,16 +40,14 @@ def _anchors(rows: DataFrame, window: int) -> list[np.ndarray]:
             yield anchor[(at - limits[owner[at]]) % block == 0] if len(at) else anchor
 
     sc = rows.sparkSession.sparkContext
-    index = sc.broadcast(collect_bits(rows, blocks, 1))
+    index = sc.broadcast(collect_bits(rows, blocks, 1)[0])
 
     def probes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, hashed, owner, _ in _hashed(batch.column(1)):
             anchor = runs(hashed, owner, block, seed=6)[1]
-            for turn in range(2):
-                anchor = anchor[is_set(index.value[turn], slots(anchor, turn))]
-            yield anchor
+            yield anchor[holds(index.value, anchor)]
 
-    found = collect_bits(rows, probes, 2)
+    found = collect_bits(rows, probes, 2)[0]
     index.unpersist()
     return found
 
@@ -70,7 +68,7 @@ def _starts(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 at, anchor = runs(hashed, owner, block, seed=6)
                 hit = np.zeros(len(hashed) + 1, np.int64)
                 if len(at):
-                    hit[at + 1] = is_set(twice.value[0], slots(anchor, 0)) & is_set(twice.value[1], slots(anchor, 1))
+                    hit[at + 1] = holds(twice.value, anchor)
                 upto = np.cumsum(hit)
                 start, low = runs(hashed, owner, window, seed=7)
                 high = runs(hashed, owner, window, seed=8)[1]
