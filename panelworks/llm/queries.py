@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, repeats, suffixes
+from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, repeats, suffixes, wrapper
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -133,3 +133,9 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.without_repeated_strings(documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op4_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wrapper.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
