@@ -12,11 +12,6 @@ from pyspark.sql import Column, Window, WindowSpec, functions as F
 
 Keys = Sequence[str]
 
-# Spark evaluates a sliding frame by re-reading it for every row. Beyond this length a mean is taken as
-# the difference of two running sums instead, which costs the same for any window length.
-LONG_WINDOW = 32
-
-
 def ordered(keys: Keys = ("symbol",), order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
@@ -33,14 +28,6 @@ def default_min_periods(n: int) -> int:
     return max(2, n // 2)
 
 
-def _long_mean(value: Column, n: int, need: int, keys: Keys, order: str) -> Column:
-    now = running(keys, order)
-    past = ordered(keys, order).rowsBetween(Window.unboundedPreceding, -n)
-    total = F.sum(value).over(now) - F.coalesce(F.sum(value).over(past), F.lit(0.0))
-    seen = F.count(value).over(now) - F.count(value).over(past)
-    return F.when(seen >= need, F.try_divide(total, seen))
-
-
 def rolling(
     value: Column | str,
     n: int,
@@ -49,11 +36,12 @@ def rolling(
     keys: Keys = ("symbol",),
     order: str = "date",
 ) -> Column:
-    """Rolling aggregate that is NULL until ``min_periods`` non-null values are in the frame."""
+    """Rolling aggregate that is NULL until ``min_periods`` non-null values are in the frame.
+
+    Every frame is added up by itself. A difference of running totals would cost less for long frames, but a single huge
+    value would then spoil all later means."""
     value = F.col(value) if isinstance(value, str) else value
     need = default_min_periods(n) if min_periods is None else min_periods
-    if agg is F.avg and n > LONG_WINDOW:
-        return _long_mean(value, n, need, keys, order)
     frame = trailing(n, keys, order)
     return F.when(F.count(value).over(frame) >= need, agg(value).over(frame))
 

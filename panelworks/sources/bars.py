@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from panelworks.functions.scalar import clean as scalar_clean
 from panelworks.operators.panel import FIELDS, Panel, densify
 
 
@@ -16,7 +17,7 @@ def normalize_bars(raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"bars lack {missing}")
     return clean.select(
-        "symbol", F.to_date("date").alias("date"), *[F.col(f).try_cast("double").alias(f) for f in FIELDS]
+        "symbol", F.to_date("date").alias("date"), *[scalar_clean(F.col(f).try_cast("double")).alias(f) for f in FIELDS]
     )
 
 
@@ -35,7 +36,7 @@ def positions(raw: DataFrame) -> DataFrame:
     clean = raw.withColumnsRenamed({c: c.strip().lower() for c in raw.columns})
     if "symbol" not in clean.columns:
         raise ValueError("positions need a symbol column")
-    shares = F.col("shares").try_cast("double") if "shares" in clean.columns else F.lit(0.0)
+    shares = scalar_clean(F.col("shares").try_cast("double")) if "shares" in clean.columns else F.lit(0.0)
     return (
         clean.select(F.trim(F.upper("symbol")).alias("symbol"), F.coalesce(shares, F.lit(0.0)).alias("shares"))
         .filter("symbol != ''")

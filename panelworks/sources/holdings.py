@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelworks.functions.scalar import normalize_symbol, snapshot_date
+from panelworks.functions.scalar import clean as finite, normalize_symbol, snapshot_date
 from panelworks.operators.panel import asof
 
 
@@ -30,7 +30,7 @@ def normalize_holdings(raw: DataFrame, limit: int | None = None, by: Sequence[st
         normalize_symbol(F.coalesce("ticker", F.lit(""))).alias("ticker"),
         (F.col("name") if "name" in have else F.lit(None).cast("string")).alias("name"),
         (F.col("sector") if "sector" in have else F.lit(None).cast("string")).alias("sector"),
-        (F.col("weight_pct").try_cast("double") if "weight_pct" in have else F.lit(None).cast("double")).alias("weight_pct"),
+        (finite(F.col("weight_pct").try_cast("double")) if "weight_pct" in have else F.lit(None).cast("double")).alias("weight_pct"),
     ).filter(~F.col("ticker").isin("", "-"))
     if "name" not in have:
         clean = clean.withColumn("name", F.col("ticker"))

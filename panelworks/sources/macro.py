@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from panelworks.functions.scalar import clean
 from panelworks.functions.windows import rolling
 from panelworks.operators.panel import align
 from panelworks.sources import market
@@ -50,7 +51,7 @@ def read_series(spark: SparkSession, path: str, series_id: str | None = None, pa
     return raw.select(
         name.alias("series_id"),
         F.col("date").try_cast("date").alias("date"),
-        F.col("value").try_cast("double").alias("value"),
+        clean(F.col("value").try_cast("double")).alias("value"),
     ).filter(F.col("date").isNotNull())
 
 

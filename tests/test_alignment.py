@@ -8,6 +8,7 @@ from panelworks.functions.windows import padded_change, rolling
 from panelworks.operators import calendar as cal
 from panelworks.operators.ewm import Ewm, ewm_columns
 from panelworks.operators.panel import align, log_returns, resample
+from panelworks.sources.bars import normalize_bars
 
 
 def _sessions(spark, *days):
@@ -63,13 +64,21 @@ def test_padded_change(spark):
     assert column(out, "c", "date") == [None, 0.0, 1.0]
 
 
-def test_long_mean_equals_frame_mean(spark):
-    values = [float((i * 37) % 101) if i % 4 else None for i in range(150)]
-    x = one_key(spark, values)
-    out = x.select("date", rolling("x", 60).alias("fast"), rolling("x", 60, agg=lambda c: F.mean(c)).alias("frame"))
-    fast, slow = column(out, "fast", "date"), column(out, "frame", "date")
-    assert [v is None for v in fast] == [v is None for v in slow]
-    assert [v for v in fast if v is not None] == pytest.approx([v for v in slow if v is not None])
+@pytest.mark.parametrize("n", [31, 32, 33, 60])
+def test_mean_forgets_a_spike(spark, n):
+    """What left the frame leaves no trace, however large, whatever the window's length."""
+    x = one_key(spark, [1.0] * 20 + [1e17] + [1.0] * 200)
+    means = column(x.select("date", rolling("x", n).alias("m")), "m", "date")
+    assert means[-1] == 1.0 and means[20] > 1e15 and means[20 + n] == 1.0
+
+
+def test_ingest_turns_nan_and_infinity_into_null(spark):
+    raw = spark.createDataFrame(
+        [("A", "2024-01-02", v, v, v, v, "5") for v in ("NaN", "Infinity", "-Infinity", "1.5", "x")],
+        "symbol string, Date string, Open string, high string, low string, close string, volume string",
+    )
+    assert sorted(column(normalize_bars(raw.withColumnRenamed("Date", "date")), "close", "close"), key=str) == [1.5, None, None, None, None]
+
 
 
 def test_missing_volume_has_no_log_return(spark):
