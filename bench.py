@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -18,12 +19,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from panelworks.catalog import load_all  # noqa: E402
-from panelworks.config import TECHNICAL, Indicators  # noqa: E402
 from panelworks.functions.windows import rolling  # noqa: E402
 from panelworks.operators.indicators import technical_factors  # noqa: E402
 from panelworks.operators.panel import lag_for_open  # noqa: E402
 from panelworks.operators.xsection import cross_sectional_rank  # noqa: E402
 from panelworks.plans.trend_picks import trend_picks  # noqa: E402
+from panelworks.settings import TECHNICAL, Lookbacks  # noqa: E402
 from panelworks.sources import market  # noqa: E402
 
 BY = "supplier"
@@ -40,11 +41,11 @@ def cases(spark: SparkSession, sf: str) -> dict:
     prices = lambda: market.panel(spark, sf, BY).prices
 
     def factors_and_ranks() -> DataFrame:
-        known = lag_for_open(technical_factors(market.panel(spark, sf, BY), Indicators()), TECHNICAL)
+        known = lag_for_open(technical_factors(market.panel(spark, sf, BY), Lookbacks()), TECHNICAL)
         return known.select("symbol", "date", *[cross_sectional_rank(c).alias(c) for c in TECHNICAL])
 
     def noisy_study() -> DataFrame:
-        return studies.study(spark, sf, BY, 500, sizing.runs(spark)).metrics
+        return studies.study(spark, sf, BY, sizing.runs(spark)).metrics
 
     return {
         "dense_panel": prices,
@@ -69,6 +70,7 @@ def main() -> int:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    """The shared folder named in ``spark.checkpoint.dir``, or else a folder of the session's warehouse, which executors
+    share as well. The caller's settings stay as they are."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stage"
     return configured.rstrip("/")
 
 

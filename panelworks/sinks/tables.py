@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -31,9 +32,13 @@ def append_log(frame: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Log with its declared columns; a log that nobody wrote yet is empty, not missing."""
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """Log with its declared columns; a log that nobody wrote yet is empty, not missing. Nothing is written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], keep: str = "stored") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelworks.operators.forecast import FORECAST_SCHEMA, Scorer, forecast, missing_requests
+from panelworks.sinks.tables import read_log
 
 REQUEST_SCHEMA = "symbol string, date date, series array<double>"
 
@@ -29,8 +30,10 @@ def score_arrivals(
     def append(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(["symbol", "date"])
         session = batch.sparkSession
-        session.createDataFrame([], FORECAST_SCHEMA).write.mode("append").parquet(store_dir)
-        stored = session.read.schema(FORECAST_SCHEMA).parquet(store_dir)
+        bounds = fresh.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+        held = read_log(session, store_dir, FORECAST_SCHEMA)
+        # Only the arrivals' own dates of the store are read.
+        stored = held.join(F.broadcast(bounds), held["date"].between(F.col("first"), F.col("last"))).select(held.columns)
         scored = forecast(missing_requests(fresh, stored), scorer, horizon, context_len, kind)
         scored.write.mode("append").parquet(store_dir)
 
