@@ -56,7 +56,8 @@ def pct_rank(spark, sf_dir):
     ),
 )
 def zscore(spark, sf_dir):
-    return market.panel(spark, sf_dir).prices.select("symbol", "date", rnd(xs.zscore("volume"), "z", 6))
+    scored = xs.zscore(market.panel(spark, sf_dir).prices.select("symbol", "date", "volume"), "volume")
+    return scored.select("symbol", "date", rnd("z", "z", 6))
 
 
 @query(

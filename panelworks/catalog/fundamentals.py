@@ -6,7 +6,7 @@ from __future__ import annotations
 from panelworks.catalog import tables
 from panelworks.catalog.base import r4
 from panelworks.catalog.registry import check_sql, cte, query
-from panelworks.config import FUNDAMENTAL
+from panelworks.settings import FUNDAMENTAL
 from panelworks.operators import fundamentals as fnd
 from panelworks.sources import market, statements as stm
 

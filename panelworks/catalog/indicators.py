@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, cte, query
-from panelworks.config import Indicators
+from panelworks.settings import Lookbacks
 from panelworks.operators import indicators as ind
 from panelworks.operators.ewm import Ewm, ewm_columns
 from panelworks.plans.trend_picks import pick_trends
 from panelworks.sources import market
 
-P = Indicators()
+P = Lookbacks()
 
 
 def _mean(value: str, n: int, agg: str = "avg") -> str:
@@ -32,7 +32,7 @@ def _onto_sessions(inner: str, name: str) -> str:
     ON a.symbol = g.symbol AND a.date <= g.date"""
 
 
-def _factor(name: str, timeframe: str = "daily", params: Indicators = P):
+def _factor(name: str, timeframe: str = "daily", params: Lookbacks = P):
     def run(spark, sf_dir):
         out = ind.technical_factors(market.panel(spark, sf_dir), params, timeframe, [name])
         return r4(out, name)
@@ -129,7 +129,7 @@ query(
         "symbols",
         "sessions",
     ),
-)(_factor("trend_filter", "weekly", Indicators(sma_trend=40)))
+)(_factor("trend_filter", "weekly", Lookbacks(trend=40)))
 
 query(
     "ind_06_breakout",

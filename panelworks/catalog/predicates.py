@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelworks.catalog import tables
 from panelworks.catalog.base import r4
 from panelworks.catalog.registry import check_sql, query
-from panelworks.config import Config
+from panelworks.settings import TECHNICAL, Setup
 from panelworks.functions import scalar
 from panelworks.operators import eligibility as elig
 from panelworks.operators.indicators import technical_factors
@@ -157,8 +157,7 @@ def first_float(spark, sf_dir):
     ),
 )
 def enabled_factors(spark, sf_dir):
-    config = Config().with_value("indicators.enabled", ("sma_crossover", "breakout", "avg_dollar_volume"))
-    names = config.enabled_technical()
+    names = Setup(factors=("sma_crossover", "breakout", "avg_dollar_volume")).chosen(TECHNICAL)
     return r4(technical_factors(market.panel(spark, sf_dir), tables.PARAMS, "daily", names), *names, digits=6)
 
 

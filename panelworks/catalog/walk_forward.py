@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from panelworks.catalog import alignment, fundamentals, tables  # noqa: F401  (shared table expressions)
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, cte, query
-from panelworks.config import Config, Strategy, WalkForward
+from panelworks.settings import Fitting, Selection, Setup
 from panelworks.operators import walkforward as wf
 from panelworks.operators.panel import forward_open_returns
 from panelworks.operators.scoring import target_holdings
@@ -18,20 +19,24 @@ from panelworks.plans import factor_plan as plan
 from panelworks.sources import macro, market
 
 FACTORS = [*tables.TECH, *tables.FUND]
-WF = WalkForward(train_years=2, test_months=6, step_months=3, min_train_rebalances=12, min_ic_symbols=8)
-STRATEGY = Strategy(
-    rebalance_frequency="monthly",
-    max_holdings=4,
-    macro_half_risk_threshold=-0.3,
-    macro_flat_threshold=-0.6,
-    base_filter_requires_trend=False,
-)
-CONFIG = (
-    Config(universe=tables.RULES, indicators=tables.PARAMS, strategy=STRATEGY, walk_forward=WF)
-    .with_value("indicators.enabled", tuple(FACTORS))
-    .with_value("walk_forward.scheme", "grouped_ic")
+WF = Fitting(train_months=24, test_months=6, step_months=3, least_dates=12, least_symbols=8, scheme="grouped_ic")
+STRATEGY = Selection(names=4, half_at=-0.3, none_at=-0.6)
+CONFIG = Setup(
+    factors=tuple(FACTORS),
+    rebalance="monthly",
+    needs_trend=False,
+    lookbacks=tables.PARAMS,
+    eligible=tables.RULES,
+    selection=STRATEGY,
+    fitting=WF,
 )
 
+
+def fitted_by(scheme: str) -> Setup:
+    return replace(CONFIG, fitting=replace(WF, scheme=scheme))
+
+
+
 cte("rebal_n", "SELECT date, row_number() OVER (ORDER BY date) AS i, lead(date) OVER (ORDER BY date) AS next_date FROM rebal", ("rebal",))
 cte(
     "cursors",
@@ -125,13 +130,13 @@ cte(
 )
 
 
-def context(spark, sf_dir, by: str = "brand", members: int = 20) -> plan.MarketContext:
+def context(spark, sf_dir, by: str = "brand") -> plan.MarketContext:
     p = market.stored_panel(spark, sf_dir, by)
     known = macro.known_at_open(macro.order_composite(spark, sf_dir), "macro_score").select("date", "macro_score")
-    snaps = tables.snapshots(spark, sf_dir, by, members)
+    snaps = tables.snapshots(spark, sf_dir, by)
     return plan.MarketContext(
         panel=p,
-        membership=tables.membership(spark, sf_dir, by, members),
+        membership=tables.membership(spark, sf_dir, by),
         macro=known,
         fundamentals=tables.records(spark, sf_dir, p.prices, names=tables.FUND, by=by),
         holdings=tables.current_holdings(snaps),
@@ -147,19 +152,19 @@ def _monthly(spark, sf_dir):
     check_sql("SELECT split_id, train_start, train_end, test_start, test_end, n_train, n_test FROM splits", "splits"),
 )
 def splits(spark, sf_dir):
-    return wf.build_splits(spark, _monthly(spark, sf_dir), WF).drop("train_lo", "test_hi")
+    return wf.build_splits(_monthly(spark, sf_dir), WF).drop("train_lo", "test_hi")
 
 
 @query("wf_02_first_split_wins", check_sql("SELECT date, split_id FROM assignment", "assignment"))
 def assignment(spark, sf_dir):
     days = _monthly(spark, sf_dir)
-    return wf.assign_test_dates(wf.build_splits(spark, days, WF), days)
+    return wf.assign_test_dates(wf.build_splits(days, WF), days)
 
 
 @query("wf_03_clean_train_dates", check_sql("SELECT split_id, date FROM clean_train", "clean_train"))
 def clean_train(spark, sf_dir):
     days = _monthly(spark, sf_dir)
-    return wf.strip_leaky(wf.train_dates(wf.build_splits(spark, days, WF), days))
+    return wf.strip_leaky(wf.train_dates(wf.build_splits(days, WF), days))
 
 
 @query("wf_04_information_coefficients", check_sql("SELECT factor, date, round(ic, 6) AS ic FROM ic_by_date", "ic_by_date"))
@@ -177,7 +182,7 @@ def coefficients(spark, sf_dir):
     ),
 )
 def normalized(spark, sf_dir):
-    config = CONFIG.with_value("walk_forward.scheme", "legacy")
+    config = fitted_by("ic")
     return r4(plan.build_factor_state(context(spark, sf_dir), config).weights, "weight", digits=6)
 
 
@@ -192,7 +197,7 @@ def normalized(spark, sf_dir):
 def explicit_weights(spark, sf_dir):
     days = _monthly(spark, sf_dir)
     names = spark.createDataFrame([(f, 0.0) for f in FACTORS], "factor string, ic double")
-    scores = wf.build_splits(spark, days, WF).select("split_id").crossJoin(F.broadcast(names))
+    scores = wf.build_splits(days, WF).select("split_id").crossJoin(F.broadcast(names))
     given = {"asset_growth": 2.0, "earnings_yield": 1.0, "roa": -1.0}
     return r4(wf.grouped_weights(scores, False, 0.075, given), "weight", digits=6)
 
@@ -208,11 +213,9 @@ def explicit_weights(spark, sf_dir):
 )
 def schemes(spark, sf_dir):
     state = plan.build_factor_state(context(spark, sf_dir), CONFIG)
-    legacy = plan.with_params(CONFIG, walk_forward__scheme="legacy", walk_forward__use_ic_weights=False)
-    equal = CONFIG.with_value("walk_forward.scheme", "grouped_equal")
     parts = [("grouped_ic", state.weights)]
-    parts.append(("grouped_equal", wf.fit_weights(state.coefficients, equal.walk_forward)))
-    parts.append(("legacy_equal", wf.fit_weights(state.coefficients, legacy.walk_forward)))
+    parts.append(("grouped_equal", wf.fit_weights(state.coefficients, fitted_by("grouped_equal").fitting)))
+    parts.append(("legacy_equal", wf.fit_weights(state.coefficients, fitted_by("equal").fitting)))
     tagged = [w.select(F.lit(n).alias("scheme"), "split_id", "factor", rnd("weight", "weight", 6)) for n, w in parts]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
@@ -250,7 +253,7 @@ def scored_universe(spark, sf_dir):
     ),
 )
 def overridden(spark, sf_dir):
-    config = CONFIG.with_value("strategy.require_positive_composite", False)
+    config = replace(CONFIG, selection=replace(STRATEGY, positive_only=False))
     state = plan.build_factor_state(context(spark, sf_dir), config)
     ranks = state.ranks.withColumns({"flipped": -F.col("breakout"), "boost": F.col("sma_crossover")})
     out = plan.composite_scores(state, config, {"breakout": "flipped"}, {"boost": 0.1}, ranks)

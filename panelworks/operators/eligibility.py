@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelworks.config import Universe
+from panelworks.settings import Eligible
 from panelworks.functions.windows import ordered, running
 from panelworks.operators.indicators import avg_dollar_volume
 
 
-def base_mask(prices: DataFrame, membership: DataFrame, rules: Universe, trend: DataFrame | None = None) -> DataFrame:
+def base_mask(prices: DataFrame, membership: DataFrame, rules: Eligible, trend: DataFrame | None = None) -> DataFrame:
     """(symbol, date, eligible): member, with enough history, price and liquidity as of the previous
     session, and in an up-trend when ``trend`` (already lagged ``trend_filter`` and ``sma_crossover``)
     is given. Dollar volume reaches this filter already lagged once, so it is two sessions old."""
@@ -17,9 +17,9 @@ def base_mask(prices: DataFrame, membership: DataFrame, rules: Universe, trend:
     measured = prices.select(
         "symbol",
         "date",
-        (F.count("close").over(running()) >= rules.min_history_days).alias("_history"),
-        (F.col("close") >= rules.min_price).alias("_price"),
-        (avg_dollar_volume() >= rules.min_avg_dollar_volume).alias("_liquid"),
+        (F.count("close").over(running()) >= rules.sessions).alias("_history"),
+        (F.col("close") >= rules.price).alias("_price"),
+        (avg_dollar_volume() >= rules.dollar_volume).alias("_liquid"),
     )
     lagged = measured.select(
         "symbol",

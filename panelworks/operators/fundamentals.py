@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelworks.config import FUNDAMENTAL
+from panelworks.settings import FUNDAMENTAL
 from panelworks.functions.scalar import first_float, ratio
 from panelworks.operators.panel import align, asof
 from panelworks.sources.statements import LABELS

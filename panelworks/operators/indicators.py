@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelworks.config import TECHNICAL, Indicators
+from panelworks.settings import TECHNICAL, Lookbacks
 from panelworks.functions.scalar import ratio
 from panelworks.functions.windows import ordered, rolling, running
 from panelworks.operators.ewm import Ewm, ewm_columns
@@ -58,33 +58,33 @@ def on_balance_volume(frame: DataFrame, out: str = "obv_level") -> DataFrame:
     return signed.select(*kept, F.sum("_signed").over(running()).alias(out))
 
 
-def ewm_factors(signal: DataFrame, p: Indicators, names: set[str]) -> DataFrame:
+def ewm_factors(signal: DataFrame, p: Lookbacks, names: set[str]) -> DataFrame:
     """The recursive factors, all from one grouped pass over the symbol's bars."""
     kept = signal.columns
     frame, specs, finals = signal, [], []
     if "ema_crossover" in names:
-        specs += [Ewm.span("ema_fast", "close", p.ema_fast), Ewm.span("ema_slow", "close", p.ema_slow)]
+        specs += [Ewm.span(name, "close", n) for name, n in zip(("ema_fast", "ema_slow"), p.exponential)]
         finals.append(ratio(F.col("ema_fast") - F.col("ema_slow"), "ema_slow").alias("ema_crossover"))
     if "rsi" in names:
         delta = F.col("close") - F.lag("close").over(ordered())
         frame = frame.withColumn("_delta", delta)
         frame = frame.withColumn("_gain", F.when(F.col("_delta").isNotNull(), F.greatest("_delta", F.lit(0.0))))
         frame = frame.withColumn("_loss", F.when(F.col("_delta").isNotNull(), -F.least("_delta", F.lit(0.0))))
-        alpha = 1.0 / p.rsi_period
-        specs += [Ewm("avg_gain", "_gain", alpha, p.rsi_period), Ewm("avg_loss", "_loss", alpha, p.rsi_period)]
+        alpha = 1.0 / p.strength
+        specs += [Ewm("avg_gain", "_gain", alpha, p.strength), Ewm("avg_loss", "_loss", alpha, p.strength)]
         rsi = 100 - 100 / (1 + ratio("avg_gain", "avg_loss"))
         finals.append(((rsi - 50) / 50).alias("rsi"))
     if "macd" in names:
         specs += [
-            Ewm.span("macd_fast", "close", p.macd_fast),
-            Ewm.span("macd_slow", "close", p.macd_slow),
-            Ewm.span("macd_signal", ("macd_fast", "macd_slow"), p.macd_signal),
+            Ewm.span("macd_fast", "close", p.convergence[0]),
+            Ewm.span("macd_slow", "close", p.convergence[1]),
+            Ewm.span("macd_signal", ("macd_fast", "macd_slow"), p.convergence[2]),
         ]
         histogram = F.col("macd_fast") - F.col("macd_slow") - F.col("macd_signal")
         finals.append(ratio(histogram, F.col("close")).alias("macd"))
     if "obv" in names:
         frame = on_balance_volume(frame).withColumn("_obv_size", F.abs("obv_level") + 1)
-        specs += [Ewm.span("obv_mean", "obv_level", p.obv_ema), Ewm.span("obv_size", "_obv_size", p.obv_ema)]
+        specs += [Ewm.span("obv_mean", "obv_level", p.volume_balance), Ewm.span("obv_size", "_obv_size", p.volume_balance)]
         finals.append(ratio(F.col("obv_level") - F.col("obv_mean"), "obv_size").alias("obv"))
     carried = [*kept, "obv_level"] if "obv" in names else kept
     return ewm_columns(frame, specs, keep=carried).select(*kept, *finals)
@@ -97,10 +97,10 @@ def month_momentum(months: DataFrame, lookback: int, skip: int) -> DataFrame:
     return months.select("symbol", "date", (ratio(recent, anchor) - 1).alias("ts_momentum"))
 
 
-def week_factors(weeks: DataFrame, p: Indicators) -> DataFrame:
+def week_factors(weeks: DataFrame, p: Lookbacks) -> DataFrame:
     """Distance from several rolling highs, and the share of weeks that went up, made a higher high or
     a higher low. A change next to a missing bar counts as not up."""
-    windows = p.variable_week_high_windows
+    windows = p.high_weeks
     distances = [ratio(F.col("close"), rolling("close", n, agg=F.max)) - 1 for n in windows]
     total = distances[0]
     for d in distances[1:]:
@@ -109,7 +109,7 @@ def week_factors(weeks: DataFrame, p: Indicators) -> DataFrame:
     def rose(field: str) -> Column:
         return F.coalesce(F.col(field) > F.lag(field).over(ordered()), F.lit(False)).cast("double")
 
-    n = p.price_action_weeks
+    n = p.action_weeks
     flags = weeks.withColumns({f"_{f}_up": rose(f) for f in ("close", "high", "low")})
     shares = rolling("_close_up", n) + rolling("_high_up", n) + rolling("_low_up", n)
     return flags.select(
@@ -122,7 +122,7 @@ def week_factors(weeks: DataFrame, p: Indicators) -> DataFrame:
 
 
 def technical_factors(
-    panel: Panel, p: Indicators, timeframe: str = "daily", names: Iterable[str] = TECHNICAL
+    panel: Panel, p: Lookbacks, timeframe: str = "daily", names: Iterable[str] = TECHNICAL
 ) -> DataFrame:
     """(symbol, date, one column per requested factor) on the session grid, not yet lagged.
 
@@ -140,19 +140,19 @@ def technical_factors(
     if recursive:
         signal = ewm_factors(signal, p, recursive)
     if "cci" in wanted:
-        signal = cci(signal, p.cci_period)
+        signal = cci(signal, p.channel)
     direct = {
-        "sma_crossover": sma_crossover(p.sma_fast, p.sma_slow),
-        "trend_filter": trend_filter(p.sma_trend),
+        "sma_crossover": sma_crossover(*p.averages),
+        "trend_filter": trend_filter(p.trend),
         "breakout": breakout(p.breakout_weeks),
-        "bollinger": bollinger(p.bollinger_window, p.bollinger_std),
+        "bollinger": bollinger(*p.bands),
     }
     on_signal = [n for n in TECHNICAL if n in wanted and (n in direct or n in recursive or n == "cci")]
     signal = signal.select("symbol", "date", *[direct.get(n, F.col(n)).alias(n) for n in on_signal])
     coarse = []
     if "ts_momentum" in wanted:
         months = resample(signal_panel, "monthly").prices
-        coarse.append(month_momentum(months, p.ts_mom_lookback_months, p.ts_mom_skip_months))
+        coarse.append(month_momentum(months, *p.momentum_months))
     weekly_names = [n for n in ("variable_week_high", "price_action") if n in wanted]
     if weekly_names:
         weeks = resample(signal_panel, "weekly").prices

@@ -252,11 +252,11 @@ def rebalance_plan(
     priority = F.lit(0) if not due else F.when(selling, 1).when(buying, 3).otherwise(2)
     weight = F.lit(None).cast("double") if not due else F.when(selling, 0.0).otherwise(1.0 / F.col("_n"))
     note = (
-        F.lit("No scheduled rebalance for this session.")
+        F.lit("Not a rebalance day: keep.")
         if not due
-        else F.when(selling, "Current holding is outside the target portfolio.")
-        .when(buying, "Open after scheduled sells complete.")
-        .otherwise("Current holding remains in the target portfolio.")
+        else F.when(selling, "Left the screen.")
+        .when(buying, "New on the screen; buy once sales are done.")
+        .otherwise("Still on the screen.")
     )
     return plan.select(
         priority.alias("priority"),

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelworks.config import Strategy
+from panelworks.settings import Selection
 from panelworks.functions.scalar import clean
 from panelworks.operators.xsection import top_n
 
@@ -21,13 +21,13 @@ def clean_scores(scores: DataFrame, mask: DataFrame, require_positive: bool) ->
     return kept.filter(F.col("score") > ZERO) if require_positive else kept.filter("score is not null")
 
 
-def target_holdings(macro: Column | str, s: Strategy) -> Column:
+def target_holdings(macro: Column | str, s: Selection) -> Column:
     """How many names to hold given the macro score: all, half, or none when cash is allowed."""
     macro = F.col(macro) if isinstance(macro, str) else macro
-    full, half = F.lit(s.max_holdings), F.lit(max(1, s.max_holdings // 2))
-    graded = F.when(macro <= s.macro_half_risk_threshold, half).otherwise(full)
-    if s.allow_cash_when_risk_off:
-        graded = F.when(macro <= s.macro_flat_threshold, F.lit(0)).otherwise(graded)
+    full, half = F.lit(s.names), F.lit(max(1, s.names // 2))
+    graded = F.when(macro <= s.half_at, half).otherwise(full)
+    if s.none_at is not None:
+        graded = F.when(macro <= s.none_at, F.lit(0)).otherwise(graded)
     return F.when(macro.isNull(), full).otherwise(graded)
 
 
@@ -55,14 +55,14 @@ def composite(
     return ranks.join(dated, "date").select("symbol", "date", "split_id", total.alias("score"))
 
 
-def select_targets(scores: DataFrame, macro: DataFrame, s: Strategy) -> DataFrame:
+def select_targets(scores: DataFrame, macro: DataFrame, s: Selection) -> DataFrame:
     """Best names per date, as many as the macro score of that date allows: (date, rank, symbol, score)."""
     counts = macro.select("date", target_holdings("macro_score", s).alias("n"))
-    with_count = scores.join(F.broadcast(counts), "date", "left").withColumn("n", F.coalesce("n", F.lit(s.max_holdings)))
-    return top_n(with_count.filter("n > 0"), F.col("n"), at_most=s.max_holdings).select("date", "rank", "symbol", "score")
+    with_count = scores.join(F.broadcast(counts), "date", "left").withColumn("n", F.coalesce("n", F.lit(s.names)))
+    return top_n(with_count.filter("n > 0"), F.col("n"), at_most=s.names).select("date", "rank", "symbol", "score")
 
 
-def risk_on(scores: DataFrame, macro: DataFrame, s: Strategy) -> DataFrame:
+def risk_on(scores: DataFrame, macro: DataFrame, s: Selection) -> DataFrame:
     """The other scoring path: the whole list of names, except that a flat macro score empties the date.
     The half-risk count plays no role here."""
     flat = macro.filter(target_holdings("macro_score", s) == 0).select("date")

@@ -149,8 +149,8 @@ def standard_normal(*parts: Column | str) -> Column:
 def perturb(scores: DataFrame, runs: DataFrame, sigma: float) -> DataFrame:
     """Every run's noisy copy of the scores: noise scales with the date's score spread (1 if there is
     none), and scores that turn non-positive are dropped."""
-    spread = F.stddev_samp("score").over(Window.partitionBy("date"))
-    scaled = scores.withColumn("_scale", F.when(spread > 0, spread).otherwise(F.lit(1.0)))
+    spreads = scores.groupBy("date").agg(F.stddev_samp("score").alias("_spread"))
+    scaled = scores.join(spreads, "date").withColumn("_scale", F.when(F.col("_spread") > 0, F.col("_spread")).otherwise(F.lit(1.0)))
     noisy = scaled.crossJoin(F.broadcast(runs.select("run_id")))
     draw = standard_normal("run_id", F.col("date").cast("string"), "symbol")
     noisy = noisy.withColumn("score", F.col("score") + sigma * F.col("_scale") * draw)

@@ -86,7 +86,7 @@ def veto_rate(scores: DataFrame, vetoes: DataFrame) -> DataFrame:
 
 def alpha_tilt(scores: DataFrame, forecasts: DataFrame, value: str, weight: float) -> DataFrame:
     """Add the forecast's z-score, taken over all forecast symbols of the date; no forecast adds 0."""
-    z = forecasts.filter(F.col(value).isNotNull()).select("symbol", "date", zscore(value).alias("_z"))
+    z = zscore(forecasts.filter(F.col(value).isNotNull()).select("symbol", "date", value), value, out="_z").drop(value)
     tilted = F.col("score") + weight * F.coalesce("_z", F.lit(0.0))
     return scores.join(z, ["symbol", "date"], "left").withColumn("score", tilted).drop("_z")
 

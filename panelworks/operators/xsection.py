@@ -12,8 +12,9 @@ Keys = Sequence[str]
 
 
 def pct_rank(value: Column | str, keys: Keys = ("date",)) -> Column:
-    """Percentile rank in (0, 1], ties averaged, NULLs excluded. Rank and tie count share one sort: the
-    peers of a row are the RANGE frame from the current row to itself."""
+    """Percentile rank in (0, 1], ties averaged, NULLs excluded, as an expression: one cross-section is one window
+    partition. Rank and tie count share one sort: the peers of a row are the RANGE frame from the current row to itself.
+    ``wide_pct_rank`` gives the same numbers without holding a cross-section together."""
     value = F.col(value) if isinstance(value, str) else value
     by = Window.partitionBy(*keys).orderBy(value.asc_nulls_last())
     peers = by.rangeBetween(Window.currentRow, Window.currentRow)
@@ -26,8 +27,9 @@ def cross_sectional_rank(value: Column | str, keys: Keys = ("date",)) -> Column:
     return pct_rank(value, keys) - 0.5
 
 
-def wide_pct_rank(frame: DataFrame, value: str, keys: Keys = ("date",), out: str = "rank") -> DataFrame:
-    """``pct_rank`` for cross-sections too large for one task.
+def counted_values(frame: DataFrame, value: str, keys: Keys = ("date",)) -> DataFrame:
+    """``keys, value`` with ``_below`` and ``_peers``: how many values of the cross-section are smaller and equal, and
+    ``_all``: how many there are.
 
     Ties are folded first, then distinct values are range-partitioned over the whole cluster and stored,
     so that partition numbers are stable; each slice is ranked on its own and shifted by the number of
@@ -48,43 +50,47 @@ def wide_pct_rank(frame: DataFrame, value: str, keys: Keys = ("date",), out: str
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(value)
     below = F.coalesce(F.sum("_peers").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = (
-        slices.withColumn("_below", below)
-        .join(offsets, [*keys, "_slice"])
-        .select(
-            *keys, value, ((F.col("_before") + F.col("_below") + (F.col("_peers") + 1) / 2) / F.col("_all")).alias(out)
-        )
-    )
-    return frame.join(ranked, [*keys, value], "left")
+    joined = slices.withColumn("_inside", below).join(offsets, [*keys, "_slice"])
+    return joined.select(*keys, value, (F.col("_before") + F.col("_inside")).alias("_below"), "_peers", "_all")
 
 
-# Cross-sections up to this many rows are ranked by a window, one task per date; longer ones are spread
-# over the cluster.
-WINDOW_ROWS = 2_000_000
+def wide_pct_rank(frame: DataFrame, value: str, keys: Keys = ("date",), out: str = "rank") -> DataFrame:
+    """``pct_rank`` for cross-sections of any size, as a column ``out``."""
+    counted = counted_values(frame, value, keys)
+    rank = (F.col("_below") + (F.col("_peers") + 1) / 2) / F.col("_all")
+    return frame.join(counted.select(*keys, value, rank.alias(out)), [*keys, value], "left")
 
 
-def rank_columns(frame: DataFrame, columns: Sequence[str], section_rows: int, limit: int = WINDOW_ROWS) -> DataFrame:
-    """(symbol, date, centred rank per column). ``section_rows`` is the size of one date's cross-section,
-    i.e. the number of symbols, and decides the way."""
-    if section_rows <= limit:
-        return frame.select("symbol", "date", *[cross_sectional_rank(c).alias(c) for c in columns])
+def rank_columns(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(symbol, date, centred rank per column), all columns ranked together over the cluster."""
     long = frame.unpivot(["symbol", "date"], list(columns), "_column", "_value")
     ranked = wide_pct_rank(long, "_value", ("_column", "date"), "_rank")
     cells = [F.max(F.when(F.col("_column") == c, F.col("_rank") - 0.5)).alias(c) for c in columns]
     return ranked.groupBy("symbol", "date").agg(*cells)
 
 
-def zscore(value: Column | str, keys: Keys = ("date",)) -> Column:
-    """Sample z-score; 0 when the spread is 0, NULL stays NULL."""
-    value = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy(*keys)
-    z = (value - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
-    return F.when(value.isNotNull(), F.coalesce(z, F.lit(0.0)))
+def zscore(frame: DataFrame, value: str, keys: Keys = ("date",), out: str = "z") -> DataFrame:
+    """Sample z-score per cross-section as a column ``out``; 0 when the spread is 0, NULL stays NULL. Mean and spread
+    are aggregated before they meet the rows."""
+    stats = frame.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_spread"))
+    z = (F.col(value) - F.col("_mean")) / F.nullif(F.col("_spread"), F.lit(0.0))
+    scored = F.when(F.col(value).isNotNull(), F.coalesce(z, F.lit(0.0)))
+    return frame.join(stats, list(keys), "left").withColumn(out, scored).drop("_mean", "_spread")
 
 
 def below_quantile(frame: DataFrame, value: str, q: float, keys: Keys = ("date",), out: str = "below") -> DataFrame:
-    """Flag rows strictly below the linearly interpolated quantile of their cross-section."""
-    cut = frame.groupBy(*keys).agg(F.percentile(value, q).alias("_cut"))
+    """Flag rows strictly below the linearly interpolated quantile of their cross-section, found by counting."""
+    counted = counted_values(frame, value, keys)
+    at = (F.col("_all") - 1) * F.lit(float(q))
+
+    def order_statistic(place: Column) -> Column:
+        here = (F.col("_below") <= place) & (place < F.col("_below") + F.col("_peers"))
+        return F.max(F.when(here, F.col(value)))
+
+    ends = counted.groupBy(*keys).agg(
+        order_statistic(F.floor(at)).alias("_low"), order_statistic(F.ceil(at)).alias("_high"), F.max(at - F.floor(at)).alias("_part")
+    )
+    cut = ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("_cut"))
     flagged = F.coalesce(F.col(value) < F.col("_cut"), F.lit(False))
     return frame.join(cut, list(keys), "left").withColumn(out, flagged).drop("_cut")
 
@@ -105,13 +111,14 @@ def top_n(
 
 
 def leader_gap(scores: DataFrame, keys: Keys = ("date",), score: str = "score") -> DataFrame:
-    """Best symbol per cross-section and its lead over the runner-up."""
-    by = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col("symbol"))
-    return (
-        scores.withColumn("_rank", F.row_number().over(by))
-        .withColumn("gap", F.abs(F.col(score) - F.lead(score).over(by)))
-        .filter("_rank = 1")
-        .select(*keys, F.col("symbol").alias("top_symbol"), F.col(score).alias("top_score"), "gap")
+    """Best symbol per cross-section and its lead over the runner-up: only two rows of each are shuffled."""
+    best = top_n(scores, 2, keys, score)
+
+    def of(rank: int, column: str) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col(column)))
+
+    return best.groupBy(*keys).agg(
+        of(1, "symbol").alias("top_symbol"), of(1, score).alias("top_score"), F.abs(of(1, score) - of(2, score)).alias("gap")
     )
 
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelworks.config import Config
 from panelworks.operators import calendar as cal
 from panelworks.operators import metrics as mt
 from panelworks.operators import portfolio as pf
@@ -16,6 +15,7 @@ from panelworks.operators.eligibility import primary_window
 from panelworks.operators.panel import trade_prices
 from panelworks.operators.stage import materialize
 from panelworks.plans.factor_plan import FactorState, MarketContext, composite_scores
+from panelworks.settings import Setup
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class StudyParams:
     start: str = "2015-01-01"
 
 
-def base_scores(state: FactorState, config: Config, start: str) -> DataFrame:
+def base_scores(state: FactorState, config: Setup, start: str) -> DataFrame:
     """Composite scores of the primary window, stored because veto, sizing and every noisy run read them."""
     return materialize(primary_window(composite_scores(state, config), start), "base_scores")
 
@@ -84,7 +84,7 @@ class Study:
 def run_study(
     ctx: MarketContext,
     state: FactorState,
-    config: Config,
+    config: Setup,
     levels: DataFrame,
     bench: DataFrame,
     p: StudyParams,
@@ -110,7 +110,7 @@ def run_study(
     emptied = decided.join(kept.select("run_id", "date").distinct(), ["run_id", "date"], "left_anti")
     targets = materialize(targets.unionByName(emptied, allowMissingColumns=True), "targets")
     px = trade_prices(panel.prices)
-    capital = config.strategy.initial_capital
+    capital = config.capital
     v = pf.value(targets, px, p.cost_per_side, capital)
     equity = materialize(pf.equity_curve(v, px, panel.sessions, capital, p.start), "equity")
     return Study(

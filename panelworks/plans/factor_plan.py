@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from panelworks.config import Config
 from panelworks.operators import calendar as cal
 from panelworks.operators import walkforward as wf
 from panelworks.operators.eligibility import base_mask
@@ -18,6 +16,7 @@ from panelworks.operators.panel import Panel, forward_open_returns, lag_for_open
 from panelworks.operators.scoring import clean_scores, composite, risk_on, select_targets
 from panelworks.operators.stage import materialize
 from panelworks.operators.xsection import rank_columns
+from panelworks.settings import FUNDAMENTAL, TECHNICAL, Setup
 
 
 @dataclass(frozen=True)
@@ -47,17 +46,17 @@ class FactorState:
     coefficients: DataFrame
 
 
-def ranked_factors(ctx: MarketContext, config: Config, at: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def ranked_factors(ctx: MarketContext, config: Setup, at: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Lagged factor ranks and the eligibility mask on the dates ``at``. Values are cut down to those
     dates right after the lag, so only decision dates are shuffled for ranking, and the result is stored
     because coefficients, scores and sweeps all read it."""
-    technical = config.enabled_technical()
-    fundamental = config.enabled_fundamental() if ctx.fundamentals is not None else []
-    trend = ["trend_filter", "sma_crossover"] if config.strategy.base_filter_requires_trend else []
+    technical = config.chosen(TECHNICAL)
+    fundamental = config.chosen(FUNDAMENTAL) if ctx.fundamentals is not None else []
+    trend = ["trend_filter", "sma_crossover"] if config.needs_trend else []
     computed = list(dict.fromkeys(technical + trend))
     p = ctx.panel
     known = lag_for_open(
-        technical_factors(p, config.indicators, config.strategy.signal_timeframe, computed), computed
+        technical_factors(p, config.lookbacks, config.signal, computed), computed
     ).join(F.broadcast(at.select("date")), "date", "left_semi")
     if fundamental:
         filed = lag_for_open(fundamental_factors(ctx.fundamentals, p.sessions, p.symbols, fundamental), fundamental)
@@ -65,22 +64,21 @@ def ranked_factors(ctx: MarketContext, config: Config, at: DataFrame) -> tuple[D
         known = known.join(filed, ["symbol", "date"], "left")
     factors = technical + fundamental
     known = materialize(known, "known_factors")
-    ranks = materialize(rank_columns(known, factors, p.symbols.count()), "factor_ranks")
+    ranks = materialize(rank_columns(known, factors), "factor_ranks")
     flags = known.select("symbol", "date", *trend) if trend else None
-    mask = base_mask(p.prices, ctx.membership, config.universe, flags)
+    mask = base_mask(p.prices, ctx.membership, config.eligible, flags)
     mask = mask.join(F.broadcast(at.select("date")), "date", "left_semi")
     return ranks, mask, factors
 
 
-def build_factor_state(ctx: MarketContext, config: Config) -> FactorState:
-    spark = ctx.panel.prices.sparkSession
-    w = config.walk_forward
-    rebalances = cal.rebalance_sessions(ctx.panel.sessions, config.strategy.rebalance_frequency)
+def build_factor_state(ctx: MarketContext, config: Setup) -> FactorState:
+    w = config.fitting
+    rebalances = cal.rebalance_sessions(ctx.panel.sessions, config.rebalance)
     ranks, mask, factors = ranked_factors(ctx, config, rebalances)
-    splits = wf.build_splits(spark, rebalances, w)
+    splits = wf.build_splits(rebalances, w)
     clean_train = wf.strip_leaky(wf.train_dates(splits, rebalances))
     forward = forward_open_returns(ctx.panel.prices, rebalances)
-    ic = wf.information_coefficients(ranks, forward, factors, w.min_ic_symbols)
+    ic = wf.information_coefficients(ranks, forward, factors, w.least_symbols)
     scores = wf.split_scores(ic, clean_train, splits, factors)
     weights = wf.fit_weights(scores, w)
     return FactorState(
@@ -96,21 +94,21 @@ def build_factor_state(ctx: MarketContext, config: Config) -> FactorState:
     )
 
 
-def scored(state: FactorState, config: Config, override=None, extra=None, ranks: DataFrame | None = None) -> DataFrame:
+def scored(state: FactorState, config: Setup, override=None, extra=None, ranks: DataFrame | None = None) -> DataFrame:
     """(symbol, date, score) of the eligible symbols on all test dates, before any selection."""
     wide = wf.weights_wide(state.weights, state.factors)
     raw = composite(state.ranks if ranks is None else ranks, wide, state.assignment, state.factors, override, extra)
-    return clean_scores(raw, state.mask, config.strategy.require_positive_composite).select("symbol", "date", "score")
+    return clean_scores(raw, state.mask, config.selection.positive_only).select("symbol", "date", "score")
 
 
-def walk_forward_plan(state: FactorState, config: Config) -> DataFrame:
+def walk_forward_plan(state: FactorState, config: Setup) -> DataFrame:
     """(date, rank, symbol, score): the selection of every test date."""
-    return select_targets(scored(state, config), state.macro, config.strategy)
+    return select_targets(scored(state, config), state.macro, config.selection)
 
 
-def composite_scores(state: FactorState, config: Config, override=None, extra=None, ranks=None) -> DataFrame:
+def composite_scores(state: FactorState, config: Setup, override=None, extra=None, ranks=None) -> DataFrame:
     """The harness path: all scored names, dates with a flat macro score left out."""
-    return risk_on(scored(state, config, override, extra, ranks), state.macro, config.strategy)
+    return risk_on(scored(state, config, override, extra, ranks), state.macro, config.selection)
 
 
 def split_diagnostics(state: FactorState) -> DataFrame:
@@ -131,20 +129,23 @@ def live_session(sessions: DataFrame, as_of: date) -> date:
     return row["next"] or row["last"]
 
 
-def live_screen(ctx: MarketContext, config: Config, as_of: date) -> DataFrame:
+def live_screen(ctx: MarketContext, config: Setup, as_of: date) -> DataFrame:
     """Selection for one arbitrary session: weights are fitted on the training window that ends there,
     names, sectors and fund weights are attached."""
     spark = ctx.panel.prices.sparkSession
     session = live_session(ctx.panel.sessions, as_of)
-    rebalances = cal.rebalance_sessions(ctx.panel.sessions, config.strategy.rebalance_frequency)
+    rebalances = cal.rebalance_sessions(ctx.panel.sessions, config.rebalance)
     today = spark.createDataFrame([(session,)], "date date")
     ranks, mask, factors = ranked_factors(ctx, config, rebalances.union(today).distinct())
-    lo = (pd.Timestamp(session) - pd.DateOffset(years=config.walk_forward.train_years)).date()
-    split = spark.createDataFrame([(0, lo, session)], "split_id int, train_lo date, test_start date")
+    split = today.select(
+        F.lit(0).alias("split_id"),
+        F.add_months("date", -config.fitting.train_months).alias("train_lo"),
+        F.col("date").alias("test_start"),
+    )
     clean_train = wf.strip_leaky(wf.train_dates(split, rebalances))
     forward = forward_open_returns(ctx.panel.prices, rebalances)
-    ic = wf.information_coefficients(ranks, forward, factors, config.walk_forward.min_ic_symbols)
-    weights = wf.fit_weights(wf.split_scores(ic, clean_train, split, factors), config.walk_forward)
+    ic = wf.information_coefficients(ranks, forward, factors, config.fitting.least_symbols)
+    weights = wf.fit_weights(wf.split_scores(ic, clean_train, split, factors), config.fitting)
     state = FactorState(
         factors=factors,
         ranks=ranks,
@@ -164,10 +165,3 @@ def live_screen(ctx: MarketContext, config: Config, as_of: date) -> DataFrame:
         picks = picks.join(meta, "symbol", "left")
     macro = ctx.macro.select("date", F.col("macro_score").alias("macro_composite"))
     return picks.join(F.broadcast(macro), "date", "left")
-
-
-def with_params(config: Config, **paths) -> Config:
-    """Config with dotted paths replaced, dots written as double underscores."""
-    for path, value in paths.items():
-        config = config.with_value(path.replace("__", "."), value)
-    return replace(config)

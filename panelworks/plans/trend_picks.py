@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.config import Indicators
 from panelworks.operators.calendar import rebalance_sessions
 from panelworks.operators.indicators import technical_factors
 from panelworks.operators.panel import Panel, lag_for_open
 from panelworks.operators.xsection import cross_sectional_rank, top_n
+from panelworks.settings import Lookbacks
 from panelworks.sources import market
 
 
 def pick_trends(panel: Panel, weeks: int = 40, n: int = 2) -> DataFrame:
     """(date, rank, symbol, score) of the ``n`` symbols with the highest lagged weekly trend."""
-    params = Indicators(sma_trend=weeks)
+    params = Lookbacks(trend=weeks)
     trend = technical_factors(panel, params, "weekly", ["trend_filter"])
     known = lag_for_open(trend, ["trend_filter"])
     monthly = rebalance_sessions(panel.sessions, "monthly")

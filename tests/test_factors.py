@@ -2,7 +2,7 @@ import pytest
 from helpers import D, business_days, column, frame, panel, rows
 from pyspark.sql import functions as F
 
-from panelworks.config import Config, Indicators, Universe, WalkForward
+from panelworks.settings import TECHNICAL, Eligible, Fitting, Lookbacks, Selection, Setup, flat
 from panelworks.operators import fundamentals as fnd
 from panelworks.operators import walkforward as wf
 from panelworks.operators import xsection as xs
@@ -23,8 +23,11 @@ def test_rank_with_ties_and_nulls_both_ways(spark):
     want = [0.75, 0.375, None, 0.375, 1.0]
     assert column(f.select("symbol", xs.pct_rank("x").alias("r")), "r", "symbol") == want
     assert column(xs.wide_pct_rank(f, "x"), "rank", "symbol") == want
-    both = [rows(xs.rank_columns(f, ["x"], n, limit=3), "symbol") for n in (2, 5)]
-    assert both[0] == both[1]
+    assert column(xs.rank_columns(f, ["x"]), "x", "symbol") == [r if r is None else r - 0.5 for r in want]
+    z = column(xs.zscore(f, "x"), "z", "symbol")
+    assert z[2] is None and sum(v for v in z if v is not None) == pytest.approx(0)
+    cut = xs.below_quantile(f, "x", 0.5)
+    assert column(cut, "below", "symbol") == [False, True, False, True, False]
 
 
 def test_one_date_with_most_rows_ranks_the_same(spark):
@@ -41,10 +44,10 @@ def test_one_date_with_most_rows_ranks_the_same(spark):
 def test_momentum_is_positive_on_an_uptrend(spark):
     days = business_days("2020-01-01", 500)
     p = panel(spark, {"AAA": [10 + 40 * i / 499 for i in range(500)]}, days)
-    out = technical_factors(p, Indicators(), "daily", ["ts_momentum"])
+    out = technical_factors(p, Lookbacks(), "daily", ["ts_momentum"])
     assert out.orderBy(F.col("date").desc()).first()["ts_momentum"] > 0
     with pytest.raises(ValueError):
-        technical_factors(p, Indicators(), "daily", ["no_such_factor"])
+        technical_factors(p, Lookbacks(), "daily", ["no_such_factor"])
 
 
 def test_eligibility_needs_membership_and_history(spark):
@@ -53,7 +56,7 @@ def test_eligibility_needs_membership_and_history(spark):
     p = panel(spark, closes, days)
     members = [("AAA", d) for d in days] + [("BBB", d) for d in days[65:]]
     membership = spark.createDataFrame(members, "symbol string, date date")
-    mask = base_mask(p.prices, membership, Universe(min_history_days=20))
+    mask = base_mask(p.prices, membership, Eligible(sessions=20))
     got = {(r["symbol"], r["date"]): r["eligible"] for r in mask.collect()}
     assert not got["AAA", days[10]] and got["AAA", days[40]] and not got["BBB", days[79]]
     assert len(got) == 160
@@ -84,15 +87,17 @@ def test_group_weights(spark):
     assert got == pytest.approx(want)
 
 
-def test_splits_do_not_overlap_their_test_range():
+def test_splits_do_not_overlap_their_test_range(spark):
     import pandas as pd
 
     days = [d.date() for d in pd.date_range("2018-01-02", periods=72, freq="MS")]
-    splits = wf.split_rows(days, WalkForward(train_years=2, test_months=6, step_months=6, min_train_rebalances=12))
-    assert splits
-    for _, _, train_end, test_start, _, _, _, n_train, n_test in splits:
-        assert train_end < test_start and n_train >= 12 and n_test >= 1
-    assert wf.split_rows([], WalkForward()) == []
+    calendar = spark.createDataFrame([(d,) for d in days], "date date")
+    splits = wf.build_splits(calendar, Fitting(train_months=24, test_months=6, step_months=6, least_dates=12)).collect()
+    assert len(splits) == 8 and [s.split_id for s in splits] == list(range(8))
+    for s in splits:
+        assert s.train_end < s.test_start and s.n_train >= 12 and s.n_test >= 1
+    assert all(a.test_end < b.test_start for a, b in zip(splits, splits[1:]))
+    assert wf.build_splits(calendar.limit(0), Fitting()).count() == 0
 
 
 def test_constant_side_has_no_correlation(spark):
@@ -136,10 +141,7 @@ def test_fundamentals_filed_on_a_weekend(spark):
     assert column(out, "book_to_market", "date") == [None, 0.5]
 
 
-def test_config_round_trip_and_hash():
-    base = Config()
-    changed = base.with_value("strategy.max_holdings", 2)
-    assert base.differences(changed, ["strategy.max_holdings", "macro.zscore_window"]) == "strategy.max_holdings=2"
-    assert base.differences(base, ["strategy.max_holdings"]) == "baseline"
-    assert changed.config_hash() != base.config_hash() and len(base.config_hash()) == 12
-    assert Config.from_dict(changed.to_dict()) == changed
+def test_settings_flatten_and_choose():
+    paths = flat(Setup(selection=Selection(names=2)))
+    assert paths["selection.names"] == 2 and paths["fitting.step_months"] == 6 and "selection" not in paths
+    assert Setup(factors=("rsi", "sma_crossover", "other")).chosen(TECHNICAL) == ["sma_crossover", "rsi"]

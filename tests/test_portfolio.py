@@ -4,7 +4,7 @@ import pytest
 from helpers import D, business_days, column, panel, rows
 from pyspark.sql import functions as F
 
-from panelworks.config import Strategy
+from panelworks.settings import Selection
 from panelworks.operators import portfolio as pf
 from panelworks.operators import sizing as sz
 from panelworks.operators.panel import trade_prices
@@ -153,8 +153,8 @@ def test_noise_does_not_depend_on_partitioning(spark):
 
 
 def test_target_count_follows_macro(spark):
-    s = Strategy(max_holdings=5)
+    s = Selection(names=5)
     f = spark.createDataFrame([(1, None), (2, 0.0), (3, -0.5), (4, -1.0)], "i int, m double")
     assert column(f.select("i", target_holdings("m", s).alias("n")), "n", "i") == [5, 5, 2, 0]
-    cashless = Strategy(max_holdings=1, allow_cash_when_risk_off=False)
+    cashless = Selection(names=1, none_at=None)
     assert column(f.select("i", target_holdings("m", cashless).alias("n")), "n", "i") == [1, 1, 1, 1]
