@@ -16,7 +16,9 @@ def rnd(c: Column | str, name: str, digits: int = 4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits).alias(name)
 
 
-cte("sessions", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE isodow(l_shipdate) < 6")
+# A trade belongs to the session of its day; one on a weekend to that of the Monday after.
+SESSION_OF = "CAST({0} AS DATE) + CASE isodow({0}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END"
+cte("sessions", f"SELECT DISTINCT {SESSION_OF.format('l_shipdate')} AS date FROM lineitem")
 cte("symbols", "SELECT DISTINCT p_brand AS symbol FROM part")
 cte(
     "trades",
@@ -26,9 +28,9 @@ cte(
 )
 cte(
     "bars",
-    """SELECT symbol, date, first(px ORDER BY l_orderkey, l_linenumber, px) AS open, max(px) AS high,
+    f"""SELECT symbol, session AS date, first(px ORDER BY l_orderkey, l_linenumber, px) AS open, max(px) AS high,
     min(px) AS low, last(px ORDER BY l_orderkey, l_linenumber, px) AS close, sum(l_quantity) AS volume
-    FROM trades WHERE isodow(date) < 6 GROUP BY symbol, date""",
+    FROM (SELECT *, {SESSION_OF.format('date')} AS session FROM trades) GROUP BY symbol, session""",
     ("trades",),
 )
 cte(

@@ -107,7 +107,7 @@ def readouts(spark, sf_dir):
     )
 
 
-WIDE = ("Brand#1", "Brand#12", "Brand#25")
+WIDE = tuple(f"Brand#{i}" for i in range(1, 26))
 
 
 @query(
@@ -122,7 +122,8 @@ WIDE = ("Brand#1", "Brand#12", "Brand#25")
 def wide_forecasts(spark, sf_dir):
     m = mean_forecasts(market.panel(spark, sf_dir))
     flat = m.select("symbol", "date", rnd(m["mean"][0], "level"))
-    return fc.forecast_wide(flat, "level", WIDE)
+    names = sorted(row["symbol"] for row in market.symbols(spark, sf_dir).collect())
+    return fc.forecast_wide(flat, "level", names)
 
 
 @query(

@@ -36,6 +36,18 @@ METRICS = (
 )
 
 
+#: Compared on a compressed scale: rounding a growth factor of 100,000 to 4 decimals compares noise of the summation.
+GROWTH = ("cagr", "total_return", "annualized_return", "benchmark_total_return", "benchmark_annualized_return", "calmar", "profit_factor", "score")
+
+
+def scaled_sql(name: str, digits: int = 4) -> str:
+    return f"round({f'asinh({name})' if name in GROWTH else name}, {digits}) AS {name}"
+
+
+def scaled(frame, names, digits: int = 4):
+    return r4(frame.withColumns({n: F.asinh(n) for n in names if n in GROWTH}), *names, digits=digits)
+
+
 def daily_sql(source: str, keys: str) -> str:
     return f"""SELECT *, equity / lag(equity) OVER w - 1 AS ret, bench / lag(bench) OVER w - 1 AS bench_ret,
     equity / max(equity) OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM (SELECT e.*,
@@ -74,11 +86,11 @@ extended_sql("ext_run", "wt_equity", "run_id", ("wt_equity",))
 extended_sql("ext_year", "wt_years", "run_id, year", ("wt_years",))
 extended_sql("ext_period", "wt_periods_named", "run_id, period", ("wt_periods_named",))
 
-PICKED = ", ".join(f"round({m}, 4) AS {m}" for m in METRICS)
+PICKED = ", ".join(scaled_sql(m) for m in METRICS)
 
 
 def _rounded(frame, *keys):
-    return r4(frame.select(*keys, *METRICS, "n_months"), *METRICS)
+    return scaled(frame.select(*keys, *METRICS, "n_months"), METRICS)
 
 
 def _bench(p):
@@ -118,11 +130,11 @@ def _summary(spark, sf_dir):
 @query(
     "ag_01_backtest_summary",
     check_sql(
-        f"SELECT run_id, {', '.join(f'round({c}, 4) AS {c}' for c in SUMMARY)}, num_closed_trades FROM summary", "summary"
+        f"SELECT run_id, {', '.join(map(scaled_sql, SUMMARY))}, num_closed_trades FROM summary", "summary"
     ),
 )
 def summary(spark, sf_dir):
-    return r4(_summary(spark, sf_dir).drop("ending_equity"), *SUMMARY)
+    return scaled(_summary(spark, sf_dir).drop("ending_equity"), SUMMARY)
 
 
 @query("ag_02_extended_metrics", check_sql(f"SELECT run_id, {PICKED}, n_months FROM ext_run", "ext_run"))
@@ -197,7 +209,7 @@ cte(
 def folds(spark, sf_dir):
     p, equity = portfolio.weighted_equity(spark, sf_dir)
     days = tables.monthly(p)
-    splits = wf.build_splits(spark, days, walk_forward.WF)
+    splits = wf.build_splits(days, walk_forward.WF)
     train = wf.train_dates(splits, days)
     return r4(mt.per_fold(equity, splits, train, wf.strip_leaky(train)), "oos_sharpe")
 
@@ -205,13 +217,13 @@ def folds(spark, sf_dir):
 @query(
     "ag_08_objective_score",
     check_sql(
-        """SELECT run_id, round(annualized_return * 100 + least(coalesce(profit_factor, 0), 5) * 10 - abs(max_drawdown) * 50
-        - CASE WHEN abs(max_drawdown) > 0.5 THEN 1000 * (abs(max_drawdown) - 0.5) ELSE 0 END, 3) AS score FROM summary""",
+        """SELECT run_id, round(asinh(annualized_return * 100 + least(coalesce(profit_factor, 0), 5) * 10 - abs(max_drawdown) * 50
+        - CASE WHEN abs(max_drawdown) > 0.5 THEN 1000 * (abs(max_drawdown) - 0.5) ELSE 0 END), 6) AS score FROM summary""",
         "summary",
     ),
 )
 def objective(spark, sf_dir):
-    return r4(mt.objective_score(_summary(spark, sf_dir)).select("run_id", "score"), "score", digits=3)
+    return scaled(mt.objective_score(_summary(spark, sf_dir)).select("run_id", "score"), ["score"], 6)
 
 
 @query(

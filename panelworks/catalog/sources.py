@@ -85,19 +85,18 @@ def normalized_holdings(spark, sf_dir):
 @query(
     "src_03_import_directory",
     check_sql(
-        """SELECT snapshot_date, count(*) AS n, sum(weight_pct) AS weight FROM holdings_all
-        WHERE snapshot_date >= DATE '1997-01-01' GROUP BY 1""",
+        "SELECT snapshot_date, count(*) AS n, sum(weight_pct) AS weight FROM holdings_all GROUP BY 1",
         "holdings_all",
     ),
 )
 def import_directory(spark, sf_dir):
     source, archive = _archive(spark, sf_dir, "incoming"), staged(spark, "archive")
-    already = raw_holdings(spark, sf_dir).filter("snapshot_date < date'1997-01-01'")
-    holdings.write_snapshots(already, archive)
+    before = raw_holdings(spark, sf_dir).filter("snapshot_date < date'1997-01-01'")
+    holdings.write_snapshots(holdings.normalize_holdings(before, None, by=["snapshot_date"]), archive)
     added = holdings.import_directory(spark, source, archive)
     holdings.write_snapshots(added, archive)
     lowercase = ["ticker", "name", "sector", "weight_pct"]
-    kept = holdings.read_dated_csv(spark, archive, lowercase).filter("snapshot_date >= date'1997-01-01'")
+    kept = holdings.read_dated_csv(spark, archive, lowercase)
     return kept.groupBy("snapshot_date").agg(
         F.count("*").alias("n"), F.sum(F.col("weight_pct").try_cast("double")).alias("weight")
     )
@@ -179,7 +178,7 @@ cte(
         """SELECT g.symbol, g.item, make_date(CAST(y.y AS INTEGER), 12, 31) AS period_end, w.v AS value FROM (
         SELECT symbol, CASE WHEN label = 'Gross Profit' THEN 'gross_profit' ELSE 'net_income' END AS item,
         min(label) AS label FROM wide_years GROUP BY 1, 2) g
-        CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y) y
+        CROSS JOIN (SELECT DISTINCT y FROM wide_years) y
         LEFT JOIN wide_years w ON w.symbol = g.symbol AND w.label = g.label AND w.y = y.y""",
         "wide_years",
     ),
@@ -189,12 +188,11 @@ def statement_unpivot(spark, sf_dir):
     flag = F.col("l_returnflag")
     label = F.when(flag == "A", "Net Income").when(flag == "N", "Net Income Common Stockholders").otherwise("Gross Profit")
     kept = t.filter(~((flag == "A") & (F.substring("symbol", 7, 9).cast("int") % 3 == 0)))
-    periods = [f"{y}-12-31" for y in range(1995, 2002)]
     wide = (
         kept.withColumn("label", label)
         .withColumn("p", F.concat(F.year("date").cast("string"), F.lit("-12-31")))
         .groupBy("symbol", "label")
-        .pivot("p", periods)
+        .pivot("p")
         .agg(F.sum("l_quantity"))
         .withColumn("TTM", F.lit(1.0))
     )

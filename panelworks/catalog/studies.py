@@ -62,8 +62,8 @@ cte(
 portfolio.valuation_ctes("sv", "st_targets", portfolio.COST, True, True)
 
 
-def study(spark, sf_dir, by: str = "brand", members: int = 20, noisy_runs=None, config=walk_forward.CONFIG):
-    ctx = walk_forward.context(spark, sf_dir, by, members)
+def study(spark, sf_dir, by: str = "brand", noisy_runs=None, config=walk_forward.CONFIG):
+    ctx = walk_forward.context(spark, sf_dir, by)
     state = plan.build_factor_state(ctx, config)
     bench = market.benchmark(ctx.panel.prices)
     return run_study(ctx, state, config, sizing.levels(ctx.panel), bench, PARAMS, noisy_runs, 0.3)

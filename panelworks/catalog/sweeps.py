@@ -201,7 +201,7 @@ def candidate_sample(spark, sf_dir):
 )
 def split_leaks(spark, sf_dir):
     days = tables.monthly(market.panel(spark, sf_dir))
-    splits = wf.build_splits(spark, days, walk_forward.WF)
+    splits = wf.build_splits(days, walk_forward.WF)
     train = wf.train_dates(splits, days)
     return sw.leak_audit(splits, train, wf.strip_leaky(train))
 
@@ -210,16 +210,16 @@ def split_leaks(spark, sf_dir):
     "au_02_symbol_coverage",
     check_sql(
         """SELECT coalesce(m.symbol, f.symbol) AS symbol, CASE WHEN f.symbol IS NULL THEN 'missing' WHEN m.symbol IS NULL THEN 'extra' ELSE 'covered' END AS status
-        FROM (SELECT DISTINCT symbol FROM mask WHERE eligible AND date >= DATE '2000-06-01') m FULL JOIN
-        (SELECT DISTINCT symbol FROM requests WHERE date < DATE '1995-06-01') f ON f.symbol = m.symbol""",
+        FROM (SELECT DISTINCT symbol FROM mask WHERE eligible) m FULL JOIN
+        (SELECT DISTINCT symbol FROM requests) f ON f.symbol = m.symbol""",
         "mask",
         "requests",
     ),
 )
 def symbol_coverage(spark, sf_dir):
     p = market.stored_panel(spark, sf_dir)
-    late = eligible_symbols(tables.mask(spark, sf_dir, p)).filter("date >= date'2000-06-01'")
-    return sw.symbol_coverage(late, forecasts.requests(p).filter("date < date'1995-06-01'"))
+    able = eligible_symbols(tables.mask(spark, sf_dir, p))
+    return sw.symbol_coverage(able, forecasts.requests(p))
 
 
 cte(

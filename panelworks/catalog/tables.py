@@ -3,11 +3,11 @@ in the check SQL, for the queries that need them as inputs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelworks.catalog import base  # noqa: F401  (shared table expressions)
 from panelworks.catalog.registry import cte
-from panelworks.config import Indicators, Universe
+from panelworks.settings import Eligible, Lookbacks
 from panelworks.operators import calendar as cal
 from panelworks.operators import fundamentals as fnd
 from panelworks.operators.eligibility import base_mask
@@ -29,29 +29,29 @@ cte(
     "snapshots",
     """SELECT snapshot_date, ticker, 'Name of ' || ticker AS name, 'S' || right(ticker, 1) AS sector,
     100 * q / total AS weight_pct FROM (SELECT *, sum(q) OVER (PARTITION BY snapshot_date) AS total,
-    row_number() OVER (PARTITION BY snapshot_date ORDER BY q DESC, ticker) AS rn FROM quarter_quantity) WHERE rn <= 20""",
+    count(*) OVER (PARTITION BY snapshot_date) AS names FROM quarter_quantity) WHERE q * names >= 0.85 * total""",
     ("quarter_quantity",),
 )
 cte("current_holdings", "SELECT * EXCLUDE (snapshot_date) FROM snapshots WHERE snapshot_date = (SELECT max(snapshot_date) FROM snapshots)", ("snapshots",))
 cte(
     "membership",
-    """SELECT x.ticker AS symbol, s.date FROM sessions s ASOF JOIN (SELECT DISTINCT snapshot_date FROM snapshots) d
-    ON d.snapshot_date <= s.date JOIN snapshots x ON x.snapshot_date = d.snapshot_date
+    """SELECT x.ticker AS symbol, s.date FROM (SELECT date, (SELECT max(snapshot_date) FROM snapshots
+    WHERE snapshot_date <= sessions.date) AS valid FROM sessions) s JOIN snapshots x ON x.snapshot_date = s.valid
     UNION ALL SELECT c.ticker, s.date FROM sessions s, current_holdings c
     WHERE s.date < (SELECT min(snapshot_date) FROM snapshots)""",
     ("sessions", "snapshots", "current_holdings"),
 )
 
 
-def snapshots(spark, sf_dir, by: str = "brand", n: int = 20) -> DataFrame:
+def snapshots(spark, sf_dir, by: str = "brand", least: float = 0.85) -> DataFrame:
+    """Quarterly holdings: every name that traded at least ``least`` times the quarter's mean quantity."""
     quarter = F.add_months(F.trunc("date", "quarter"), 3)
     q = market.trades(spark, sf_dir, by).groupBy(quarter.alias("snapshot_date"), F.col("symbol").alias("ticker"))
     q = q.agg(F.sum("l_quantity").alias("q"))
-    w = Window.partitionBy("snapshot_date")
+    totals = q.groupBy("snapshot_date").agg(F.sum("q").alias("total"), F.count("*").alias("names"))
     return (
-        q.withColumn("total", F.sum("q").over(w))
-        .withColumn("rn", F.row_number().over(w.orderBy(F.col("q").desc(), "ticker")))
-        .filter(F.col("rn") <= n)
+        q.join(F.broadcast(totals), "snapshot_date")
+        .filter(F.col("q") * F.col("names") >= least * F.col("total"))
         .select(
             "snapshot_date",
             "ticker",
@@ -67,8 +67,8 @@ def current_holdings(snaps: DataFrame) -> DataFrame:
     return snaps.join(F.broadcast(last), "snapshot_date", "left_semi").drop("snapshot_date")
 
 
-def membership(spark, sf_dir, by: str = "brand", n: int = 20) -> DataFrame:
-    snaps = snapshots(spark, sf_dir, by, n)
+def membership(spark, sf_dir, by: str = "brand") -> DataFrame:
+    snaps = snapshots(spark, sf_dir, by)
     days, names = market.sessions(spark, sf_dir), market.symbols(spark, sf_dir, by)
     return holdings.membership(days, names, snaps, current_holdings(snaps))
 
@@ -175,8 +175,8 @@ def records(spark, sf_dir, prices: DataFrame, lag_days: int = 45, names=None, by
 
 # --- factor ranks, eligibility and a plain equal-weight score at the monthly rebalances
 
-RULES = Universe(min_history_days=60, min_price=500.0, min_avg_dollar_volume=60_000.0)
-PARAMS = Indicators(sma_fast=10, sma_slow=30, sma_trend=60, breakout_weeks=26)
+RULES = Eligible(sessions=60, price=500.0, dollar_volume=60_000.0)
+PARAMS = Lookbacks(averages=(10, 30), trend=60)
 TECH = ("sma_crossover", "trend_filter", "breakout")
 FUND = ("asset_growth", "earnings_yield", "roa")
 

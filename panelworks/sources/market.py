@@ -28,14 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _weekday(day: Column) -> Column:
-    return F.dayofweek(day).between(2, 6)
+def session_of(day: Column) -> Column:
+    """The session a trade belongs to: its own weekday, or the Monday after a weekend. No trade is left out."""
+    return F.date_add(day, F.when(F.dayofweek(day) == 7, 2).when(F.dayofweek(day) == 1, 1).otherwise(0))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekdays with at least one trade: a one-column scan with map-side distinct."""
-    day = F.to_date("l_shipdate")
-    return table(spark, sf_dir, "lineitem").select(day.alias("date")).filter(_weekday(F.col("date"))).distinct()
+    """Sessions that have a trade: a one-column scan with map-side distinct."""
+    return table(spark, sf_dir, "lineitem").select(session_of(F.to_date("l_shipdate")).alias("date")).distinct()
 
 
 def symbols(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
@@ -66,15 +66,11 @@ def trades(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
-    """Daily bars from the trades. Trades are ordered by (order, line, price); the order is packed into
-    one decimal so that the aggregation buffers are fixed-width and Spark keeps to hash aggregation."""
-    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)") * F.lit(10**14).cast("decimal(15,0)")
-    seq = seq + F.floor(F.col("px") * 10_000_000).cast("decimal(15,0)")
-    t = (
-        trades(spark, sf_dir, by)
-        .filter(_weekday(F.col("date")))
-        .select("symbol", "date", "px", "l_quantity", seq.alias("seq"))
-    )
+    """Daily bars from all trades. Trades are ordered by (order, line), the key of the table; the two are packed into
+    one decimal that holds any of their values, so Spark keeps to hash aggregation."""
+    seq = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)")
+    seq = seq + F.col("l_linenumber").cast("decimal(10,0)")
+    t = trades(spark, sf_dir, by).select("symbol", session_of(F.col("date")).alias("date"), "px", "l_quantity", seq.alias("seq"))
     return t.groupBy("symbol", "date").agg(
         F.min_by("px", "seq").alias("open"),
         F.max("px").alias("high"),
