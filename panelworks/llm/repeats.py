@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelworks.llm.bits import collect_bits, holds
-from panelworks.llm.staging import id_or_null, known_id, stored
+from panelworks.llm.staging import id_or_null, known_id, stored, with_spans
 from panelworks.llm.words import groups, hashes, long_ids, runs, slices, words
 
 WINDOW = 20
 #: Work of one group of starts, as groups per shuffle partition.
-GROUPS_PER_PARTITION = 8
+GROUPS_PER_PARTITION = 1
 _SLICE = 1 << 21
 
 
@@ -175,7 +175,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
     """
     spans = repeated_spans(docs, window, id_column, text_column)
     rows = docs.select(known_id(id_column).alias("id"), F.col(text_column).alias("text"))
-    joined = rows.join(spans.withColumnRenamed("id", "_of"), F.col("id") == F.col("_of"), "left").select("id", "text", "spans")
+    joined = with_spans(rows, spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

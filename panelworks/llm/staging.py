@@ -39,6 +39,23 @@ def broadcast_if_small(frame: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def with_spans(rows: DataFrame, spans: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` (``id, text``) with the ``spans`` of their id, or null.
+
+    Up to ``most`` ids (8 bytes each, counted) are sent to the scans: only rows with spans are shuffled, the others pass
+    straight through. Beyond that all rows are joined.
+    """
+    spans = spans.withColumnRenamed("id", "_of")
+    if spans.limit(most + 1).count() > most:
+        return rows.join(spans, F.col("id") == F.col("_of"), "left").select("id", "text", "spans")
+    ids = F.broadcast(spans.select(F.col("_of").alias("_has")))
+    touched = rows.join(ids, F.col("id") == F.col("_has"), "left_semi").join(spans, F.col("id") == F.col("_of"))
+    untouched = rows.join(ids, F.col("id") == F.col("_has"), "left_anti")
+    return touched.select("id", "text", "spans").unionByName(
+        untouched.select("id", "text", F.lit(None).cast("binary").alias("spans"))
+    )
+
+
 def known_id(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
