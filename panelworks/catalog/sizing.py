@@ -103,27 +103,41 @@ def soft_veto(spark, sf_dir):
     return both.select("date", "symbol", rnd(adjusted, "score", 6))
 
 
-def _judged(spark, sf_dir):
+def _judged(spark, sf_dir, rules):
     p = market.stored_panel(spark, sf_dir)
     s = tables.scores(spark, sf_dir, p).join(ratios(p), ["symbol", "date"], "left")
     naive = vt.naive_ratios(p.prices, tables.prior_ends(p), 63).withColumnRenamed("ratio", "short_ratio")
     s = s.join(naive, ["symbol", "date"], "left")
-    rules = [("volume", "ratio", 0.85), ("short_volume", "short_ratio", 0.95), ("weak_score", "score", 0.1)]
+    s = s.join(vt.expected_moves(p.prices, tables.prior_ends(p)), ["symbol", "date"], "left")
     return vt.sequential_vetoes(s, rules)
 
 
+RETURN_RULE = ("return", "expected_return", -0.02)
+RULES = (("volume", "ratio", 0.85), RETURN_RULE, ("short_volume", "short_ratio", 0.95), ("price", "price_ratio", 0.97))
+
+
 cte(
     "judged",
-    f"""SELECT s.date, s.symbol, CASE WHEN r.ratio < 0.85 THEN 'volume' WHEN v.tv21 / nullif(v.tv, 0) < 0.95 THEN 'short_volume'
-    WHEN s.score < 0.1 THEN 'weak_score' END AS reason FROM scores s LEFT JOIN ratios r ON r.symbol = s.symbol AND r.date = s.date
-    JOIN rebal_prior e ON e.date = s.date LEFT JOIN {TV} v ON v.symbol = s.symbol AND v.date = e.prior_end""",
-    ("scores", "ratios", "rebal_prior", "panel"),
+    f"""SELECT s.date, s.symbol, m.expected_return, CASE WHEN r.ratio < 0.85 THEN 'volume' WHEN m.expected_return < -0.02 THEN 'return'
+    WHEN v.tv21 / nullif(v.tv, 0) < 0.95 THEN 'short_volume' WHEN m.price_ratio < 0.97 THEN 'price' END AS reason
+    FROM scores s LEFT JOIN ratios r ON r.symbol = s.symbol AND r.date = s.date
+    JOIN rebal_prior e ON e.date = s.date LEFT JOIN {TV} v ON v.symbol = s.symbol AND v.date = e.prior_end
+    LEFT JOIN moves m ON m.symbol = s.symbol AND m.date = e.prior_end""",
+    ("scores", "ratios", "rebal_prior", "panel", "moves"),
+)
+cte(
+    "moves",
+    """SELECT symbol, date, CASE WHEN count(r) OVER w >= 2 THEN 21 * avg(r) OVER w END AS expected_return,
+    CASE WHEN count(close) OVER w >= 2 THEN avg(close) OVER w END / nullif(close, 0) AS price_ratio FROM (
+    SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS r FROM panel)
+    WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING)""",
+    ("panel",),
 )
 
 
 @query("vt_05_sequential_vetoes", check_sql("SELECT date, symbol, reason FROM judged", "judged"))
 def sequential(spark, sf_dir):
-    return _judged(spark, sf_dir).select("date", "symbol", "reason")
+    return _judged(spark, sf_dir, RULES).select("date", "symbol", "reason")
 
 
 @query(
@@ -131,7 +145,15 @@ def sequential(spark, sf_dir):
     check_sql("SELECT reason, count(*) AS dropped FROM judged WHERE reason IS NOT NULL GROUP BY reason", "judged"),
 )
 def drops(spark, sf_dir):
-    return vt.rule_counts(_judged(spark, sf_dir))
+    return vt.rule_counts(_judged(spark, sf_dir, RULES))
+
+
+@query(
+    "vt_05_return_rule_alone",
+    check_sql("SELECT date, symbol FROM judged WHERE NOT coalesce(expected_return < -0.02, FALSE)", "judged"),
+)
+def return_rule_alone(spark, sf_dir):
+    return _judged(spark, sf_dir, [RETURN_RULE]).where("reason IS NULL").select("date", "symbol")
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelworks.functions.scalar import ratio
-from panelworks.functions.windows import rolling
+from panelworks.functions.windows import ordered, rolling
 from panelworks.operators.panel import asof, at_prior_end
 from panelworks.operators.xsection import below_quantile, zscore
 
@@ -54,6 +54,19 @@ def naive_ratios(prices: DataFrame, dates: DataFrame, window: int, short: int =
     return at.select("symbol", "date", ratio("_short", F.when(F.col("_long") > 0, F.col("_long"))).alias("ratio"))
 
 
+def expected_moves(prices: DataFrame, dates: DataFrame, window: int = 21) -> DataFrame:
+    """What trailing means say at each date's prior end: the log return over ``window`` sessions, and the mean price over
+    the last close."""
+    stepped = prices.withColumn("_step", F.ln(ratio("close", F.lag("close").over(ordered()))))
+    known = stepped.select(
+        "symbol",
+        "date",
+        (window * rolling("_step", window, 2)).alias("expected_return"),
+        ratio(rolling("close", window, 2), "close").alias("price_ratio"),
+    )
+    return at_prior_end(known, dates).select("symbol", "date", "expected_return", "price_ratio")
+
+
 def soft_adjustment(score: Column, r: Column, veto: float, soft: float = 0.0, confidence: float = 0.0) -> Column:
     """Vetoed scores are NULL; a ratio below ``soft`` shrinks the score, one above 1 lifts it."""
     out = F.when(r < veto, F.lit(None).cast("double"))
