@@ -26,7 +26,10 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def holds(filters: list[np.ndarray], hashed: np.ndarray) -> np.ndarray:
-    return is_set(filters[0], slots(hashed, 0)) & is_set(filters[1], slots(hashed, 1))
+    out = is_set(filters[0], slots(hashed, 0))
+    at = np.flatnonzero(out)
+    out[at] = is_set(filters[1], slots(hashed[at], 1))
+    return out
 
 
 def collect_bits(

@@ -8,18 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelworks.llm.bits import collect_bits, holds
 from panelworks.llm.components import components
 from panelworks.llm.rtree import CountTree, needed
 from panelworks.llm.staging import broadcast_if_small, id_or_null, known_id, stored
-from panelworks.llm.words import fold, groups, hashes, runs, scramble, slices, words
+from panelworks.llm.words import fold, group_edges, hashes, runs, scramble, slices, whole_groups, words
 
 #: Coordinates of a count vector.
 GROUPS = 32
-#: Slots of the shingle histogram: 16 MiB of counts, whatever the input. It only orders shingles, so any size is exact.
-SLOTS = 1 << 22
-_PARTS = 64
+#: Slots of the shingle histogram: 4 MiB of counts, whatever the input. It only orders shingles, so any size is exact.
+SLOTS = 1 << 20
+_PARTS = 16
+#: Bytes of a hash that verification compares.
+HASH_BYTES = 6
 #: Points of one R-tree; a larger bucket is searched block by block.
 BLOCK = 1024
+#: A bucket of so few points is one leaf, scanned without a tree.
+LEAF = 16
 #: Ids that a scan is filtered by in memory (8 bytes each); more are joined.
 IDS = 1_000_000
 
@@ -117,27 +122,63 @@ def _prefixes(rows: DataFrame, length: int, percent: int) -> DataFrame:
     return rows.mapInArrow(describe, "id long, n long, sig long, sig2 long, vector binary, keys array<long>")
 
 
+def _shared_keys(known: DataFrame) -> DataFrame:
+    """``id, n, sig, sig2, key, place``: the prefix keys that may be in two sets or more, with their rank in the set."""
+    twice = known.sparkSession.sparkContext.broadcast(collect_bits(known.select("keys"), _flat_keys, 2)[0])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = next(_flat_keys(batch.select(["keys"])))
+            sizes = batch.column("keys").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            stay = holds(twice.value, keys)
+            own = batch.select(["id", "n", "sig", "sig2"]).take(pa.array(row[stay]))
+            columns = [*own.columns, pa.array(keys[stay].view(np.int64)), pa.array(place[stay], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "sig2", "key", "place"])
+
+    return known.mapInArrow(spread, "id long, n long, sig long, sig2 long, key long, place long")
+
+
+def _flat_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
+
+
+def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
+    some = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, HASH_BYTES)
+    whole = np.zeros((len(some), 8), np.uint8)
+    whole[:, 8 - HASH_BYTES :] = some
+    return whole.reshape(-1).view(np.uint64)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets have the similarity, counted on the shingles themselves."""
     pairs = stored(pairs, "jaccard-candidates")
-    ids = stored(pairs.select(F.col("a").alias("of")).unionByName(pairs.select(F.col("b").alias("of"))).distinct(), "jaccard-ids")
+    ends = [stored(pairs.select(F.col(end).alias("of")).distinct(), f"jaccard-{end}") for end in ("a", "b")]
+    ids = broadcast_if_small(ends[0].union(ends[1]).distinct(), IDS)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, shingles, limits in _sets(batch.column(1), length):
-                made = [shingles[limits[i] : limits[i + 1]].tobytes() for i in range(len(limits) - 1)]
+                made = [_packed(shingles[limits[i] : limits[i + 1]]) for i in range(len(limits) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made)), pa.array(made, pa.binary())], ["id", "shingles"])
 
-    wanted = rows.join(broadcast_if_small(ids, IDS), rows["id"] == ids["of"], "left_semi")
-    sets = stored(wanted.mapInArrow(shingled, "id long, shingles binary"), "jaccard-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    wanted = rows.join(ids, rows["id"] == ids["of"], "left_semi")
+    sets = stored(wanted.mapInArrow(shingled, "id long, shingles binary"), "jaccard-shingles")
+    left, right = (
+        sets.join(broadcast_if_small(end, IDS), sets["id"] == end["of"], "left_semi").select(F.col("id").alias(key), F.col("shingles").alias(side))
+        for end, key, side in ((ends[0], "a", "left"), (ends[1], "b", "right"))
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                one, two = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -150,34 +191,56 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS).astype(np.int64)
 
 
+def _fits(m, n, i, j, percent: int):
+    """Whether sets of m and n shingles with a first common key at ranks i and j can be similar, by size and rank."""
+    least = needed(m, n, percent)
+    return (np.minimum(m, n) >= least) & (1 + np.minimum(m - 1 - i, n - 1 - j) >= least)
+
+
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different labels in the same bucket that the tree's bound allows.
 
-    ``members``: ``key, id, n, vector, label``. A bucket is cut into blocks by size; blocks whose sizes fit are paired
-    in separate groups: one block's points are searched in a tree of the other's.
+    ``members``: ``key, id, n, place, vector, label``. A bucket is cut into blocks by size; blocks whose sizes fit are
+    paired in separate groups: one block's points are searched in a tree of the other's.
     """
     numbered = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "id")) - 1) / BLOCK))
     numbered = stored(numbered, "jaccard-blocks")
     blocks = numbered.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = blocks.select("key", F.col("block").alias("into"), F.col("low").alias("into_low"))
-    fits = (F.col("block") <= F.col("into")) & (F.col("high") * 100 >= F.col("into_low") * percent)
+    fits = (F.col("block") < F.col("into")) & (F.col("high") * 100 >= F.col("into_low") * percent)
     meetings = stored(blocks.join(other, "key").where(fits).select("key", "block", "into"), "jaccard-meetings")
-    columns = ["key", "x", "y", "side", "id", "n", "vector", "label"]
-    asks = numbered.join(meetings, ["key", "block"]).select("key", F.col("block").alias("x"), F.col("into").alias("y"), F.lit(0).alias("side"), "id", "n", "vector", "label")
-    holds = numbered.join(meetings.withColumnRenamed("block", "x").withColumnRenamed("into", "block"), ["key", "block"])
-    holds = holds.select("key", "x", F.col("block").alias("y"), F.lit(1).alias("side"), "id", "n", "vector", "label")
-    dealt = asks.select(columns).unionByName(holds.select(columns)).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
+    rest = ["id", "n", "place", "vector", "label"]
+    own = numbered.select("key", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"), *rest)
+    asks = numbered.join(meetings, ["key", "block"]).select("key", F.col("block").alias("x"), F.col("into").alias("y"), F.lit(0).alias("side"), *rest)
+    into = meetings.select("key", F.col("block").alias("x"), F.col("into").alias("block"))
+    sought = numbered.join(into, ["key", "block"]).select("key", "x", F.col("block").alias("y"), F.lit(1).alias("side"), *rest)
+    dealt = own.unionByName(asks).unionByName(sought).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 3):
-            side = group.column("side").to_numpy()
-            ids, sizes = group.column("id").to_numpy(), group.column("n").to_numpy()
-            labels, vectors = group.column("label").to_numpy(), _vectors(group.column("vector"))
-            ask, hold = side == 0, side == 1
-            tree = CountTree(vectors[hold], sizes[hold], labels[hold])
-            q, p = tree.search(vectors[ask], sizes[ask], labels[ask], percent)
-            a, b = ids[ask][q], ids[hold][p]
-            low, high = np.minimum(a, b), np.maximum(a, b)
+        for table in whole_groups(batches, 3):
+            ids, n, place, label = (table.column(c).to_numpy() for c in ("id", "n", "place", "label"))
+            side, vectors = table.column("side").to_numpy(), _vectors(table.column("vector"))
+            edges = group_edges(table, 3)
+            sizes = np.diff(edges)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            leaf = (sizes <= LEAF)[group] & (table.column("x").to_numpy() == table.column("y").to_numpy())
+            for step in range(1, LEAF):
+                i = np.flatnonzero(leaf[:-step] & (group[:-step] == group[step:]) & (label[:-step] != label[step:]))
+                i = i[np.minimum(vectors[i], vectors[i + step]).sum(axis=1) >= needed(n[i], n[i + step], percent)]
+                a.append(i)
+                b.append(i + step)
+            for g in np.flatnonzero(~leaf[edges[:-1]]) if len(leaf) else ():
+                at = np.arange(edges[g], edges[g + 1])
+                hold = at[side[at] == 1] if side[at].any() else at
+                ask = at[side[at] == 0]
+                tree = CountTree(vectors[hold], n[hold], label[hold])
+                q, p = tree.search(vectors[ask], n[ask], label[ask], percent)
+                a.append(ask[q])
+                b.append(hold[p])
+            i, j = np.concatenate(a), np.concatenate(b)
+            stay = _fits(n[i], n[j], place[i], place[j], percent)
+            low, high = np.minimum(ids[i], ids[j])[stay], np.maximum(ids[i], ids[j])[stay]
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
@@ -204,25 +267,32 @@ def near_duplicates(
     known = stored(_prefixes(rows, length, percent), "jaccard-sets")
     some = known.where("n > 0")
     firsts = stored(some.groupBy("sig", "sig2", "n").agg(F.min("id").alias("rep")), "jaccard-firsts")
-    apart = some.join(
-        firsts.select(F.col("rep").alias("id"), "sig", "sig2", "n"), ["id", "sig", "sig2", "n"], "left_semi"
-    ).dropDuplicates(["id", "sig", "sig2"])
-    keyed = apart.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    shared = stored(shared.select("key", "least"), "jaccard-shared")
-    members = stored(keyed.join(shared, "key"), "jaccard-members")
-    points = stored(apart.select("id", "n", "vector"), "jaccard-points")
-
-    star = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    rep = firsts.select(F.col("rep").alias("id"), "sig", "sig2", "n")
+    own = ["id", "sig", "sig2", "n"]
+    keyed = stored(_shared_keys(known).join(rep, own, "left_semi").select("key", "id", "n", "place").distinct(), "jaccard-keyed")
+    least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    least = stored(least.select("key", "least"), "jaccard-shared")
+    members = stored(keyed.join(least, "key"), "jaccard-members")
+    points = some.select(*own, "vector").join(rep, own, "left_semi").dropDuplicates(own).select("id", "n", "vector")
+    points = stored(points, "jaccard-points")
+
+    hub = members.where("id = least").select("key", F.col("n").alias("m"), F.col("place").alias("at"))
+    star = members.where("id <> least").join(hub, "key").where(
+        F.least("m", "n") * (100 + percent) >= (F.col("m") + F.col("n")) * percent
+    )
+    star = star.where(
+        (1 + F.least(F.col("m") - 1 - F.col("at"), F.col("n") - 1 - F.col("place"))) * (100 + percent) >= (F.col("m") + F.col("n")) * percent
+    )
+    star = star.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(_bounded(star, points, percent), rows, length, percent)
     labels = components(links)
-    labelled = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select(
-        "key", "id", F.coalesce("label", "id").alias("label")
+    labelled = members.select("key", "id", "n", "place").join(labels, F.col("id") == F.col("node"), "left").select(
+        "key", "id", "n", "place", F.coalesce("label", "id").alias("label")
     )
     labelled = stored(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = stored(mixed.select("key"), "jaccard-mixed")
-    open_ = labelled.join(mixed, "key").join(points, "id").select("key", "id", "n", "vector", "label")
+    open_ = labelled.join(mixed, "key").join(points, ["id", "n"]).select("key", "id", "n", "place", "vector", "label")
     more = _verified(_candidates(open_, percent), rows, length, percent)
     labels = components(links.unionByName(more))
 

@@ -90,10 +90,26 @@ def spans(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int) -
     return scramble((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
+#: The base of byte hashes. Seeds differ in what each byte counts for, so the powers are kept once.
+_BYTE_BASE = _letters(0)[1]
+
+
 def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """64-bit hash of each byte span."""
-    letters, base = _letters(seed)
-    return spans(letters[data], begins, ends, base)
+    return spans(_letters(seed)[0][data], begins, ends, _BYTE_BASE)
+
+
+def rolling_hashes(data: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
+    """What :func:`hashes` gives for the span of ``length`` bytes from each place on, across texts as well."""
+    if len(data) < length:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(_BYTE_BASE, len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_letters(seed)[0][data] * up[: len(data)], dtype=np.uint64, out=total[1:])
+    some = total[length:] - total[:-length]
+    some *= down[: len(some)]
+    some += np.uint64(length)
+    return scramble(some)
 
 
 def runs(hashed: np.ndarray, owner: np.ndarray, length: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -108,22 +124,41 @@ def long_ids(column: pa.Array, null: int) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of consecutive rows that agree in their first ``keys`` columns."""
+def group_edges(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where each run of rows that agree in their first ``keys`` columns begins, and the end."""
+    fresh = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+    for i in range(keys):
+        column = table.column(i).to_numpy()
+        fresh |= column[1:] != column[:-1]
+    return np.concatenate(([0], np.flatnonzero(fresh) + 1, [table.num_rows])) if table.num_rows else np.zeros(1, np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of consecutive rows in which no run that agrees in the first ``keys`` columns is cut."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        same = np.ones(batch.num_rows - 1, dtype=bool)
-        for i in range(keys):
-            column = batch.column(i).to_numpy()
-            same &= column[1:] == column[:-1]
-        cuts = [0, *(np.flatnonzero(~same) + 1), batch.num_rows]
-        for begin, end in zip(cuts, cuts[1:]):
-            piece = batch.slice(begin, end - begin)
-            if held and any(held[-1].column(i)[0] != piece.column(i)[0] for i in range(keys)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(piece)
+        edges = group_edges(batch, keys)
+        joins = bool(held) and all(held[-1].column(i)[-1] == batch.column(i)[0] for i in range(keys))
+        if len(edges) == 2 and joins:
+            held.append(batch)
+            continue
+        if held:
+            yield pa.Table.from_batches([*held, batch.slice(0, edges[-2])] if len(edges) > 2 or not joins else held)
+            held = []
+            batch = batch.slice(edges[-2])
+        elif len(edges) > 2:
+            yield pa.Table.from_batches([batch.slice(0, edges[-2])])
+            batch = batch.slice(edges[-2])
+        held = [batch]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of all consecutive rows that agree in their first ``keys`` columns."""
+    for table in whole_groups(batches, keys):
+        edges = group_edges(table, keys)
+        for begin, end in zip(edges[:-1], edges[1:]):
+            yield table.slice(begin, end - begin)
