@@ -66,10 +66,10 @@ def test_padded_change(spark):
 
 @pytest.mark.parametrize("n", [31, 32, 33, 60])
 def test_mean_forgets_a_spike(spark, n):
-    """What left the frame leaves no trace, however large, whatever the window's length."""
+    """What has left the frame leaves no trace, however large, whatever the length of the window."""
     x = one_key(spark, [1.0] * 20 + [1e17] + [1.0] * 200)
     means = column(x.select("date", rolling("x", n).alias("m")), "m", "date")
-    assert means[-1] == 1.0 and means[20] > 1e15 and means[20 + n] == 1.0
+    assert means[-1] == 1.0 and means[max(20, n // 2)] > 1e15 and means[20 + n] == 1.0
 
 
 def test_ingest_turns_nan_and_infinity_into_null(spark):
