@@ -58,11 +58,31 @@ def mix(
     sorted by hash, and only the boundary bucket is read again. Repeated rows share a hash and are taken together. A
     null text has size 0 and a null source is a source of its own; empty sources get 0. An empty table gives none.
     """
+    sized, final = _thresholds(docs, id_column, text_column, source_column, weights, most)
+    taken = F.col("size") * _times(F.col("key"))
+    return sized.join(final, sized["source"].eqNullSafe(F.col("of"))).select(
+        "id", "size", "source_size", "target", taken.alias("taken")
+    )
+
+
+def _times(key: Column) -> Column:
+    extra = (key < F.col("prefix")) | ((key == F.col("prefix")) & F.col("whole"))
+    return F.col("repeats") + F.when(extra, 1).otherwise(0)
+
+
+def _words(text_column: str) -> Column:
+    return F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _thresholds(
+    docs: DataFrame, id_column: str, text_column: str, source_column: str, weights: tuple[int, ...], most: int
+) -> tuple[DataFrame, DataFrame]:
+    """The sized documents, and per source (``of``) the repeats and the hash threshold."""
     sized = stored(
         docs.select(
             F.col(id_column).alias("id"),
             F.col(source_column).alias("source"),
-            F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _words(text_column).alias("size"),
             hash_key(id_column).alias("key"),
         ),
         "mix-sizes",
@@ -78,12 +98,7 @@ def mix(
     state = stored(state, "mix-state")
     for level in range(LEVELS):
         state = stored(_refine(sized, state, level), f"mix-state{level}")
-    final = broadcast_if_small(state.withColumnRenamed("source", "of"))
-    extra = (F.col("key") < F.col("prefix")) | ((F.col("key") == F.col("prefix")) & F.col("whole"))
-    taken = F.col("size") * (F.col("repeats") + F.when(extra, 1).otherwise(0))
-    return sized.join(final, sized["source"].eqNullSafe(F.col("of"))).select(
-        "id", "size", "source_size", "target", taken.alias("taken")
-    )
+    return sized, broadcast_if_small(state.withColumnRenamed("source", "of"))
 
 
 def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:
@@ -120,9 +135,23 @@ def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:
     )
 
 
-def repeat_rows(docs: DataFrame, id_column: str = "doc_id", **columns: str) -> DataFrame:
-    """``docs`` with ``_times``: how many copies of each row the mix holds (0: none). Rows of one id agree."""
-    taken = mix(docs, id_column, **columns)
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    per_id = stored(taken.groupBy(F.col("id").alias("_id")).agg(F.max(times).alias("_times")), "mix-times")
-    return docs.join(per_id, docs[id_column].eqNullSafe(F.col("_id")), "left").drop("_id")
+def repeat_rows(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST,
+) -> DataFrame:
+    """``docs`` with ``_times``: how many copies of each row the mix holds (0: none, as for rows without words).
+
+    The thresholds of its source decide each row where it is read, so texts are not shuffled.
+    """
+    final = _thresholds(docs, id_column, text_column, source_column, weights, most)[1]
+    rule = final.select("of", F.struct("repeats", "prefix", "whole").alias("_rule"))
+    rule = broadcast_if_small(rule.withColumnRenamed("of", "_of_source"))
+    key = hash_key(id_column)
+    extra = (key < F.col("_rule.prefix")) | ((key == F.col("_rule.prefix")) & F.col("_rule.whole"))
+    times = F.when(_words(text_column) > 0, (F.col("_rule.repeats") + F.when(extra, 1).otherwise(0)).cast("int")).otherwise(0)
+    joined = docs.join(rule, docs[source_column].eqNullSafe(F.col("_of_source")), "left")
+    return joined.withColumn("_times", times).drop("_of_source", "_rule")
