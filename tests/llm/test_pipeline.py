@@ -6,9 +6,14 @@ import corpus_pipeline
 from tests.llm.conftest import prose
 
 
-def test_stages_over_planted_cases(spark, tmp_path, hard):
+#: The second language is written in other letters, so that the first stage can tell the two apart.
+OTHER = str.maketrans("abcdefghijklmnopqrstuvwxyz", "".join(chr(0x430 + i) for i in range(26)))
+
+
+def test_stages_over_planted_cases(spark, tmp_path):
     item = prose(70, 40)
-    clean = [(i, prose(1000 + i, 200), "xx" if i % 2 else "yy", f"s{i % 2}", None) for i in range(100, 140)]
+    clean = [(i, prose(1000 + i, 200), "xx", "s1", None) for i in range(101, 140, 2)]
+    clean += [(i, prose(1000 + i, 200).translate(OTHER), "yy", "s0", None) for i in range(100, 140, 2)]
     base = prose(60, 150)
     planted = [
         (200, base, "xx", "s0", 1),
