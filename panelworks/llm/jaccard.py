@@ -258,7 +258,7 @@ def near_duplicates(
 
     1. Equal sets are reduced to their smallest id. 2. Each set goes to the buckets of its rarest shingles, so many
     that similar sets must share a bucket (any order is exact; a histogram over all documents makes it a good one).
-    3. Each set is compared with the smallest id of each of its buckets; verified links give first components. 4. In
+    3. Each set is compared with one smallest id of its buckets; verified links give first components. 4. In
     buckets that hold several components, an R-tree over count vectors finds the pairs of different components whose
     overlap bound, the sum of coordinate minima, allows the similarity; these are verified on the shingles. Pairs
     inside a component are never made, so a group of thousands of copies costs one comparison each.
@@ -283,7 +283,9 @@ def near_duplicates(
     star = star.where(
         (1 + F.least(F.col("m") - 1 - F.col("at"), F.col("n") - 1 - F.col("place"))) * (100 + percent) >= (F.col("m") + F.col("n")) * percent
     )
-    star = star.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # Of several smallest ids the one that shares most keys; what that misses is left to the trees.
+    weighed = star.groupBy(F.col("id").alias("b"), F.col("least").alias("a")).agg(F.count("*").alias("keys"))
+    star = weighed.groupBy("b").agg(F.max_by("a", F.struct("keys", F.bitwise_not("a"))).alias("a")).select("a", "b")
     links = _verified(_bounded(star, points, percent), rows, length, percent)
     labels = components(links)
     labelled = members.select("key", "id", "n", "place").join(labels, F.col("id") == F.col("node"), "left").select(
