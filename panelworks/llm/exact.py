@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelworks.llm.staging import SPACE, stored
+from panelworks.llm.staging import SPACE, broadcast_if_small, stored
 
 #: Bits of each of the two filters. A filter is at most SLOTS / 8 bytes (8 MiB), whatever the input; where the rows
 #: outgrow it, more rows take the exact way, and the result stays the same.
@@ -119,5 +119,5 @@ def drop_exact_copies(
         "exact-keepers",
     )
     on = [rows["sha"] == keepers["sha"], rows["id"].eqNullSafe(keepers["keep_id"]), rows["n"] == keepers["longest"]]
-    stays = marked.where("_suspect").join(keepers, on, "left_semi").dropDuplicates(["sha", "id"])
+    stays = marked.where("_suspect").join(broadcast_if_small(keepers, 100_000), on, "left_semi").dropDuplicates(["sha", "id"])
     return marked.where("NOT _suspect").select("row.*").unionByName(stays.select("row.*"))
