@@ -1,4 +1,4 @@
-"""A small HTML tree, its skeleton, and the alignment of two skeletons by simple tree matching."""
+"""A small HTML tree and its skeleton, whose nodes have the same path on all pages of a template."""
 
 from __future__ import annotations
 
@@ -46,6 +46,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Classes that number a page; they are no part of a label.
+_SERIAL = re.compile(r"[0-9]{3}")
 
 
 @dataclass(slots=True)
@@ -53,25 +55,34 @@ class Node:
     tag: str
     label: str
     unwanted: bool
+    marked: bool
     children: list = field(default_factory=list)
 
 
+def _marks(token: str) -> bool:
+    """Whether a class, id or role says an unwanted name."""
+    names = {w.lower() for w in _NAME.findall(token)}
+    return bool(names) and not names.isdisjoint(UNWANTED_NAMES)
+
+
 def _node(tag: str, attributes: str) -> Node:
-    names: list[str] = []
     unwanted = tag in UNWANTED
-    label = tag
+    classes: list[str] = []
+    marks: set[str] = set()
+    hidden = False
     if attributes.strip(" \t\r\n/"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role"):
-                names += [w.lower() for w in _NAME.findall(value)]
-                if name == "class" and value:
-                    label = f"{tag}.{'.'.join(sorted(value.split()))}"
+                marks.update(token.lower() for token in value.split() if _marks(token))
+                if name == "class":
+                    classes = sorted(value.split())
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                unwanted = True
-    if tag not in ("html", "body", "article", "main"):
-        unwanted = unwanted or not UNWANTED_NAMES.isdisjoint(names)
-    return Node(tag, label, unwanted)
+                hidden = True
+    if tag in ("html", "body", "article", "main"):
+        marks.clear()
+    label = ".".join([tag, *(c for c in classes if not _SERIAL.search(c))]) + "".join(f"#{m}" for m in sorted(marks)) + "!" * hidden
+    return Node(tag, label, unwanted or hidden, bool(marks))
 
 
 def parse(html: str) -> Node:
@@ -79,7 +90,7 @@ def parse(html: str) -> Node:
 
     Elements nested deeper than DEPTH are dissolved into their ancestor there; their text stays.
     """
-    root = Node("", "", False)
+    root = Node("", "", False, False)
     stack = [root]
     flat: Counter[str] = Counter()
     at, size = 0, len(html)
@@ -167,88 +178,66 @@ def blocks(node: Node, skip=lambda child: False) -> list[str]:
 
 @dataclass(slots=True)
 class Shape:
-    """A node of a skeleton: all same-labelled children of a parent in one, with their tree nodes if it is a page's."""
+    """A node of a skeleton: all same-labelled children of a parent in one, with their tree nodes if it is a page's.
+
+    ``path`` is a hash of the labels from the root on, ``text`` and ``own_text`` are digests of all text and of what
+    stands in no child, ``size`` and ``own`` their lengths.
+    """
 
     label: str
-    text: str
-    size: int
-    unwanted: bool
-    children: list
-    nodes: list
+    path: int
+    text: int = 0
+    own_text: int = 0
+    size: int = 0
+    own: int = 0
+    unwanted: bool = False
+    marked: bool = False
+    children: list = field(default_factory=list)
+    nodes: list = field(default_factory=list)
+
+    @property
+    def tag(self) -> str:
+        return self.label.split(".")[0].split("#")[0].rstrip("!")
 
-    def packed(self) -> list:
-        return [self.label, self.text, self.unwanted, [child.packed() for child in self.children]]
 
-    @staticmethod
-    def unpacked(values: list) -> Shape:
-        return Shape(values[0], values[1], 0, values[2], [Shape.unpacked(v) for v in values[3]], [])
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
+def path_of(parent: int, label: str) -> int:
+    return _digest(parent.to_bytes(8, "big", signed=True) + label.encode("utf-8", "surrogatepass"))
 
 
 def skeleton(root: Node) -> Shape:
-    """Block elements of a page, repeated siblings merged, each with a digest and the length of its text."""
+    """Block and marked elements of a page, repeated siblings merged, each with digests and lengths of its text."""
 
-    def shape(label: str, nodes: list[Node]) -> Shape:
+    def shape(label: str, parent: int, nodes: list[Node]) -> Shape:
         by_label: dict[str, list[Node]] = {}
-        size, digest = 0, hashlib.blake2b(digest_size=8)
-        for node in nodes:
-            for child in _block_children(node, by_label):
-                size += len(child)
-                digest.update(child.encode("utf-8", "surrogatepass"))
-        unwanted = all(node.unwanted for node in nodes)
-        children = [shape(name, own) for name, own in by_label.items()]
-        for child in children:
-            size += child.size
-            digest.update(child.text.encode())
-        return Shape(label, digest.hexdigest(), size, unwanted, children, nodes)
-
-    return shape("", [root])
+        texts = [text for node in nodes for text in _block_children(node, by_label)]
+        made = Shape(label, path_of(parent, label), nodes=nodes)
+        made.own = made.size = sum(map(len, texts))
+        own = "\n".join(texts).encode("utf-8", "surrogatepass")
+        made.own_text = _digest(own)
+        made.unwanted = all(node.unwanted for node in nodes)
+        made.marked = all(node.marked for node in nodes)
+        made.children = [shape(name, made.path, found) for name, found in by_label.items()]
+        made.size += sum(child.size for child in made.children)
+        below = b"".join(child.text.to_bytes(8, "big", signed=True) for child in made.children)
+        made.text = _digest(own + b"\0" + below)
+        return made
+
+    return shape("", 0, [root])
 
 
 def _block_children(node: Node, by_label: dict[str, list[Node]]):
-    """Texts that stand in ``node`` or in inline elements of it; block elements met are added to ``by_label``."""
+    """Texts that stand in ``node`` or in inline elements of it; block and marked elements met are added to ``by_label``."""
     work = list(reversed(node.children))
     while work:
         item = work.pop()
         if isinstance(item, str):
             if text := item.strip():
                 yield text
-        elif item.tag in BLOCK:
+        elif item.tag in BLOCK or (item.marked and item.tag not in RAW):
             by_label.setdefault(item.label, []).append(item)
         elif item.tag not in RAW:
             work.extend(reversed(item.children))
-
-
-def align(a: Shape, b: Shape) -> dict[int, Shape]:
-    """Simple tree matching: the largest order-keeping match of equal labels, as {id of a's node: b's node}."""
-    scores: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: Shape, y: Shape) -> tuple[int, list]:
-        if x.label != y.label:
-            return 0, []
-        key = (id(x), id(y))
-        if key in scores:
-            return scores[key]
-        m, n = len(x.children), len(y.children)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m):
-            for j in range(n):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(x.children[i], y.children[j])[0])
-        pairs, i, j = [], m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((x.children[i], y.children[j]))
-        scores[key] = (best[m][n] + 1, pairs)
-        return scores[key]
-
-    found: dict[int, Shape] = {}
-    work = [(a, b)] if match(a, b)[0] else []
-    while work:
-        x, y = work.pop()
-        found[id(x)] = y
-        work.extend(match(x, y)[1])
-    return found

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelworks.llm.dom import TEXTUAL, Shape, align, blocks, parse, skeleton
+from panelworks.llm.dom import TEXTUAL, Shape, blocks, parse, path_of, skeleton
 from panelworks.llm.staging import stored
 
-#: A node is constant if its text is the reference's in this share of the host's pages that have it, of so many at least.
-CONSTANT, LEAST_PAGES = 0.8, 5
+#: A node is constant if this share of the host's pages that have it agree on its text, two different pages at least.
+CONSTANT = 0.8
 #: The content slot holds this share of the varying text of what encloses it; an article needs only the smaller share.
 SLOT, ARTICLE = 0.75, 0.3
+#: What holds more than this share of the varying text is content whatever its name.
+MOST = 0.5
+#: Stands for the text of a node that is in none of its children.
+OWN = "~"
+_VOTE = "host string, path long, text long, parent long, label string, unwanted boolean, marked boolean, pages long, own long, low long, high long"
 
 
 def host_of(url: Column) -> Column:
@@ -33,112 +37,187 @@ def _listed(shape: Shape) -> list[Shape]:
 
 
 class Wrapper:
-    """The template of a host: its reference skeleton, which nodes are constant, and which is the content slot."""
-
-    def __init__(self, reference: Shape, matched: dict[int, int], equal: dict[int, int], size: dict[int, int]) -> None:
-        self.reference = reference
-        nodes = _listed(reference)
-        number = {id(node): i for i, node in enumerate(nodes)}
-        self.constant = {
-            id(node): node.text
-            for i, node in enumerate(nodes)
-            if matched.get(i, 0) >= LEAST_PAGES and equal.get(i, 0) >= CONSTANT * matched[i] and node.label.split(".")[0] not in TEXTUAL
-        }
+    """The template of a host: the constant texts by path, and the paths of the content slot."""
+
+    def __init__(self, votes: list[dict]) -> None:
+        self.constant: dict[int, int] = {}
+        self.slot: set[int] = set()
+        self.mates = bool(votes)
+        shapes = {}
+        for v in votes:
+            shape = shapes[v["path"]] = Shape(v["label"], v["path"], own=v["own"], unwanted=v["unwanted"], marked=v["marked"])
+            if v["several"] and v["equal"] >= CONSTANT * v["pages"] and shape.tag not in ("article", "main"):
+                self.constant[v["path"]] = shape.text = v["text"]
+        top = None
+        for v in votes:
+            shape = shapes[v["path"]]
+            if v["label"] == OWN:
+                if v["parent"] in shapes:
+                    shapes[v["parent"]].own_text = shape.text
+            elif v["parent"] in shapes:
+                shapes[v["parent"]].children.append(shape)
+            elif not v["label"]:
+                top = shape
+        if top is not None:
+            varying = self._varying(top)
+            if varying[top.path]:
+                self.slot = {shape.path for shape in _slot(top, varying)}
+            else:
+                self.constant = {}
+
+    def _same(self, shape: Shape) -> bool:
+        return shape.path in self.constant and self.constant[shape.path] == shape.text
+
+    def _own_same(self, shape: Shape) -> bool:
+        path = path_of(shape.path, OWN)
+        return path in self.constant and self.constant[path] == shape.own_text
+
+    def _varying(self, root: Shape) -> dict[int, int]:
+        """Length of the text by path that is neither template nor in unwanted elements."""
         varying: dict[int, int] = {}
-        for node in reversed(nodes):
-            inner = sum(size.get(number[id(c)], 0) for c in node.children)
-            own = max(size.get(number[id(node)], 0) - inner, 0)
-            varying[id(node)] = own + sum(varying[id(c)] for c in node.children if not self._template(c))
-        self.slot = self._slot(nodes, varying)
-        inside = {id(node) for node in _listed(self.slot)[1:]}
-        self.dropped = {} if id(self.slot) in self.constant else {k: t for k, t in self.constant.items() if k in inside}
-
-    def _template(self, node: Shape) -> bool:
-        return node.unwanted or id(node) in self.constant
-
-    def _slot(self, nodes: list[Shape], varying: dict[int, int]) -> Shape:
-        reachable, work = [], [nodes[0]]
-        while work:
-            node = work.pop()
-            reachable.append(node)
-            work.extend(c for c in reversed(node.children) if not c.unwanted)
-        for tag in ("article", "main"):
-            for node in reachable:
-                if node.label.split(".")[0] == tag and varying[id(node)] >= ARTICLE * varying[id(nodes[0])]:
-                    return node
-        slot = nodes[0]
-        while True:
-            inner = [c for c in slot.children if not self._template(c) and c.label.split(".")[0] not in TEXTUAL]
-            best = max(inner, key=lambda c: varying[id(c)], default=None)
-            if best is None or varying[id(best)] < SLOT * varying[id(slot)] or not varying[id(best)]:
-                return slot
-            slot = best
+        for shape in reversed(_listed(root)):
+            own = 0 if self._own_same(shape) else shape.own
+            none = shape.unwanted or self._same(shape)
+            varying[shape.path] = 0 if none else own + sum(varying[c.path] for c in shape.children)
+        return varying
 
     def text(self, html: str) -> str:
         page = skeleton(parse(html))
-        found = align(self.reference, page)
-        slot = found.get(id(self.slot))
-        if slot is None or not slot.size:
-            return alone(page).own_text(page)
-        gone = {id(node) for key, text in self.dropped.items() if key in found and found[key].text == text for node in found[key].nodes}
-        return "\n".join(line for node in slot.nodes for line in blocks(node, lambda child: id(child) in gone))
-
-    def own_text(self, page: Shape) -> str:
-        return "\n".join(line for node in self.slot.nodes for line in blocks(node))
+        varying = self._varying(page)
+        slots = {s.path for s in _listed(page) if s.path in self.slot and varying[s.path]}
+        slots = slots or {s.path for s in _slot(page, varying)}
+        holds: set[int] = set()
+
+        def find(shape: Shape) -> bool:
+            below = [find(child) for child in shape.children]
+            if any(below):
+                holds.add(shape.path)
+            return any(below) or shape.path in slots
+
+        find(page)
+        article = any(s.tag in ("article", "main") for s in _listed(page) if s.path in slots)
+        gone: set[int] = set()
+        dropped: set[int] = set()
+        work = [(page, False, False)]
+        while work:
+            shape, inside, proper = work.pop()
+            if shape.path in slots:
+                inside, proper = True, proper or shape.tag not in ("", "html", "body")
+            for child in shape.children:
+                kept = child.path in slots or child.path in holds
+                if not kept and self._same(child) and not (inside and child.tag in TEXTUAL):
+                    drop = True
+                else:
+                    drop = not kept and child.marked and self._named(child, varying, inside, proper, varying[page.path], article)
+                if drop:
+                    gone.update(id(node) for node in child.nodes)
+                    dropped.add(child.path)
+                else:
+                    work.append((child, inside, proper))
+        tops = [s for s in _listed(page) if s.path in slots and s.path not in holds]
+        return "\n".join(line for s in tops for node in s.nodes for line in blocks(node, lambda child: id(child) in gone))
+
+    def _named(self, shape: Shape, varying: dict[int, int], inside: bool, proper: bool, total: int, article: bool) -> bool:
+        """Whether the name of an element that is not constant and holds no slot has it dropped.
+
+        It always does.
+        """
+        return True
+
+
+def _slot(root: Shape, varying: dict[int, int]) -> list[Shape]:
+    """The articles with their share of the varying text, or else the innermost node with most of it.
+
+    An article outside marked elements comes first, however long they are (comments may be longer than the article),
+    unless one of them holds most of the text and articles of its own.
+    """
+    total = varying[root.path]
+    plain = dict(varying)
+    for node in reversed(_listed(root)):
+        if plain[node.path]:
+            plain[node.path] -= sum(varying[c.path] - (0 if c.marked else plain[c.path]) for c in node.children)
+    large = [c for c in _reachable(root, lambda c: not c.marked or varying[c.path] > MOST * total) if c.marked]
+    if not any(c.tag in ("article", "main") and varying[c.path] for node in large for c in _listed(node)):
+        if found := _articles(_reachable(root, lambda c: not c.marked), plain, plain[root.path]):
+            return found
+    if found := _articles(_reachable(root, lambda c: not c.marked or varying[c.path] > MOST * total), varying, total):
+        return found
+    slot = root
+    while True:
+        inner = [c for c in slot.children if c.tag not in TEXTUAL]
+        best = max(inner, key=lambda c: varying[c.path], default=None)
+        if best is None or varying[best.path] < SLOT * varying[slot.path] or not varying[best.path]:
+            return [slot]
+        slot = best
+
+
+def _reachable(root: Shape, through) -> list[Shape]:
+    out, work = [], [root]
+    while work:
+        node = work.pop()
+        out.append(node)
+        work.extend(c for c in reversed(node.children) if not c.unwanted and through(c))
+    return out
 
 
-def alone(page: Shape) -> Wrapper:
-    """The wrapper of a page without others: nothing is constant."""
-    return Wrapper(page, {}, {}, {i: node.size for i, node in enumerate(_listed(page))})
+def _articles(nodes: list[Shape], varying: dict[int, int], total: int) -> list[Shape]:
+    for tag in ("article", "main"):
+        if found := [node for node in nodes if node.tag == tag and varying[node.path] and varying[node.path] >= ARTICLE * total]:
+            return found
+    return []
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``host, reference, votes``: per host the skeleton of its first page and what all its pages say of its nodes."""
-    first = F.min_by("html", F.struct(F.coalesce("id", F.lit(0)), "html"))
-    references = stored(pages.groupBy("host").agg(first.alias("html")), "wrapper-references")
-
-    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shapes = [json.dumps(skeleton(parse(html or "")).packed()) for html in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["host", "reference"])
+    """``host, votes``: what all pages of a host say of the paths that at least two different pages have.
 
-    shapes = stored(references.mapInArrow(shape, "host string, reference string"), "wrapper-shapes")
+    Pages without text and repeated pages say nothing about what is constant: a text counts once two pages that differ
+    elsewhere agree on it.
+    """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
-            known: dict[str, tuple[Shape, list[Shape]]] = {}
-            for host, html, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if host not in known:
-                    shape_ = Shape.unpacked(json.loads(packed))
-                    known[host] = (shape_, _listed(shape_))
-                reference, nodes = known[host]
-                found = align(reference, skeleton(parse(html or "")))
-                for i, node in enumerate(nodes):
-                    if other := found.get(id(node)):
-                        vote_ = votes[host, i]
-                        vote_[0] += 1
-                        vote_[1] += other.text == node.text
-                        vote_[2] += other.size
-            columns = [pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.int32())]
-            columns += [pa.array([v[i] for v in votes.values()], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "node", "matched", "equal", "size"])
-
-    joined = pages.join(shapes.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"))
-    votes = joined.select("host", "html", "reference").mapInArrow(vote, "host string, node int, matched long, equal long, size long")
-    sums = votes.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "equal", "size")))
-    per_host = sums.groupBy("host").agg(F.collect_list(F.struct("node", "matched", "equal", "size")).alias("votes"))
-    return stored(shapes.join(per_host, "host").select("host", "reference", F.to_json("votes").alias("votes")), "wrappers")
+            votes: dict[tuple[str, int, int], list] = {}
+            for host, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                page = skeleton(parse(html or ""))
+                if not page.size:
+                    continue
+                work = [(0, page)]
+                while work:
+                    parent, shape = work.pop()
+                    said = [(shape.path, shape.text, parent, shape.label, shape.unwanted, shape.marked, shape.own)]
+                    if shape.own and shape.children:
+                        said.append((path_of(shape.path, OWN), shape.own_text, shape.path, OWN, False, False, 0))
+                    for path, text, above, label, unwanted, marked, own in said:
+                        v = votes.setdefault((host, path, text), [above, label, unwanted, marked, 0, 0, page.text, page.text])
+                        v[4] += 1
+                        v[5] += own
+                        v[6], v[7] = min(v[6], page.text), max(v[7], page.text)
+                    if not shape.unwanted:
+                        work.extend((shape.path, child) for child in shape.children)
+            rows = [(*key, *v) for key, v in votes.items()]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4)
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _VOTE.split(", ")])
+
+    said = [F.min(c).alias(c) for c in ("parent", "label", "unwanted", "marked", "low")] + [F.max("high").alias("high")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "own")]
+    texts = pages.select("host", "html").mapInArrow(vote, _VOTE).groupBy("host", "path", "text").agg(*said, *sums)
+    best = F.max(F.struct(F.col("pages").alias("equal"), "text", (F.col("low") != F.col("high")).alias("several"))).alias("best")
+    paths = texts.groupBy("host", "path").agg(*said, *sums, best).where("low != high")
+    columns = ["path", "parent", "label", "unwanted", "marked", "pages", "own", "best.equal", "best.text", "best.several"]
+    per_host = paths.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("votes"))
+    return stored(per_host.select("host", F.to_json("votes").alias("votes")), "wrappers")
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``page_id, url, text`` of every row.
 
-    The trees of a host's pages are aligned with that of its first page by simple tree matching (same-labelled siblings
-    merged). Nodes whose text agrees on most pages are template; the content slot is the article, or else the innermost
-    node with most of the varying text. Its blocks are taken from each page, without constant parts and without what
-    elements or class names mark as menu, header, footer, sidebar, notice, advert, form, script or comments. A page that
-    does not fit its host's wrapper, or has no host mates, is judged by its own text.
+    The nodes of all pages of a host are brought together by their path of labels (same-labelled siblings merged). Nodes
+    whose text agrees on most of the pages that have them are template; the content slot is the articles, or else the
+    innermost node with most of the varying text. Every block outside the template is taken, also beside the slot,
+    without elements for menus, headers, footers, forms and scripts. A class, id or role that names a sidebar, notice,
+    advert or the like is a hint: it drops an element outside the slot that does not hold most of the varying text. A
+    page without its host's slot, or without host mates, is judged by its own text.
 
     White space in a block becomes one space; blocks are joined by a line feed. A null or empty page has the text "".
     A page without a proper URL belongs to the host "". Repeated rows get equal texts; an empty table gives no rows.
@@ -147,20 +226,18 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
         F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host_of(F.col(url_column)).alias("host")
     )
     wrappers = induce(rows).withColumnRenamed("host", "_host")
-    joined = rows.join(wrappers, F.col("host") == F.col("_host"), "left").select("id", "url", "html", "host", "reference", "votes")
+    joined = rows.join(wrappers, F.col("host") == F.col("_host"), "left").select("id", "url", "html", "host", "votes")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str, Wrapper] = {}
             texts = []
-            for html, host, packed, votes in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            for html, host, votes in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
                 if not html:
                     texts.append("")
                     continue
                 if host not in known:
-                    said = json.loads(votes)
-                    counts = [{v["node"]: v[name] for v in said} for name in ("matched", "equal", "size")]
-                    known[host] = Wrapper(Shape.unpacked(json.loads(packed)), *counts)
+                    known[host] = Wrapper(json.loads(votes) if votes else [])
                 texts.append(known[host].text(html))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

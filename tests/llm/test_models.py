@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import language, quality, wrapper
 from panelworks.llm.queries import QUERIES
+from tests.llm.conftest import prose
 
 
 def test_language_of_held_out_documents(spark):
@@ -32,6 +33,14 @@ def test_held_out_rows_and_labels_do_not_enter(hard):
     assert language.learn_dictionaries(changed) == learned
 
 
+LANGUAGES = "doc_id long, text string, lang string"
+
+
+def vocabulary_text(lang, words, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join(np.array([f"{lang}{w}" for w in prose(5 if lang == "xx" else 6, 100).split()])[rng.integers(0, 100, words)])
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -87,6 +96,26 @@ def test_page_texts(spark):
     assert wrapper.main_text(pages.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("first", [None, "", "<p>404", "<body><div class=list><ul><li>One<li>Two</ul></div></body>"])
+@pytest.mark.parametrize("n", [2, 8])
+def test_an_odd_first_page_is_not_the_template(spark, first, n):
+    boxes = "<div class=box>Follow us</div><div class=legal><span>All rights</span></div>"
+    pages = [("a.example", f"<body>{boxes}<div class=text><p>Para {i} one two<p>Other {i} three</div></body>") for i in range(n)]
+    got = extracted(spark, [("a.example", first), *pages])
+    assert got[1:] == [f"Para {i} one two\nOther {i} three" for i in range(n)]
+    assert got[0] == {None: "", "": "", "<p>404": "404"}.get(first, "One\nTwo")
+
+
+def test_repeated_pages_are_no_template(spark):
+    assert extracted(spark, [("a.example", "<body><div><p>Same text</div></body>")] * 6) == ["Same text"] * 6
+
+
 def test_given_pages_give_their_articles(spark, sf_dir):
     import html
     import re
