@@ -114,8 +114,13 @@ class Wrapper:
                     dropped.add(child.path)
                 else:
                     work.append((child, inside, proper))
-        tops = [s for s in _listed(page) if s.path in slots and s.path not in holds]
-        return "\n".join(line for s in tops for node in s.nodes for line in blocks(node, lambda child: id(child) in gone))
+        start = page
+        while not start.own or self._own_same(start):
+            left = [c for c in start.children if c.size and not c.unwanted and c.path not in dropped]
+            if len(left) != 1 or start.path in slots:
+                break
+            start = left[0]
+        return "\n".join(line for node in start.nodes for line in blocks(node, lambda child: id(child) in gone))
 
     def _named(self, shape: Shape, varying: dict[int, int], inside: bool, proper: bool, total: int, article: bool) -> bool:
         """Whether the name of an element that is not constant and holds no slot has it dropped.

@@ -116,6 +116,14 @@ def test_repeated_pages_are_no_template(spark):
     assert extracted(spark, [("a.example", "<body><div><p>Same text</div></body>")] * 6) == ["Same text"] * 6
 
 
+def test_content_beside_the_slot(spark):
+    body = "<div class=body><p>{0}</p></div>"
+    pages = [f"<body><div class=box>Follow us</div><div class=page><h1>Title {i}</h1><p>Lead {i}</p>{body.format(f'Body {i} ' * 40)}</div></body>" for i in range(6)]
+    assert extracted(spark, [("a.example", p) for p in pages]) == [f"Title {i}\nLead {i}\n{(f'Body {i} ' * 40).strip()}" for i in range(6)]
+    two = [f"<body><article class=a><p>First {i} text</p></article><article class=b><p>Second {i} text text</p></article></body>" for i in range(6)]
+    assert extracted(spark, [("a.example", p) for p in two]) == [f"First {i} text\nSecond {i} text text" for i in range(6)]
+
+
 def test_given_pages_give_their_articles(spark, sf_dir):
     import html
     import re
