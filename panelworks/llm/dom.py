@@ -60,9 +60,9 @@ class Node:
 
 
 def _marks(token: str) -> bool:
-    """Whether a class, id or role says an unwanted name."""
+    """Whether a whole class, id or role says nothing but unwanted names: "cookie-notice" does, "has-sidebar" does not."""
     names = {w.lower() for w in _NAME.findall(token)}
-    return bool(names) and not names.isdisjoint(UNWANTED_NAMES)
+    return bool(names) and names <= UNWANTED_NAMES
 
 
 def _node(tag: str, attributes: str) -> Node:

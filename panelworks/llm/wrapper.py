@@ -125,9 +125,12 @@ class Wrapper:
     def _named(self, shape: Shape, varying: dict[int, int], inside: bool, proper: bool, total: int, article: bool) -> bool:
         """Whether the name of an element that is not constant and holds no slot has it dropped.
 
-        It always does.
+        It does outside the slot. Inside, it does not: what varies there is content. Only where no host mates show what
+        varies, or the slot is the whole body, elements other than sections and blocks of text are dropped by name.
         """
-        return True
+        if varying[shape.path] > MOST * total and not article:
+            return False
+        return not (inside and ((proper and self.mates) or shape.tag in TEXTUAL or shape.tag == "section"))
 
 
 def _slot(root: Shape, varying: dict[int, int]) -> list[Shape]:

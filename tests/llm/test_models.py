@@ -102,6 +102,21 @@ def extracted(spark, pages):
     return [r.text for r in sorted(got, key=lambda r: r.page_id)]
 
 
+def test_names_are_only_a_hint(spark):
+    def page(i):
+        return (
+            f'<body><div id="page" class="no-sidebar"><div class="sidebar">Links</div><div class="content has-sidebar">'
+            f'<div class="entry-header"><h1>Title {i}</h1></div><p class="notice">Mind {i}</p><h2 id="related-work">Related {i}</h2>'
+            f'<section id="search-algorithms"><p>Search {i} {"long text " * i}</p></section><p>Body {i} of the page</p></div></div></body>'
+        )
+
+    expected = [f"Title {i}\nMind {i}\nRelated {i}\nSearch {i} {'long text ' * i}".strip() + f"\nBody {i} of the page" for i in range(8)]
+    assert extracted(spark, [("a.example", page(i)) for i in range(8)]) == expected
+    assert extracted(spark, [(f"{i}.example", page(i)) for i in range(8)]) == expected
+    marked = [("m.example", f'<body><div class="sidebar"><p>All {i} of it</p></div><div class="ad">Ad {i}</div></body>') for i in range(3)]
+    assert extracted(spark, marked) == [f"All {i} of it" for i in range(3)]
+
+
 @pytest.mark.parametrize("first", [None, "", "<p>404", "<body><div class=list><ul><li>One<li>Two</ul></div></body>"])
 @pytest.mark.parametrize("n", [2, 8])
 def test_an_odd_first_page_is_not_the_template(spark, first, n):
