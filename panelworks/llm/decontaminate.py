@@ -1,4 +1,4 @@
-"""Benchmark passages inside documents: SimHash of item-sized windows, multi-index lookup, exact verification."""
+"""Benchmark passages inside documents: item-sized windows found by shared shingles, exact verification."""
 
 from __future__ import annotations
 
@@ -14,9 +14,6 @@ from pyspark.sql.functions import arrow_udf
 from panelworks.llm.words import hashes, runs, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of windows at similarity 0.8 differ in about 10 of 64 bits (deviation 3). RADIUS is five deviations
-#: off; one of RADIUS + 1 blocks then agrees for every fingerprint within it.
-BITS, RADIUS = 64, 24
 #: Items that one pass over the documents looks for, and code points of their texts. A larger benchmark takes more
 #: passes, so that what is sent to the executors is bounded; an item longer than that is a pass of its own.
 ITEMS, ITEM_CHARS = 20_000, 1 << 23
@@ -33,33 +30,18 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         yield first, hashes(data, begins, ends, seed=3), owner, len(offsets) - 1
 
 
-def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """SimHash as BITS booleans: the majority, over all shingles with their repeats, of each bit of their hashes."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
-    return 2 * bits.sum(axis=0, dtype=np.int64) > len(bits)
-
-
-_BLOCKS = np.array_split(np.arange(BITS), RADIUS + 1)
-
-
-def _block_keys(print_: np.ndarray) -> list[tuple[int, bytes]]:
-    return [(i, np.packbits(print_[block]).tobytes()) for i, block in enumerate(_BLOCKS)]
-
-
 @dataclass
 class _Item:
     id: int
     size: int
     shingles: np.ndarray
-    print_: np.ndarray
 
 
 @dataclass
 class Passages:
-    """A bounded set of benchmark items, indexed by shingle and by blocks of their fingerprints."""
+    """A bounded set of benchmark items, indexed by shingle."""
 
     items: list[_Item] = field(default_factory=list)
-    blocks: dict[tuple[int, bytes], set[int]] = field(default_factory=dict)
     postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
@@ -74,9 +56,7 @@ class Passages:
                     continue
                 shingles = runs(own, np.zeros(len(own), np.int64), length, seed=4)[1]
                 at = len(made.items)
-                made.items.append(_Item(ids[first + i], len(own), shingles, fingerprint(shingles)))
-                for key in _block_keys(made.items[at].print_):
-                    made.blocks.setdefault(key, set()).add(at)
+                made.items.append(_Item(ids[first + i], len(own), shingles))
                 by_length.setdefault(length, []).append((np.unique(shingles), at))
         for length, rows in by_length.items():
             keys = np.concatenate([s for s, _ in rows])
@@ -87,11 +67,6 @@ class Passages:
             made.postings[length] = (keys[order], owners[order], seen)
         return made
 
-    def near(self, print_: np.ndarray) -> set[int]:
-        """Every item whose fingerprint is within RADIUS."""
-        found = set().union(*(self.blocks.get(key, ()) for key in _block_keys(print_)))
-        return {at for at in found if np.count_nonzero(self.items[at].print_ != print_) <= RADIUS}
-
     def found_in(self, column: pa.Array, similarity: float) -> Iterator[tuple[int, int, float, int]]:
         """Row, item id, best similarity and first word of that window, for each row and item that reach it."""
         for first, hashed, owner, n in _tokens(column):
@@ -127,14 +102,17 @@ class Passages:
             return None
         starts = np.arange(max(begin, hits[0] - n + 1), min(hits[-1], max(begin, end - item.size)) + 1)
         count = np.searchsorted(hits, starts + n, "left") - np.searchsorted(hits, starts, "left")
+        starts, count = starts[count >= least], count[count >= least]
+        # No more than the shared shingles can be common to both: windows that can't beat the best are not compared.
+        most = count / (n + np.minimum(n, end - length + 1 - starts) - count)
         best = None
-        for start in starts[count >= least]:
-            window = shingles[start : min(start + n, end - length + 1)]
-            if i not in self.near(fingerprint(window)):
+        for at in np.lexsort((starts, -most)):
+            start = int(starts[at])
+            if best and (most[at] < best[0] or (most[at] == best[0] and start > best[1])):
                 continue
-            value = weighted_similarity(window, item.shingles)
-            if value >= similarity and (best is None or value > best[0]):
-                best = (value, int(start))
+            value = weighted_similarity(shingles[start : min(start + n, end - length + 1)], item.shingles)
+            if value >= similarity and (best is None or (value, -start) > (best[0], -best[1])):
+                best = (value, start)
         return best
 
 
@@ -168,9 +146,9 @@ def find_passages(
 
     Words are runs of letters and digits of the lower-cased text; a window has as many words as the item, or is the
     whole document if that is shorter. Every window is considered that shares enough of the item's shingles (5 words;
-    an item of fewer is one shingle) to reach the similarity; its SimHash looks up the items within RADIUS through
-    blocks of which one must agree, and the weighted Jaccard similarity of shingles with their repeats decides. Null
-    and empty texts match nothing; repeated rows match alike; a null id stays null; empty tables give no rows.
+    an item of fewer is one shingle) to reach the similarity, and the weighted Jaccard similarity of shingles with their
+    repeats decides. Null and empty texts match nothing; repeated rows match alike; a null id stays null; empty tables
+    give no rows.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     found = None

@@ -138,6 +138,17 @@ def test_passages_match_brute_force(spark, hard, monkeypatch):
     )
 
 
+def test_passages_before_a_repeated_word(spark):
+    items = [(i, prose(300 + i, words)) for i, words in enumerate([404, 404, 404, 204, 204, 204, 104, 104])]
+    docs = [(i, " ".join([*text.split()[: int(part * len(text.split()))], *["filler"] * 500])) for i, text in items for part in (0.91, 0.95)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in decontaminate.find_passages(frame, spark.createDataFrame(items, "item_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.item_id), []).append(round(r.similarity, 9))
+    expected = brute_passages(frame.collect(), items)
+    assert {k: sorted(v) for k, v in got.items()} == expected and sum(map(len, expected.values())) == len(docs)
+
+
 def test_removed_words_match_brute_force(hard):
     rows = sorted(hard.collect(), key=key)
     first = {}
