@@ -41,6 +41,15 @@ def vocabulary_text(lang, words, seed):
     return " ".join(np.array([f"{lang}{w}" for w in prose(5 if lang == "xx" else 6, 100).split()])[rng.integers(0, 100, words)])
 
 
+def test_long_texts_keep_their_margin(spark):
+    rows = [(i, vocabulary_text("xx" if i % 2 else "yy", 200, i), "xx" if i % 2 else "yy") for i in range(40)]
+    rows += [(100 + i, vocabulary_text("xx", n, 100), None) for i, n in enumerate((100, 10_000, 1_000_000))]
+    docs = spark.createDataFrame(rows, LANGUAGES)
+    assert {100, 101, 102} <= {r.doc_id for r in language.keep_identified(docs).collect()}
+    margins = {r.doc_id: r.margin for r in language.identify(docs).collect()}
+    assert margins[102] > 0.5 * margins[101]
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
