@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 UNDETERMINED = "und"
-#: Size of a language's dictionary. It is made of whole labelled texts of at most SAMPLE_TEXT code points, of the
-#: SAMPLE_ROWS rows per language that come first by a hash of the id: the bound on what is fitted on.
-DICTIONARY, SAMPLE_ROWS, SAMPLE_TEXT = 64 * 1024, 96, 4096
+#: Size of a language's dictionary, the bound on what is fitted on. Texts give their first PARTS[0] code points; if a
+#: language's texts don't fill the dictionary so, they give more.
+DICTIONARY, PARTS = 64 * 1024, (4096, 8192, 16384, 32768, 65536)
 LEVEL = 6
 #: A text is rejected if the best language saves less than this share of the second best's size. Texts under SHORT
 #: bytes can't show a margin and are only rejected if they have no letter.
@@ -32,21 +32,36 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """Raw-content dictionaries by language, most frequent language first, from labelled rows that are not held out.
 
-    Labels are counted over all rows; the texts come from the bounded sample. No labelled row: no language.
+    Labels are counted over all rows. All labelled rows, whatever their length, are ordered by a hash and fill the
+    dictionary up to DICTIONARY bytes; of a long text its beginning enters. No labelled text: no language.
     """
-    labelled = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(
+    labelled = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & (F.length(text_column) > 0)).select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    short = labelled.where(F.length("text") <= SAMPLE_TEXT)
-    sample = short.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
+    given = [F.sum(F.least(F.octet_length("text"), F.lit(part)) + 1).alias(f"given_{part}") for part in PARTS]
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), *given).orderBy(F.desc("count"), "lang").collect()
     made: dict[str, bytearray] = {row["lang"]: bytearray() for row in counts}
-    for row in sample.orderBy("lang", "rank").collect():
-        text = row["text"].lower().encode() + b"\n"
-        if len(made[row["lang"]]) + len(text) <= DICTIONARY:
-            made[row["lang"]] += text
-    return {lang: bytes(text) for lang, text in made.items() if len(text) >= 8}
+    shares = {}
+    for row in counts:
+        part = next((part for part in PARTS if row[f"given_{part}"] >= DICTIONARY), PARTS[-1])
+        shares[row["lang"]] = (part, min(1.0, 4 * DICTIONARY / row[f"given_{part}"]))
+    hashed = labelled.withColumn("hash", F.xxhash64("id", "text")).withColumn("place", F.pmod("hash", F.lit(1 << 30)) / (1 << 30))
+    while shares:
+        # Only rows under the hash threshold of their language are ordered; a row gives two bytes at least.
+        limits = F.create_map(*[F.lit(v) for lang, (part, share) in shares.items() for v in (lang, share)])
+        parts = F.create_map(*[F.lit(v) for lang, (part, share) in shares.items() for v in (lang, part)])
+        drawn = hashed.where(F.col("place") <= limits[F.col("lang")]).withColumn("text", F.substring("text", F.lit(1), parts[F.col("lang")]))
+        first = Window.partitionBy("lang").orderBy("place", "hash", "id", "text")
+        ranked = drawn.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= DICTIONARY // 2)
+        before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("rank")) - F.octet_length("text") - 1
+        for row in ranked.withColumn("before", before).where(F.col("before") < DICTIONARY).orderBy("lang", "rank").collect():
+            text = row["text"].lower().encode() + b"\n"
+            made[row["lang"]] += text[: DICTIONARY - len(made[row["lang"]])]
+        shares = {lang: (part, min(1.0, 8 * share)) for lang, (part, share) in shares.items() if share < 1 and len(made[lang]) < DICTIONARY}
+        for lang in shares:
+            made[lang].clear()
+    # A dictionary has eight bytes at least.
+    return {lang: bytes(text) * -(-8 // len(text)) for lang, text in made.items()}
 
 
 def predict_language(text: Column, dictionaries: dict[str, bytes], level: int = LEVEL) -> Column:

@@ -50,6 +50,15 @@ def test_long_texts_keep_their_margin(spark):
     assert margins[102] > 0.5 * margins[101]
 
 
+def test_languages_of_only_long_or_only_short_texts(spark):
+    rows = [(i, vocabulary_text("xx", 4000, i), "xx") for i in range(3)] + [(i, vocabulary_text("yy", 4, i), "yy") for i in range(3, 6000)]
+    rows += [(7000, "ab", "zz"), (7001, "ab", "zz")]
+    docs = spark.createDataFrame(rows, LANGUAGES)
+    learned = language.learn_dictionaries(docs)
+    assert len(learned["xx"]) > 0.5 * language.DICTIONARY and len(learned["yy"]) == language.DICTIONARY and len(learned["zz"]) >= 8
+    assert {r.lang_pred for r in language.identify(docs).where("doc_id < 3").collect()} == {"xx"}
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
