@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, repeats, suffixes, wrapper
+from panelworks.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    exact,
+    jaccard,
+    language,
+    mixing,
+    quality,
+    repeats,
+    suffixes,
+    urls,
+    whitening,
+    wrapper,
+)
 from panelworks.llm.staging import documents
 
 QUERIES: dict = {}
@@ -139,3 +153,43 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = wrapper.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(documents(spark, sf_dir))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@register("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+@register(
+    "op13_url_filter",
+    r"""WITH rules(verdict, of_host, of_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+        ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages),
+    p AS (SELECT row_number() OVER () AS row, page_id,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+    SELECT page_id, host, path, first(of_host || of_path ORDER BY length(of_host || of_path) DESC, length(of_host) DESC)
+        FILTER (verdict IS NOT NULL) AS rule,
+        coalesce(first(verdict ORDER BY length(of_host || of_path) DESC, length(of_host) DESC), 'allow') AS verdict
+    FROM p LEFT JOIN rules ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path)
+    GROUP BY row, page_id, host, path""",
+)
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = urls.rule_rows(
+        pages,
+        ("allow", "org", "/"),
+        ("block", "example.org", "/es/"),
+        ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"),
+        ("block", "com", "/de/"),
+    )
+    return urls.judge_urls(pages, rules)

@@ -26,11 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """Write ``frame`` once and read it back, so that a lost executor costs a re-read and later steps see its size."""
+def stored(frame: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``frame`` once and read it back, so that a lost executor costs a re-read and later steps see its size.
+
+    ``options`` are the Parquet writer's.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, **options)
     return spark.read.schema(frame.schema).parquet(path)
 
 
