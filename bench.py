@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from panelworks.catalog import load_all  # noqa: E402
-from panelworks.functions.windows import rolling  # noqa: E402
+from panelworks.functions.windows import Mean, with_rolling_means  # noqa: E402
 from panelworks.operators.indicators import technical_factors  # noqa: E402
 from panelworks.operators.panel import lag_for_open  # noqa: E402
 from panelworks.operators.xsection import cross_sectional_rank  # noqa: E402
@@ -49,7 +49,7 @@ def cases(spark: SparkSession, sf: str) -> dict:
 
     return {
         "dense_panel": prices,
-        "sma_200": lambda: prices().select("symbol", "date", rolling("close", 200).alias("sma")),
+        "sma_200": lambda: with_rolling_means(prices().select("symbol", "date", "close"), {"sma": Mean("close", 200)}),
         "all_technical_factors_ranked": factors_and_ranks,
         "cross_sectional_rank": lambda: prices().select("symbol", "date", cross_sectional_rank("close").alias("rank")),
         "trend_picks": lambda: trend_picks(spark, sf, BY),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, cte, query
-from panelworks.functions.windows import padded_change, rolling
+from panelworks.functions.windows import Mean, padded_change, with_rolling_means
 from panelworks.operators import calendar as cal
 from panelworks.operators import panel as pan
 from panelworks.sources import macro, market
@@ -214,7 +214,7 @@ def forward(spark, sf_dir):
 )
 def trailing_volume(spark, sf_dir):
     p = market.panel(spark, sf_dir)
-    tv = p.prices.select("symbol", "date", rolling("volume", 21, 1).alias("trailing_volume"))
+    tv = with_rolling_means(p.prices.select("symbol", "date", "volume"), {"trailing_volume": Mean("volume", 21, 1)})
     dates = cal.previous_session(cal.rebalance_sessions(p.sessions, "monthly"), p.sessions)
     out = pan.at_prior_end(tv, dates)
     return r4(out.select("symbol", "date", "prior_end", "trailing_volume"), "trailing_volume")

@@ -42,7 +42,7 @@ def _factor(name: str, timeframe: str = "daily", params: Lookbacks = P):
 
 @query("ind_01_sma", check_sql(f"SELECT symbol, date, round({_mean('close', 50)}, 4) AS sma FROM panel", "panel"))
 def sma(spark, sf_dir):
-    return market.panel(spark, sf_dir).prices.select("symbol", "date", rnd(ind.sma(50), "sma"))
+    return market.panel(spark, sf_dir).prices.transform(ind.sma, 50).select("symbol", "date", rnd("sma", "sma"))
 
 
 def recursive_mean(table: str, value: str, alpha: float, need: int, out: str, keys: str = "symbol") -> tuple[str, str]:
@@ -270,7 +270,7 @@ query(
 )
 def adv(spark, sf_dir):
     prices = market.panel(spark, sf_dir).prices
-    return prices.select("symbol", "date", rnd(ind.avg_dollar_volume(), "avg_dollar_volume", 8))
+    return ind.avg_dollar_volume(prices).select("symbol", "date", rnd("avg_dollar_volume", "avg_dollar_volume", 8))
 
 
 @query(

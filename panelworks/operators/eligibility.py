@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelworks.settings import Eligible
 from panelworks.functions.windows import ordered, running
@@ -13,30 +15,42 @@ def base_mask(prices: DataFrame, membership: DataFrame, rules: Eligible, trend:
     """(symbol, date, eligible): member, with enough history, price and liquidity as of the previous
     session, and in an up-trend when ``trend`` (already lagged ``trend_filter`` and ``sma_crossover``)
     is given. Dollar volume reaches this filter already lagged once, so it is two sessions old."""
+    return mask_versions(prices, membership, {"eligible": rules}, trend)
+
+
+def mask_versions(
+    prices: DataFrame, membership: DataFrame, versions: Mapping[str, Eligible], trend: DataFrame | None = None
+) -> DataFrame:
+    """``base_mask`` under several rules at once: one column per name, from one measurement of the prices."""
     w = ordered()
-    measured = prices.select(
-        "symbol",
-        "date",
-        (F.count("close").over(running()) >= rules.sessions).alias("_history"),
-        (F.col("close") >= rules.price).alias("_price"),
-        (avg_dollar_volume() >= rules.dollar_volume).alias("_liquid"),
+    measured = avg_dollar_volume(prices, out="_traded_mean").select(
+        "symbol", "date", F.count("close").over(running()).alias("_sessions"), "close", "_traded_mean"
     )
     lagged = measured.select(
         "symbol",
         "date",
-        F.coalesce(F.lag("_history", 1).over(w), F.lit(False)).alias("_history"),
-        F.coalesce(F.lag("_price", 1).over(w), F.lit(False)).alias("_price"),
-        F.coalesce(F.lag("_liquid", 2).over(w), F.lit(False)).alias("_liquid"),
+        F.lag("_sessions", 1).over(w).alias("_sessions"),
+        F.lag("close", 1).over(w).alias("_close"),
+        F.lag("_traded_mean", 2).over(w).alias("_traded_mean"),
     )
     members = membership.select("symbol", "date", F.lit(True).alias("_member"))
     out = lagged.join(members, ["symbol", "date"], "left")
-    ok = F.coalesce("_member", F.lit(False)) & F.col("_history") & F.col("_price") & F.col("_liquid")
+    always = F.coalesce("_member", F.lit(False))
     if trend is not None:
         rising = (F.col("trend_filter") > 0) & (F.col("sma_crossover") > 0)
         flags = trend.select("symbol", "date", F.coalesce(rising, F.lit(False)).alias("_rising"))
         out = out.join(flags, ["symbol", "date"], "left")
-        ok = ok & F.coalesce("_rising", F.lit(False))
-    return out.select("symbol", "date", ok.alias("eligible"))
+        always = always & F.coalesce("_rising", F.lit(False))
+
+    def holds(rules: Eligible) -> Column:
+        known = (
+            (F.col("_sessions") >= rules.sessions)
+            & (F.col("_close") >= rules.price)
+            & (F.col("_traded_mean") >= rules.dollar_volume)
+        )
+        return always & F.coalesce(known, F.lit(False))
+
+    return out.select("symbol", "date", *[holds(rules).alias(name) for name, rules in versions.items()])
 
 
 def eligible_symbols(mask: DataFrame) -> DataFrame:

@@ -6,26 +6,33 @@ window specification are evaluated in one pass over one sort.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.settings import TECHNICAL, Lookbacks
 from panelworks.functions.scalar import ratio
-from panelworks.functions.windows import ordered, rolling, running
+from panelworks.functions.windows import Mean, ordered, rolling, running, with_rolling_means
 from panelworks.operators.ewm import Ewm, ewm_columns
 from panelworks.operators.panel import Panel, grid, resample
 
-def sma(n: int, value: str = "close") -> Column:
-    return rolling(value, n)
+
+def sma(prices: DataFrame, n: int, value: str = "close", out: str = "sma") -> DataFrame:
+    """``prices`` with a simple moving average."""
+    return with_rolling_means(prices, {out: Mean(value, n)})
+
+
+def average_of(n: int) -> str:
+    """The column in which ``technical_factors`` holds the mean close over ``n`` bars."""
+    return f"_mean_close_{n}"
 
 
 def sma_crossover(fast: int, slow: int) -> Column:
-    return ratio(sma(fast) - sma(slow), sma(slow))
+    return ratio(F.col(average_of(fast)) - F.col(average_of(slow)), average_of(slow))
 
 
 def trend_filter(n: int) -> Column:
-    return ratio(F.col("close") - sma(n), sma(n))
+    return ratio(F.col("close") - F.col(average_of(n)), average_of(n))
 
 
 def breakout(weeks: int) -> Column:
@@ -35,20 +42,22 @@ def breakout(weeks: int) -> Column:
 
 
 def bollinger(n: int, width: float) -> Column:
-    return ratio(F.col("close") - sma(n), width * rolling("close", n, agg=F.stddev_samp))
+    return ratio(F.col("close") - F.col(average_of(n)), width * rolling("close", n, agg=F.stddev_samp))
 
 
-def avg_dollar_volume(n: int = 20) -> Column:
-    return rolling(F.col("close") * F.col("volume"), n)
+def avg_dollar_volume(prices: DataFrame, n: int = 20, out: str = "avg_dollar_volume") -> DataFrame:
+    """``prices`` with the mean of close times volume."""
+    traded = prices.withColumn("_traded", F.col("close") * F.col("volume"))
+    return with_rolling_means(traded, {out: Mean("_traded", n)}).drop("_traded")
 
 
 def cci(frame: DataFrame, n: int, out: str = "cci") -> DataFrame:
     """Deviation is averaged against each row's own moving average, hence two stacked windows."""
     kept = frame.columns
     tp = frame.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    dev = tp.withColumn("_gap", F.col("_tp") - rolling("_tp", n))
-    mean_dev = rolling(F.abs("_gap"), n)
-    return dev.select(*kept, (ratio("_gap", 0.015 * mean_dev) / 200).alias(out))
+    dev = with_rolling_means(tp, {"_tp_mean": Mean("_tp", n)}).withColumn("_gap", F.col("_tp") - F.col("_tp_mean"))
+    spread = with_rolling_means(dev.withColumn("_size", F.abs("_gap")), {"_spread": Mean("_size", n)})
+    return spread.select(*kept, (ratio("_gap", 0.015 * F.col("_spread")) / 200).alias(out))
 
 
 def on_balance_volume(frame: DataFrame, out: str = "obv_level") -> DataFrame:
@@ -90,11 +99,10 @@ def ewm_factors(signal: DataFrame, p: Lookbacks, names: set[str]) -> DataFrame:
     return ewm_columns(frame, specs, keep=carried).select(*kept, *finals)
 
 
-def month_momentum(months: DataFrame, lookback: int, skip: int) -> DataFrame:
+def month_momentum(lookback: int, skip: int) -> Column:
     """Return between two past month-end closes, on the contiguous month grid."""
     recent = F.lag("close", skip).over(ordered()) if skip else F.col("close")
-    anchor = F.lag("close", lookback).over(ordered())
-    return months.select("symbol", "date", (ratio(recent, anchor) - 1).alias("ts_momentum"))
+    return ratio(recent, F.lag("close", lookback).over(ordered())) - 1
 
 
 def week_factors(weeks: DataFrame, p: Lookbacks) -> DataFrame:
@@ -124,39 +132,58 @@ def week_factors(weeks: DataFrame, p: Lookbacks) -> DataFrame:
 def technical_factors(
     panel: Panel, p: Lookbacks, timeframe: str = "daily", names: Iterable[str] = TECHNICAL
 ) -> DataFrame:
-    """(symbol, date, one column per requested factor) on the session grid, not yet lagged.
+    """(symbol, date, one column per requested factor) on the session grid, not yet lagged."""
+    wanted = set(names)
+    return factor_versions(panel, {name: (name, p) for name in [*TECHNICAL, *wanted] if name in wanted}, timeframe)
 
-    Only what is asked for is computed. Signals of all granularities are unioned with the session grid
-    and carried forward by one window; no joins.
+
+def factor_versions(panel: Panel, versions: Mapping[str, tuple[str, Lookbacks]], timeframe: str = "daily") -> DataFrame:
+    """(symbol, date, one column per version): each a technical factor with lookbacks of its own.
+
+    Only what is asked for is computed, and what versions share is computed once: one resampling, one sort, one set of
+    rolling sums. Signals of all granularities are unioned with the session grid and carried forward by one window; no
+    joins.
     """
-    wanted = set(names)
-    unknown = wanted - set(TECHNICAL)
+    unknown = {factor for factor, _ in versions.values()} - set(TECHNICAL)
     if unknown:
         raise ValueError(f"unknown technical factors: {sorted(unknown)}")
     timeframe = timeframe.lower()
     signal_panel = resample(panel, timeframe)
     signal = signal_panel.prices
-    recursive = wanted & {"ema_crossover", "rsi", "macd", "obv"}
-    if recursive:
-        signal = ewm_factors(signal, p, recursive)
-    if "cci" in wanted:
-        signal = cci(signal, p.channel)
+
+    def of(*factors: str) -> dict[str, tuple[str, Lookbacks]]:
+        return {version: (factor, p) for version, (factor, p) in versions.items() if factor in factors}
+
+    recursive = of("ema_crossover", "rsi", "macd", "obv")
+    for p in dict.fromkeys(p for _, p in recursive.values()):
+        mine = {factor: version for version, (factor, q) in recursive.items() if q == p}
+        signal = ewm_factors(signal, p, set(mine)).withColumnsRenamed(mine)
+    for version, (_, p) in of("cci").items():
+        signal = cci(signal, p.channel, version)
+    spans = {n for _, p in of("sma_crossover").values() for n in p.averages}
+    spans |= {p.trend for _, p in of("trend_filter").values()} | {p.bands[0] for _, p in of("bollinger").values()}
+    if spans:
+        signal = with_rolling_means(signal, {average_of(n): Mean("close", n) for n in sorted(spans)})
     direct = {
-        "sma_crossover": sma_crossover(*p.averages),
-        "trend_filter": trend_filter(p.trend),
-        "breakout": breakout(p.breakout_weeks),
-        "bollinger": bollinger(*p.bands),
+        "sma_crossover": lambda p: sma_crossover(*p.averages),
+        "trend_filter": lambda p: trend_filter(p.trend),
+        "breakout": lambda p: breakout(p.breakout_weeks),
+        "bollinger": lambda p: bollinger(*p.bands),
     }
-    on_signal = [n for n in TECHNICAL if n in wanted and (n in direct or n in recursive or n == "cci")]
-    signal = signal.select("symbol", "date", *[direct.get(n, F.col(n)).alias(n) for n in on_signal])
+    made = {v: direct[factor](p).alias(v) if factor in direct else F.col(v) for v, (factor, p) in of(*direct, "cci").items()}
+    on_signal = [v for v in versions if v in made or v in recursive]
+    signal = signal.select("symbol", "date", *[made.get(v, F.col(v)) for v in on_signal])
     coarse = []
-    if "ts_momentum" in wanted:
+    momentum = of("ts_momentum")
+    if momentum:
         months = resample(signal_panel, "monthly").prices
-        coarse.append(month_momentum(months, *p.momentum_months))
-    weekly_names = [n for n in ("variable_week_high", "price_action") if n in wanted]
-    if weekly_names:
+        coarse.append(months.select("symbol", "date", *[month_momentum(*p.momentum_months).alias(v) for v, (_, p) in momentum.items()]))
+    weekly = of("variable_week_high", "price_action")
+    if weekly:
         weeks = resample(signal_panel, "weekly").prices
-        coarse.append(week_factors(weeks, p).select("symbol", "date", *weekly_names))
+        for p in dict.fromkeys(p for _, p in weekly.values()):
+            mine = {factor: version for version, (factor, q) in weekly.items() if q == p}
+            coarse.append(week_factors(weeks, p).select("symbol", "date", *mine).withColumnsRenamed(mine))
     return _carry_to_sessions(panel, signal, on_signal, coarse, timeframe == "daily")
 
 

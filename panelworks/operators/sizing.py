@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.functions.scalar import ratio
-from panelworks.functions.windows import padded_change, rolling
+from panelworks.functions.windows import Mean, padded_change, rolling, with_rolling_means
 from panelworks.operators.panel import at_prior_end
 from panelworks.operators.walkforward import pearson
 from panelworks.operators.xsection import leader_gap, top_n
@@ -123,9 +123,8 @@ def diversify(
 
 def regime_scale(bench: DataFrame, dates: DataFrame, window: int, fraction: float, need: int = 10) -> DataFrame:
     """(date, scale): ``fraction`` where the benchmark closed below its mean at the prior end, else 1."""
-    one = bench.withColumn("_k", F.lit(0))
-    below = F.col("close") < rolling("close", window, need, keys=["_k"])
-    flags = one.select("date", below.alias("_bear"))
+    one = with_rolling_means(bench.withColumn("_k", F.lit(0)), {"_mean": Mean("close", window, need)}, ["_k"])
+    flags = one.select("date", (F.col("close") < F.col("_mean")).alias("_bear"))
     at = at_prior_end(flags, dates)
     return at.select("date", F.when(F.coalesce("_bear", F.lit(False)), F.lit(fraction)).otherwise(F.lit(1.0)).alias("scale"))
 

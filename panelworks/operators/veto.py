@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelworks.functions.scalar import ratio
-from panelworks.functions.windows import ordered, rolling
+from panelworks.functions.windows import Mean, ordered, with_rolling_means
 from panelworks.operators.panel import asof, at_prior_end
 from panelworks.operators.xsection import below_quantile, zscore
 
 
 def trailing_volume(prices: DataFrame, dates: DataFrame, window: int, out: str = "trailing") -> DataFrame:
     """Mean volume over the last ``window`` sessions known at each date's prior end."""
-    tv = prices.select("symbol", "date", rolling("volume", window, 1).alias(out))
+    tv = with_rolling_means(prices.select("symbol", "date", "volume"), {out: Mean("volume", window, 1)})
     return at_prior_end(tv, dates).select("symbol", "date", out)
 
 
@@ -47,9 +47,8 @@ def relative_veto(ratios: DataFrame, share: float) -> DataFrame:
 
 def naive_ratios(prices: DataFrame, dates: DataFrame, window: int, short: int = 21) -> DataFrame:
     """Recent over longer trailing volume, without any forecast."""
-    tv = prices.select(
-        "symbol", "date", rolling("volume", short, 1).alias("_short"), rolling("volume", window, 1).alias("_long")
-    )
+    means = {"_short": Mean("volume", short, 1), "_long": Mean("volume", window, 1)}
+    tv = with_rolling_means(prices.select("symbol", "date", "volume"), means)
     at = at_prior_end(tv, dates)
     return at.select("symbol", "date", ratio("_short", F.when(F.col("_long") > 0, F.col("_long"))).alias("ratio"))
 
@@ -58,11 +57,9 @@ def expected_moves(prices: DataFrame, dates: DataFrame, window: int = 21) -> Dat
     """What trailing means say at each date's prior end: the log return over ``window`` sessions, and the mean price over
     the last close."""
     stepped = prices.withColumn("_step", F.ln(ratio("close", F.lag("close").over(ordered()))))
-    known = stepped.select(
-        "symbol",
-        "date",
-        (window * rolling("_step", window, 2)).alias("expected_return"),
-        ratio(rolling("close", window, 2), "close").alias("price_ratio"),
+    means = {"_mean_step": Mean("_step", window, 2), "_mean_close": Mean("close", window, 2)}
+    known = with_rolling_means(stepped, means).select(
+        "symbol", "date", (window * F.col("_mean_step")).alias("expected_return"), ratio("_mean_close", "close").alias("price_ratio")
     )
     return at_prior_end(known, dates).select("symbol", "date", "expected_return", "price_ratio")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelworks.functions.scalar import clean
-from panelworks.functions.windows import rolling
+from panelworks.functions.windows import Mean, rolling, with_rolling_means
 from panelworks.operators.panel import align
 from panelworks.sources import market
 
@@ -72,8 +72,8 @@ def standardized(series: DataFrame, meta: DataFrame, sessions: DataFrame, window
     need = min(window, max(30, window // 4))
     keys = ("series_id",)
     spread = F.nullif(rolling("value", window, need, F.stddev_samp, keys), F.lit(0.0))
-    z = (F.col("value") - rolling("value", window, need, keys=keys)) / spread
-    return released(series, meta, sessions).select("series_id", "date", z.alias("z"))
+    centred = with_rolling_means(released(series, meta, sessions), {"_mean": Mean("value", window, need)}, keys)
+    return centred.select("series_id", "date", ((F.col("value") - F.col("_mean")) / spread).alias("z"))
 
 
 def composite(z: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from helpers import D, business_days, column, frame, one_key, panel, rows
 from pyspark.sql import functions as F
 
-from panelworks.functions.windows import padded_change, rolling
+from panelworks.functions.windows import Mean, padded_change, rolling, with_rolling_means
 from panelworks.operators import calendar as cal
 from panelworks.operators.ewm import Ewm, ewm_columns
 from panelworks.operators.panel import align, log_returns, resample
@@ -68,8 +68,25 @@ def test_padded_change(spark):
 def test_mean_forgets_a_spike(spark, n):
     """What has left the frame leaves no trace, however large, whatever the length of the window."""
     x = one_key(spark, [1.0] * 20 + [1e17] + [1.0] * 200)
-    means = column(x.select("date", rolling("x", n).alias("m")), "m", "date")
-    assert means[-1] == 1.0 and means[max(20, n // 2)] > 1e15 and means[20 + n] == 1.0
+    for out in (x.select("date", rolling("x", n).alias("m")), with_rolling_means(x, {"m": Mean("x", n)})):
+        means = column(out, "m", "date")
+        assert means[-1] == 1.0 and means[max(20, n // 2)] > 1e15 and means[20 + n] == 1.0
+
+
+def test_rolling_means_of_several_lengths_with_gaps(spark):
+    values = [None if i % 7 == 3 or 40 < i < 60 else float(i * i % 101) for i in range(130)]
+    x = one_key(spark, values).withColumn("y", -F.col("x"))
+    other = x.withColumn("symbol", F.lit("B")).withColumn("x", F.col("x") * 2)
+    wanted = {"a": Mean("x", 1), "b": Mean("x", 13, 1), "c": Mean("x", 64), "d": Mean("y", 100, 3)}
+    got = with_rolling_means(x.unionByName(other), wanted)
+    assert got.columns == [*x.columns, *wanted]
+    for out, mean in wanted.items():
+        for symbol, scale in (("A", 1.0), ("B", 2.0 if mean.value == "x" else 1.0)):
+            need = max(2, mean.n // 2) if mean.need is None else mean.need
+            for i, m in enumerate(column(got.where(F.col("symbol") == symbol), out, "date")):
+                frame = [v for v in values[max(0, i - mean.n + 1) : i + 1] if v is not None]
+                want = scale * sum(frame) / len(frame) * (-1 if mean.value == "y" else 1) if len(frame) >= need else None
+                assert m == want or abs(m - want) < 1e-12 * max(1, abs(want))
 
 
 def test_ingest_turns_nan_and_infinity_into_null(spark):
