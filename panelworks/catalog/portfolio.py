@@ -30,8 +30,10 @@ cte(
 )
 
 
-def valuation_ctes(prefix: str, targets: str, cost: float, skip: bool, sequential: bool) -> None:
-    """Closed-form valuation of a target table in SQL: <prefix>_positions, _periods and _equity."""
+def valuation_ctes(prefix: str, targets: str, cost: float | str, skip: bool, sequential: bool) -> None:
+    """Closed-form valuation of a target table in SQL: <prefix>_positions, _periods and _equity. ``cost`` is a number or
+    a column of the targets."""
+    carried, cost = ("", cost) if not isinstance(cost, str) else (f"t.{cost}, ", f"b.{cost}")
     p = prefix
     same = "len(want) > 0 AND coalesce(want = prev, FALSE)" if skip else "FALSE"
     left = (
@@ -55,7 +57,7 @@ def valuation_ctes(prefix: str, targets: str, cost: float, skip: bool, sequentia
     )
     cte(
         f"{p}_buys",
-        f"""SELECT b.*, x.open_px AS open_next FROM (SELECT *, w * {left} AS eff FROM (SELECT t.run_id, t.date, t.rank, t.symbol, t.open, k.until,
+        f"""SELECT b.*, x.open_px AS open_next FROM (SELECT *, w * {left} AS eff FROM (SELECT t.run_id, t.date, t.rank, t.symbol, t.open, k.until, {carried}
         t.weight / CASE WHEN k.total > 1 + 1e-9 THEN k.total ELSE 1 END AS w FROM {p}_priced t JOIN {p}_kept k USING (run_id, date)
         WHERE t.open > 0)) b LEFT JOIN px x ON x.symbol = b.symbol AND x.date = b.until""",
         (f"{p}_priced", f"{p}_kept", "px"),

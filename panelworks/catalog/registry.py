@@ -25,6 +25,7 @@ MODULES = (
     "portfolio",
     "metrics",
     "sweeps",
+    "sensitivity",
     "studies",
 )
 

@@ -51,7 +51,7 @@ def executed(targets: DataFrame, px: DataFrame, skip_unchanged: bool) -> DataFra
 def value(
     targets: DataFrame,
     px: DataFrame,
-    cost: float,
+    cost: float | str,
     capital: float,
     skip_unchanged: bool = True,
     sequential: bool = True,
@@ -60,8 +60,9 @@ def value(
 
     ``sequential`` buys each name with its weight of the cash that the names before it left over, so the
     rank order matters; otherwise every name gets its weight of the cash at hand. ``cost`` is a rate
-    per side.
+    per side, or the column of ``targets`` that holds it.
     """
+    rate = F.col(cost) if isinstance(cost, str) else F.lit(float(cost))
     t = executed(materialize(targets, "targets"), px, skip_unchanged)
     scale = F.when(F.col("_total") > 1 + 1e-9, F.col("_total")).otherwise(F.lit(1.0))
     priced = F.col("open") > 0
@@ -71,8 +72,9 @@ def value(
     exits = px.select("symbol", F.col("date").alias("until"), F.col("open_px").alias("open_next"))
     fills = t.withColumn("eff", F.col("weight") * left).join(exits, ["symbol", "until"], "left")
     # everything below reads the fills, several times over
-    fills = materialize(fills.select("run_id", "date", "until", "rank", "symbol", "open", "open_next", "eff"), "fills")
-    grown = F.col("eff") * (1 - cost) * (1 - cost) * ratio("open_next", "open")
+    fills = materialize(fills.select("run_id", "date", "until", "rank", "symbol", "open", "open_next", "eff", rate.alias("_cost")), "fills")
+    after = 1 - F.col("_cost")
+    grown = F.col("eff") * after * after * ratio("open_next", "open")
     periods = fills.groupBy("run_id", "date", "until").agg(
         (1 - F.coalesce(F.sum("eff"), F.lit(0.0))).alias("_rest"), F.coalesce(F.sum(grown), F.lit(0.0)).alias("_grown")
     )
@@ -89,7 +91,7 @@ def value(
         "open_next",
         "capital",
         (F.col("capital") * F.col("eff")).alias("cost_basis"),
-        ratio(F.col("capital") * F.col("eff") * (1 - cost), "open").alias("shares"),
+        ratio(F.col("capital") * F.col("eff") * after, "open").alias("shares"),
     )
     cash = periods.select("run_id", "date", "until", (F.col("capital") * F.col("_rest")).alias("cash"))
     return Valuation(positions, cash)
