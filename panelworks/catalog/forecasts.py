@@ -9,7 +9,10 @@ from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, cte, query
 from panelworks.operators import forecast as fc
 from panelworks.operators.panel import log_returns
+from panelworks.catalog.sources import staged
+from panelworks.operators.stage import materialize
 from panelworks.sources import market
+from panelworks.sources.forecasts import Reading, store
 
 CTX, HOR = 60, 21
 
@@ -52,6 +55,61 @@ def quantile_forecasts(p):
     return fc.forecast(requests(p), fc.empirical_quantile_scorer([0.2, 0.5, 0.9]), HOR, CTX, "volume")
 
 
+def _context_sql(source: str, value: str, need: int, pad: str) -> str:
+    """Contexts of a series: the values among the last 64 sessions up to the prior end, padded on the left."""
+    return f"""SELECT symbol, date, list_concat(list_resize(CAST([] AS DOUBLE[]), 64 - len(series), CAST({pad} AS DOUBLE)), series) AS context FROM (
+    SELECT v.symbol, r.date, v.series FROM rebal_prior r JOIN (SELECT symbol, date, list({value}) FILTER ({value} IS NOT NULL)
+    OVER (PARTITION BY symbol ORDER BY date ROWS 63 PRECEDING) AS series FROM {source}) v ON v.date = r.prior_end WHERE len(v.series) >= {need})"""
+
+
+cte("volume_contexts", _context_sql("panel", "volume", 24, "0"), ("panel", "rebal_prior"))
+cte("price_contexts", _context_sql("panel", "close", 24, "series[1]"), ("panel", "rebal_prior"))
+cte(
+    "return_steps",
+    "SELECT symbol, date, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY date) AS r FROM panel",
+    ("panel",),
+)
+cte("return_contexts", _context_sql("return_steps", "r", 12, "0"), ("return_steps", "rebal_prior"))
+cte(
+    "readings",
+    """SELECT coalesce(v.symbol, p.symbol, x.symbol) AS symbol, coalesce(v.date, p.date, x.date) AS date, list_avg(v.context[-21:]) AS volume,
+    list_avg(v.context[-5:]) AS short_volume, p.context[64] + 11 * (p.context[64] - p.context[1]) / 63 AS price,
+    21 * list_avg(x.context[-21:]) AS return_21, 60 * list_avg(x.context[-60:]) AS return_60, 5 * list_avg(x.context[-5:]) AS return_5
+    FROM volume_contexts v FULL JOIN price_contexts p ON p.symbol = v.symbol AND p.date = v.date
+    FULL JOIN return_contexts x ON x.symbol = coalesce(v.symbol, p.symbol) AND x.date = coalesce(v.date, p.date)""",
+    ("volume_contexts", "price_contexts", "return_contexts"),
+)
+#: What the vetoes read from the store.
+READINGS = {
+    "volume": Reading(CTX, 21, "volume", fc.mean_sum(21) / 21),
+    "short_volume": Reading(CTX, 5, "volume", fc.mean_sum(5) / 5),
+    "price": Reading(CTX, 21, "price", fc.mean_sum(21) / 21),
+    "return_21": Reading(CTX, 21, "logret", fc.mean_sum(21)),
+    "return_60": Reading(CTX, 60, "logret", fc.mean_sum(60)),
+    "return_5": Reading(CTX, 5, "logret", fc.mean_sum(5)),
+}
+
+
+def filled_store(spark, p) -> str:
+    """A forecast store of three kinds and three horizons, and with quantiles of one, at the monthly rebalances."""
+    path = staged(spark, "forecast-store")
+    ends, steps = tables.prior_ends(p), log_returns(p.prices)
+    volume = materialize(fc.context_requests(p.prices, "volume", ends, CTX, 24), "volume_requests")
+    price = fc.context_requests(p.prices, "close", ends, CTX, 24)
+    returns = materialize(fc.context_requests(steps, "logret", ends, CTX, 12), "return_requests")
+    mean = fc.trailing_mean_scorer
+    for requests_, scorer, hor, kind in (
+        (volume, mean(21), 21, "volume"),
+        (volume, mean(5), 5, "volume"),
+        (price, fc.drift_scorer(), 21, "price"),
+        (returns, mean(21), 21, "logret"),
+        (returns, mean(60), 60, "logret"),
+        (returns, mean(5), 5, "logret"),
+    ):
+        store(fc.forecast(requests_, scorer, hor, CTX, kind).drop("q"), path, CTX, hor, kind, False)
+    return path
+
+
 @query("fc_01_context_requests", check_sql("SELECT symbol, date, series FROM requests", "requests"))
 def context_requests(spark, sf_dir):
     return requests(market.panel(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.catalog import alignment, fundamentals, tables  # noqa: F401  (shared table expressions)
 from panelworks.catalog.base import r4, rnd
-from panelworks.catalog.registry import check_sql, query
+from panelworks.catalog.registry import check_sql, cte, query
 from panelworks.functions.windows import padded_change
 from panelworks.operators import calendar as cal
 from panelworks.operators.panel import asof, grid
@@ -123,12 +123,15 @@ def returns_with_benchmark(spark, sf_dir):
     return own.join(F.broadcast(bench), "date")
 
 
+cte("month_before", "SELECT DISTINCT symbol, date - 30 AS date FROM membership", ("membership",))
+
+
 @query(
     "join_07_missing_keys",
     check_sql(
-        "SELECT s.symbol, s.date FROM scores s ANTI JOIN membership m ON m.symbol = s.symbol AND m.date = s.date + 30",
+        "SELECT s.symbol, s.date FROM scores s LEFT JOIN month_before m ON m.symbol = s.symbol AND m.date = s.date WHERE m.symbol IS NULL",
         "scores",
-        "membership",
+        "month_before",
     ),
 )
 def missing_keys(spark, sf_dir):
@@ -140,9 +143,9 @@ def missing_keys(spark, sf_dir):
 @query(
     "join_08_cached_keys",
     check_sql(
-        "SELECT s.symbol, s.date FROM scores s SEMI JOIN membership m ON m.symbol = s.symbol AND m.date = s.date + 30",
+        "SELECT s.symbol, s.date FROM scores s JOIN month_before m ON m.symbol = s.symbol AND m.date = s.date",
         "scores",
-        "membership",
+        "month_before",
     ),
 )
 def cached_keys(spark, sf_dir):

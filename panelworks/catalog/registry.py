@@ -26,6 +26,7 @@ MODULES = (
     "metrics",
     "sweeps",
     "sensitivity",
+    "alphas",
     "studies",
 )
 

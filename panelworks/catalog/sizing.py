@@ -12,7 +12,8 @@ from panelworks.operators import forecast as fc
 from panelworks.operators import sizing as sz
 from panelworks.operators import veto as vt
 from panelworks.operators.xsection import leader_gap
-from panelworks.sources import market
+from panelworks.operators.stage import materialize
+from panelworks.sources import forecasts as forecasts_source, market
 
 cte("levels", "SELECT symbol, date, mean[1] AS level FROM mean_forecasts", ("mean_forecasts",))
 cte(
@@ -39,9 +40,11 @@ cte(
 
 
 def levels(p):
-    return fc.forecast(forecasts.requests(p), fc.trailing_mean_scorer(21), forecasts.HOR, forecasts.CTX, "volume").select(
+    """Forecast volume levels, stored because every reader would score them again."""
+    found = fc.forecast(forecasts.requests(p), fc.trailing_mean_scorer(21), forecasts.HOR, forecasts.CTX, "volume").select(
         "symbol", "date", (fc.mean_sum(21) / 21).alias("level")
     )
+    return materialize(found, "levels")
 
 
 def ratios(p):
@@ -103,41 +106,41 @@ def soft_veto(spark, sf_dir):
     return both.select("date", "symbol", rnd(adjusted, "score", 6))
 
 
-def _judged(spark, sf_dir, rules):
-    p = market.stored_panel(spark, sf_dir)
-    s = tables.scores(spark, sf_dir, p).join(ratios(p), ["symbol", "date"], "left")
-    naive = vt.naive_ratios(p.prices, tables.prior_ends(p), 63).withColumnRenamed("ratio", "short_ratio")
-    s = s.join(naive, ["symbol", "date"], "left")
-    s = s.join(vt.expected_moves(p.prices, tables.prior_ends(p)), ["symbol", "date"], "left")
-    return vt.sequential_vetoes(s, rules)
-
-
-RETURN_RULE = ("return", "expected_return", -0.02)
-RULES = (("volume", "ratio", 0.85), RETURN_RULE, ("short_volume", "short_ratio", 0.95), ("price", "price_ratio", 0.97))
+def judged_scores(spark, sf_dir, p, rules):
+    """Scores with the numbers of the forecast store that rules judge, and the first rule that drops each."""
+    readings = forecasts_source.readings(spark, forecasts.filled_store(spark, p), forecasts.READINGS)
+    measures = vt.forecast_measures(readings, p.prices, tables.prior_ends(p))
+    return vt.sequential_vetoes(tables.scores(spark, sf_dir, p).join(measures, ["symbol", "date"], "left"), rules)
 
 
+RETURN_RULE = ("return", "return_21", -0.6)
+RULES = (
+    ("volume", "volume_ratio", 0.8),
+    RETURN_RULE,
+    ("short_volume", "short_ratio", 0.6),
+    ("price", "price_ratio", 0.8),
+    ("return_60", "return_60", -0.3),
+    ("return_5", "return_5", -0.2),
+)
 cte(
-    "judged",
-    f"""SELECT s.date, s.symbol, m.expected_return, CASE WHEN r.ratio < 0.85 THEN 'volume' WHEN m.expected_return < -0.02 THEN 'return'
-    WHEN v.tv21 / nullif(v.tv, 0) < 0.95 THEN 'short_volume' WHEN m.price_ratio < 0.97 THEN 'price' END AS reason
-    FROM scores s LEFT JOIN ratios r ON r.symbol = s.symbol AND r.date = s.date
-    JOIN rebal_prior e ON e.date = s.date LEFT JOIN {TV} v ON v.symbol = s.symbol AND v.date = e.prior_end
-    LEFT JOIN moves m ON m.symbol = s.symbol AND m.date = e.prior_end""",
-    ("scores", "ratios", "rebal_prior", "panel", "moves"),
+    "measures",
+    """SELECT f.*, f.volume / nullif(v.tv, 0) AS volume_ratio, f.short_volume / nullif(v.tv, 0) AS short_ratio,
+    f.price / CASE WHEN v.close > 0 THEN v.close END AS price_ratio FROM readings f JOIN rebal_prior e ON e.date = f.date
+    JOIN (SELECT symbol, date, close, avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING) AS tv FROM panel) v
+    ON v.symbol = f.symbol AND v.date = e.prior_end""",
+    ("readings", "rebal_prior", "panel"),
 )
 cte(
-    "moves",
-    """SELECT symbol, date, CASE WHEN count(r) OVER w >= 2 THEN 21 * avg(r) OVER w END AS expected_return,
-    CASE WHEN count(close) OVER w >= 2 THEN avg(close) OVER w END / nullif(close, 0) AS price_ratio FROM (
-    SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS r FROM panel)
-    WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING)""",
-    ("panel",),
+    "judged",
+    f"""SELECT s.date, s.symbol, s.score, m.return_21, CASE {' '.join(f"WHEN m.{c} < {t} THEN '{name}'" for name, c, t in RULES)} END AS reason
+    FROM scores s LEFT JOIN measures m ON m.symbol = s.symbol AND m.date = s.date""",
+    ("scores", "measures"),
 )
 
 
 @query("vt_05_sequential_vetoes", check_sql("SELECT date, symbol, reason FROM judged", "judged"))
 def sequential(spark, sf_dir):
-    return _judged(spark, sf_dir, RULES).select("date", "symbol", "reason")
+    return judged_scores(spark, sf_dir, market.stored_panel(spark, sf_dir), RULES).select("date", "symbol", "reason")
 
 
 @query(
@@ -145,15 +148,16 @@ def sequential(spark, sf_dir):
     check_sql("SELECT reason, count(*) AS dropped FROM judged WHERE reason IS NOT NULL GROUP BY reason", "judged"),
 )
 def drops(spark, sf_dir):
-    return vt.rule_counts(_judged(spark, sf_dir, RULES))
+    return vt.rule_counts(judged_scores(spark, sf_dir, market.stored_panel(spark, sf_dir), RULES))
 
 
 @query(
     "vt_05_return_rule_alone",
-    check_sql("SELECT date, symbol FROM judged WHERE NOT coalesce(expected_return < -0.02, FALSE)", "judged"),
+    check_sql(f"SELECT date, symbol FROM judged WHERE NOT coalesce(return_21 < {RETURN_RULE[2]}, FALSE)", "judged"),
 )
 def return_rule_alone(spark, sf_dir):
-    return _judged(spark, sf_dir, [RETURN_RULE]).where("reason IS NULL").select("date", "symbol")
+    judged = judged_scores(spark, sf_dir, market.stored_panel(spark, sf_dir), [RETURN_RULE])
+    return judged.where("reason IS NULL").select("date", "symbol")
 
 
 @query(

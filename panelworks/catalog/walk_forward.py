@@ -11,11 +11,11 @@ from panelworks.catalog import alignment, fundamentals, sizing, tables  # noqa:
 from panelworks.catalog.base import r4, rnd
 from panelworks.catalog.registry import check_sql, cte, query
 from panelworks.settings import Fitting, Selection, Setup
-from panelworks.operators import veto as vt
 from panelworks.operators import walkforward as wf
 from panelworks.operators.panel import forward_open_returns
 from panelworks.operators.scoring import target_holdings
-from panelworks.operators.xsection import pct_rank, top_n
+from panelworks.operators.stage import materialize
+from panelworks.operators.xsection import top_n, wide_pct_rank
 from panelworks.plans import factor_plan as plan
 from panelworks.sources import macro, market
 
@@ -336,19 +336,18 @@ cte(
     "blend_picks",
     f"""SELECT CAST(alpha AS DOUBLE) AS alpha, date, symbol, rank FROM (SELECT alpha, date, symbol, CAST(row_number() OVER (PARTITION BY alpha, date ORDER BY blended DESC, symbol) AS INTEGER) AS rank
     FROM (SELECT a.alpha, s.date, s.symbol, (1 - a.alpha) * s.score + a.alpha * coalesce(s.f, s.score) AS blended FROM (
-    SELECT date, symbol, score, {tables.rank_sql('tv', centre='')} AS f FROM (SELECT s.*, m.expected_return AS tv FROM scores s
-    JOIN rebal_prior e ON e.date = s.date LEFT JOIN moves m ON m.symbol = s.symbol AND m.date = e.prior_end)) s,
+    SELECT date, symbol, score, {tables.rank_sql('return_21', centre='')} AS f FROM judged WHERE reason IS NULL) s,
     (VALUES {', '.join(f'({a})' for a in ALPHAS)}) a(alpha))) WHERE rank <= 2""",
-    ("scores", "rebal_prior", "moves"),
+    ("judged",),
 )
 
 
 def blend_picks(spark, sf_dir, p):
-    """The two best names per date and alpha of the composite blended with the rank of the forecast return."""
+    """The two best names per date and alpha, after the vetoes, of the composite blended with the rank of the stored
+    21-day forecast return."""
     alphas = spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")
-    moves = vt.expected_moves(p.prices, tables.prior_ends(p))
-    both = tables.scores(spark, sf_dir, p).join(moves, ["symbol", "date"], "left")
-    ranked = both.select("date", "symbol", "score", pct_rank("expected_return").alias("f"))
+    judged = materialize(sizing.judged_scores(spark, sf_dir, p, sizing.RULES).where("reason IS NULL"), "judged")
+    ranked = wide_pct_rank(judged.select("date", "symbol", "score", "return_21"), "return_21", out="f")
     blended = ranked.crossJoin(F.broadcast(alphas)).withColumn(
         "score", (1 - F.col("alpha")) * F.col("score") + F.col("alpha") * F.coalesce("f", "score")
     )
@@ -361,29 +360,8 @@ def alpha_blend(spark, sf_dir):
 
 
 cte(
-    "alpha_returns",
-    """SELECT b.alpha, b.date, avg(f.forward_return) AS ret FROM blend_picks b JOIN forward f ON f.symbol = b.symbol AND f.date = b.date
-    GROUP BY 1, 2 HAVING avg(f.forward_return) IS NOT NULL""",
-    ("blend_picks", "forward"),
+    "alpha_targets",
+    """SELECT CAST(alpha AS VARCHAR) AS run_id, date, rank, symbol, 1.0 / count(*) OVER (PARTITION BY alpha, date) AS weight
+    FROM blend_picks""",
+    ("blend_picks",),
 )
-
-
-@query(
-    "wf_13_yearly_alpha",
-    check_sql(
-        """SELECT year, alpha, round(prior_sharpe, 4) AS prior_sharpe, round(sharpe, 4) AS sharpe, n FROM (SELECT o.alpha, o.year, o.n,
-        o.m / nullif(o.s, 0) AS sharpe, q.m / nullif(q.s, 0) AS prior_sharpe,
-        row_number() OVER (PARTITION BY o.year ORDER BY q.m / nullif(q.s, 0) DESC NULLS LAST, o.alpha) AS rn FROM (
-        SELECT alpha, CAST(year(date) AS INTEGER) AS year, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS s FROM alpha_returns GROUP BY 1, 2) o
-        JOIN (SELECT y.year, r.alpha, avg(r.ret) AS m, stddev_samp(r.ret) AS s FROM alpha_returns r
-        JOIN (SELECT DISTINCT year(date) AS year FROM alpha_returns) y ON year(r.date) < y.year GROUP BY 1, 2) q
-        ON q.year = o.year AND q.alpha = o.alpha WHERE q.m / nullif(q.s, 0) IS NOT NULL) WHERE rn = 1""",
-        "alpha_returns",
-    ),
-)
-def yearly_alpha(spark, sf_dir):
-    p = market.stored_panel(spark, sf_dir)
-    forward = forward_open_returns(p.prices, tables.monthly(p))
-    held = blend_picks(spark, sf_dir, p).join(forward, ["symbol", "date"])
-    returns = held.groupBy("alpha", "date").agg(F.avg("forward_return").alias("ret"))
-    return r4(wf.choose_by_year(returns, "alpha"), "prior_sharpe", "sharpe")

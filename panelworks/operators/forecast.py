@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,14 @@ FORECAST_SCHEMA = "symbol string, date date, mean array<double>, q array<array<d
 Scorer = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray | None]]
 
 
+@dataclass(frozen=True)
+class Paths:
+    """A scorer made of column expressions: from a context and a horizon, the mean path and quantile paths or None.
+    It needs no Python worker."""
+
+    of: Callable[[Column, int], tuple[Column, Column | None]]
+
+
 def context_requests(
     series: DataFrame, value: str, dates: DataFrame, context_len: int, min_obs: int = MIN_OBSERVATIONS
 ) -> DataFrame:
@@ -55,10 +64,16 @@ def prepared_context(series: Column | str, context_len: int, kind: str) -> Colum
     return F.concat(F.array_repeat(pad, F.lit(length) - F.size(tail)), tail)
 
 
-def forecast(requests: DataFrame, scorer: Scorer, horizon: int, context_len: int, kind: str) -> DataFrame:
-    """Score requests partition by partition in Arrow batches. No shuffle; a batch is all a task holds."""
+def forecast(requests: DataFrame, scorer: Scorer | Paths, horizon: int, context_len: int, kind: str) -> DataFrame:
+    """Score requests where they are: by expressions, or by a supplied scorer partition by partition in Arrow batches.
+    No shuffle; a batch is all a task holds."""
     ready = requests.select("symbol", "date", prepared_context("series", context_len, kind).alias("context"))
 
+    if isinstance(scorer, Paths):
+        mean, quantiles = scorer.of(F.col("context"), horizon)
+        none = F.lit(None).cast("array<array<double>>")
+        return ready.select("symbol", "date", mean.alias("mean"), (none if quantiles is None else quantiles).alias("q"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
@@ -71,43 +86,52 @@ def forecast(requests: DataFrame, scorer: Scorer, horizon: int, context_len: int
 
 
 def forecast_panel(
-    requests: DataFrame, stored: DataFrame, scorer: Scorer, horizon: int, context_len: int, kind: str
+    requests: DataFrame, stored: DataFrame, scorer: Scorer | Paths, horizon: int, context_len: int, kind: str
 ) -> DataFrame:
     """Whole store after scoring only the keys it lacks; stored rows are kept."""
     fresh = forecast(missing_requests(requests, stored), scorer, horizon, context_len, kind)
     return stored.unionByName(fresh)
 
 
-def trailing_mean_scorer(window: int = 21) -> Scorer:
-    """Flat path at the mean of the last ``window`` values of the context."""
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
 
-    def score(contexts: np.ndarray, horizon: int):
-        level = contexts[:, -window:].mean(axis=1, keepdims=True)
-        return np.repeat(level, horizon, axis=1), None
 
-    return score
+def _tail(context: Column, window: int) -> Column:
+    return F.slice(context, -F.least(F.lit(window), F.size(context)), F.lit(window))
 
 
-def drift_scorer() -> Scorer:
+def trailing_mean_scorer(window: int = 21) -> Paths:
+    """Flat path at the mean of the last ``window`` values of the context."""
+    return Paths(lambda context, horizon: (F.array_repeat(_mean(_tail(context, window)), horizon), None))
+
+
+def drift_scorer() -> Paths:
     """Straight line through the context's first and last value, continued."""
 
-    def score(contexts: np.ndarray, horizon: int):
-        slope = (contexts[:, -1:] - contexts[:, :1]) / max(1, contexts.shape[1] - 1)
-        return contexts[:, -1:] + slope * np.arange(1, horizon + 1), None
+    def paths(context: Column, horizon: int):
+        last = F.element_at(context, -1)
+        slope = (last - F.element_at(context, 1)) / F.greatest(F.size(context) - 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda step: last + slope * step), None
+
+    return Paths(paths)
+
 
-    return score
+def empirical_quantile_scorer(levels: Sequence[float], window: int = 64) -> Paths:
+    """Flat paths at the context's empirical quantiles (linear between neighbours), the mean in the middle."""
 
+    def paths(context: Column, horizon: int):
+        tail = F.array_sort(_tail(context, window))
 
-def empirical_quantile_scorer(levels: Sequence[float], window: int = 64) -> Scorer:
-    """Flat paths at the context's empirical quantiles, the mean in the middle."""
+        def quantile(level: float) -> Column:
+            at = (F.size(tail) - 1) * F.lit(float(level))
+            low, high = F.element_at(tail, F.floor(at).cast("int") + 1), F.element_at(tail, F.ceil(at).cast("int") + 1)
+            return low + (high - low) * (at - F.floor(at))
 
-    def score(contexts: np.ndarray, horizon: int):
-        tail = contexts[:, -window:]
-        q = np.quantile(tail, list(levels), axis=1).T
-        mean = np.repeat(tail.mean(axis=1, keepdims=True), horizon, axis=1)
-        return mean, np.repeat(q[:, None, :], horizon, axis=1)
+        step = F.array(*[quantile(level) for level in levels])
+        return F.array_repeat(_mean(tail), horizon), F.array_repeat(step, horizon)
 
-    return score
+    return Paths(paths)
 
 
 def mean_sum(horizon: int, column: str = "mean") -> Column:

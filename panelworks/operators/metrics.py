@@ -158,6 +158,81 @@ def extended_metrics(
     return daily.join(monthly, list(keys))
 
 
+def segments(equity: DataFrame, keys: Keys, rf: float = RISK_FREE) -> DataFrame:
+    """What has to be known of a stretch of an equity curve so that stretches can be joined without their days: bounds,
+    first and last value, peak, trough, worst fall, and count, sum and squares of the excess returns inside."""
+    excess = F.col("ret") - rf / TRADING_DAYS
+    return daily_frame(equity, None, keys).groupBy(*keys).agg(
+        F.min("date").alias("start"),
+        F.max("date").alias("end"),
+        F.min_by("equity", "date").alias("first"),
+        F.max_by("equity", "date").alias("last"),
+        F.max("equity").alias("peak"),
+        F.min("equity").alias("trough"),
+        F.min("drawdown").alias("worst"),
+        F.count("ret").alias("n"),
+        F.coalesce(F.sum(excess), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(excess * excess), F.lit(0.0)).alias("square"),
+    )
+
+
+def joined_before(parts: DataFrame, by: str, order: str, rf: float = RISK_FREE) -> DataFrame:
+    """For each segment of ``by`` all earlier ones, in ``order``, as one segment (NULLs for the first).
+
+    The return from one segment to the next counts as well; a fall can reach from the peak of any earlier segment.
+    Windows run over segments, so every prefix is valued from a few rows.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    step = ratio("first", F.lag("last").over(w)) - 1 - rf / TRADING_DAYS
+    linked = parts.withColumns({"_step": step, "_high": F.max("peak").over(before)}).withColumn(
+        "_fall", F.least("worst", ratio("trough", "_high") - 1)
+    )
+    steps = F.coalesce("_step", F.lit(0.0))
+    return linked.select(
+        by,
+        order,
+        F.first("start").over(before).alias("start"),
+        F.last("end").over(before).alias("end"),
+        F.first("first").over(before).alias("first"),
+        F.last("last").over(before).alias("last"),
+        F.max("peak").over(before).alias("peak"),
+        F.min("trough").over(before).alias("trough"),
+        F.min("_fall").over(before).alias("worst"),
+        F.sum(F.col("n") + F.col("_step").isNotNull().cast("long")).over(before).alias("n"),
+        F.sum(F.col("total") + steps).over(before).alias("total"),
+        F.sum(F.col("square") + steps * steps).over(before).alias("square"),
+    )
+
+
+def segment_metrics(parts: DataFrame, keys: Keys) -> DataFrame:
+    """Sharpe, growth, worst fall and their ratio of segments; NULL where there are fewer than two returns."""
+    n, spread = F.col("n"), F.col("square") - F.col("total") * F.col("total") / F.nullif(F.col("n"), F.lit(0))
+    deviation = F.sqrt(F.greatest(ratio(spread, F.nullif(n - 1, F.lit(0))), F.lit(0.0)))
+    days = F.greatest(F.datediff("end", "start"), F.lit(1))
+    cagr = F.pow(ratio("last", "first"), F.lit(365.25) / days) - 1
+    return parts.select(
+        *keys,
+        F.when(n >= 2, F.lit(TRADING_DAYS**0.5) * ratio(F.col("total") / n, F.nullif(deviation, F.lit(0.0)))).alias("sharpe"),
+        cagr.alias("cagr"),
+        F.col("worst").alias("max_drawdown"),
+        ratio(cagr, F.nullif(F.abs("worst"), F.lit(0.0))).alias("calmar"),
+    )
+
+
+def choose_by_prior_sharpe(equity: DataFrame, option: str) -> DataFrame:
+    """(year, option, prior_sharpe, oos_sharpe, oos_cagr, oos_max_drawdown, oos_calmar): for each year the option whose
+    curve had the best Sharpe ratio on all earlier dates, and its metrics in the year itself, counted from the year's
+    first session. ``equity`` is (option, date, equity); the smallest option wins a tie."""
+    parts = segments(equity.withColumn("year", F.year("date")), [option, "year"])
+    keys = [option, "year"]
+    prior = segment_metrics(joined_before(parts, option, "year"), keys).select(*keys, F.col("sharpe").alias("prior_sharpe"))
+    own = segment_metrics(parts, keys).withColumnsRenamed({m: f"oos_{m}" for m in ("sharpe", "cagr", "max_drawdown", "calmar")})
+    best = Window.partitionBy("year").orderBy(F.desc("prior_sharpe"), option)
+    rated = prior.where("prior_sharpe IS NOT NULL").withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
+    return rated.join(own, keys)
+
+
 def year_metrics(equity: DataFrame, bench: DataFrame, as_of_year: int | None = None, rf: float = RISK_FREE) -> DataFrame:
     """Metrics per calendar year; years from ``as_of_year`` on are partial and left out."""
     dated = equity.withColumn("year", F.year("date"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelworks.functions.scalar import ratio
-from panelworks.functions.windows import Mean, ordered, with_rolling_means
+from panelworks.functions.windows import Mean, with_rolling_means
 from panelworks.operators.panel import asof, at_prior_end
 from panelworks.operators.xsection import below_quantile, zscore
 
@@ -53,15 +53,26 @@ def naive_ratios(prices: DataFrame, dates: DataFrame, window: int, short: int =
     return at.select("symbol", "date", ratio("_short", F.when(F.col("_long") > 0, F.col("_long"))).alias("ratio"))
 
 
-def expected_moves(prices: DataFrame, dates: DataFrame, window: int = 21) -> DataFrame:
-    """What trailing means say at each date's prior end: the log return over ``window`` sessions, and the mean price over
-    the last close."""
-    stepped = prices.withColumn("_step", F.ln(ratio("close", F.lag("close").over(ordered()))))
-    means = {"_mean_step": Mean("_step", window, 2), "_mean_close": Mean("close", window, 2)}
-    known = with_rolling_means(stepped, means).select(
-        "symbol", "date", (window * F.col("_mean_step")).alias("expected_return"), ratio("_mean_close", "close").alias("price_ratio")
+def forecast_measures(readings: DataFrame, prices: DataFrame, dates: DataFrame, window: int = 63) -> DataFrame:
+    """What the rules of :func:`sequential_vetoes` judge, at each date: ``readings`` (symbol, date, ``volume``,
+    ``short_volume``, ``price`` and any others) with the volumes over trailing volume and the price over the last close,
+    both of the prior end; NULL where a side is missing or not positive."""
+    known = with_rolling_means(prices.select("symbol", "date", "close", "volume"), {"_trailing": Mean("volume", window, 1)})
+    at = at_prior_end(known, dates).select("symbol", "date", "_trailing", F.col("close").alias("_close"))
+    both = readings.join(at, ["symbol", "date"])
+
+    def over(value: str, base: str) -> Column:
+        return ratio(value, F.when(F.col(base) > 0, F.col(base)))
+
+    others = [c for c in readings.columns if c not in ("symbol", "date", "volume", "short_volume", "price")]
+    return both.select(
+        "symbol",
+        "date",
+        over("volume", "_trailing").alias("volume_ratio"),
+        over("short_volume", "_trailing").alias("short_ratio"),
+        over("price", "_close").alias("price_ratio"),
+        *others,
     )
-    return at_prior_end(known, dates).select("symbol", "date", "expected_return", "price_ratio")
 
 
 def soft_adjustment(score: Column, r: Column, veto: float, soft: float = 0.0, confidence: float = 0.0) -> Column:
