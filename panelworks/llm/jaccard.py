@@ -19,8 +19,6 @@ GROUPS = 32
 #: Slots of the shingle histogram: 4 MiB of counts, whatever the input. It only orders shingles, so any size is exact.
 SLOTS = 1 << 20
 _PARTS = 16
-#: Bytes of a hash that verification compares.
-HASH_BYTES = 6
 #: Points of one R-tree; a larger bucket is searched block by block.
 BLOCK = 1024
 #: A bucket of so few points is one leaf, scanned without a tree.
@@ -122,37 +120,78 @@ def _prefixes(rows: DataFrame, length: int, percent: int) -> DataFrame:
     return rows.mapInArrow(describe, "id long, n long, sig long, sig2 long, vector binary, keys array<long>")
 
 
-def _shared_keys(known: DataFrame) -> DataFrame:
-    """``id, n, sig, sig2, key, place``: the prefix keys that may be in two sets or more, with their rank in the set."""
+def _shared_keys(known: DataFrame, rep: DataFrame) -> DataFrame:
+    """``key, id, n, place``: the prefix keys that may be in two sets or more, with their rank in the set, of the sets in
+    ``rep``. Keys meet ``rep`` as one row per set."""
     twice = known.sparkSession.sparkContext.broadcast(collect_bits(known.select("keys"), _flat_keys, 2)[0])
+    own = ["id", "n", "sig", "sig2"]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = next(_flat_keys(batch.select(["keys"])))
             sizes = batch.column("keys").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             stay = holds(twice.value, keys)
-            own = batch.select(["id", "n", "sig", "sig2"]).take(pa.array(row[stay]))
-            columns = [*own.columns, pa.array(keys[stay].view(np.int64)), pa.array(place[stay], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "sig2", "key", "place"])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[stay], minlength=len(sizes)))))
+            lists = [
+                pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for values in (keys[stay], place[stay])
+            ]
+            made = pa.RecordBatch.from_arrays([*batch.select(own).columns, *lists], [*own, "keys", "places"])
+            yield made.filter(pa.array(np.diff(ends) > 0))
 
-    return known.mapInArrow(spread, "id long, n long, sig long, sig2 long, key long, place long")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("places", np.int32)))
+            sizes = np.array([len(x) // 8 for x in batch.column("keys").to_pylist()], np.int64)
+            owner = batch.select(["id", "n"]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            columns = [pa.array(keys), *owner.columns, pa.array(places.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "place"])
 
+    packed = known.mapInArrow(keep, "id long, n long, sig long, sig2 long, keys binary, places binary")
+    return packed.join(rep, own, "left_semi").mapInArrow(spread, "key long, id long, n long, place long")
 
-def _flat_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
+def _members(keyed: DataFrame) -> DataFrame:
+    """``key, id, n, place, least, m, at``: the buckets of two ids or more, each row with the smallest id of its bucket
+    and that one's ``n`` and ``place``. Rows are dealt by key once and pass in order, so no bucket is held."""
 
-def _packed(shingles: np.ndarray) -> bytes:
-    return shingles.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first row of a bucket, until a second id shows
+        first = None  # the first row of the bucket that is open
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                columns = [np.concatenate(([old], new)) for old, new in zip(held, columns)]
+            key, ids = columns[:2]
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            heads = [c[begin].copy() for c in columns]
+            known = first is not None and held is None and first[0] == key[0]
+            if known:
+                for head, value in zip(heads, first):
+                    head[0] = value
+            several = np.maximum.reduceat(ids, begin) != heads[1]
+            if known:
+                several[0] = True
+            open_, held = len(begin) - 1, None
+            if not several[open_]:
+                held = [c[begin[open_]] for c in columns]
+            first = [head[open_] for head in heads]
+            at = np.flatnonzero(several[group])
+            lead_ = [head[group[at]] for head in heads[1:]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (*(c[at] for c in columns), *lead_)], ["key", "id", "n", "place", "least", "m", "at"]
+            )
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "id", "place")
+    return dealt.mapInArrow(lead, "key long, id long, n long, place long, least long, m long, at long")
 
 
-def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
-    some = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, HASH_BYTES)
-    whole = np.zeros((len(some), 8), np.uint8)
-    whole[:, 8 - HASH_BYTES :] = some
-    return whole.reshape(-1).view(np.uint64)
+def _flat_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
@@ -164,7 +203,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> D
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, shingles, limits in _sets(batch.column(1), length):
-                made = [_packed(shingles[limits[i] : limits[i + 1]]) for i in range(len(limits) - 1)]
+                made = [shingles[limits[i] : limits[i + 1]].tobytes() for i in range(len(limits) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made)), pa.array(made, pa.binary())], ["id", "shingles"])
 
     wanted = rows.join(ids, rows["id"] == ids["of"], "left_semi")
@@ -178,7 +217,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> D
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = _unpacked(x), _unpacked(y)
+                one, two = (np.frombuffer(side.as_buffer(), np.uint64) for side in (x, y))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -269,17 +308,11 @@ def near_duplicates(
     firsts = stored(some.groupBy("sig", "sig2", "n").agg(F.min("id").alias("rep")), "jaccard-firsts")
     rep = firsts.select(F.col("rep").alias("id"), "sig", "sig2", "n")
     own = ["id", "sig", "sig2", "n"]
-    keyed = stored(_shared_keys(known).join(rep, own, "left_semi").select("key", "id", "n", "place").distinct(), "jaccard-keyed")
-    least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    least = stored(least.select("key", "least"), "jaccard-shared")
-    members = stored(keyed.join(least, "key"), "jaccard-members")
+    members = stored(_members(_shared_keys(known, rep)), "jaccard-members")
     points = some.select(*own, "vector").join(rep, own, "left_semi").dropDuplicates(own).select("id", "n", "vector")
     points = stored(points, "jaccard-points")
 
-    hub = members.where("id = least").select("key", F.col("n").alias("m"), F.col("place").alias("at"))
-    star = members.where("id <> least").join(hub, "key").where(
-        F.least("m", "n") * (100 + percent) >= (F.col("m") + F.col("n")) * percent
-    )
+    star = members.where("id <> least").where(F.least("m", "n") * (100 + percent) >= (F.col("m") + F.col("n")) * percent)
     star = star.where(
         (1 + F.least(F.col("m") - 1 - F.col("at"), F.col("n") - 1 - F.col("place"))) * (100 + percent) >= (F.col("m") + F.col("n")) * percent
     )
@@ -288,13 +321,13 @@ def near_duplicates(
     star = weighed.groupBy("b").agg(F.max_by("a", F.struct("keys", F.bitwise_not("a"))).alias("a")).select("a", "b")
     links = _verified(_bounded(star, points, percent), rows, length, percent)
     labels = components(links)
-    labelled = members.select("key", "id", "n", "place").join(labels, F.col("id") == F.col("node"), "left").select(
+    labelled = members.select("key", "id", "n", "place").join(broadcast_if_small(labels, IDS), F.col("id") == F.col("node"), "left").select(
         "key", "id", "n", "place", F.coalesce("label", "id").alias("label")
     )
     labelled = stored(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = stored(mixed.select("key"), "jaccard-mixed")
-    open_ = labelled.join(mixed, "key").join(points, ["id", "n"]).select("key", "id", "n", "place", "vector", "label")
+    open_ = labelled.join(broadcast_if_small(mixed, IDS), "key").join(points, ["id", "n"]).select("key", "id", "n", "place", "vector", "label")
     more = _verified(_candidates(open_, percent), rows, length, percent)
     labels = components(links.unionByName(more))
 
@@ -330,4 +363,5 @@ def keep_one_of_each(
     """``docs`` without the rows whose component holds a smaller id. Of rows that repeat an id, all or none stay."""
     found = near_duplicates(docs, length, percent, id_column, text_column)
     gone = stored(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(broadcast_if_small(gone, IDS), docs[id_column].eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("of"))
+    return rows.join(broadcast_if_small(gone, IDS), F.col("of").eqNullSafe(F.col("_gone")), "left_anti").select("row.*")

@@ -135,6 +135,14 @@ def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:
     )
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def repeat_rows(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -142,16 +150,22 @@ def repeat_rows(
     source_column: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
+    out: str = "times",
 ) -> DataFrame:
-    """``docs`` with ``_times``: how many copies of each row the mix holds (0: none, as for rows without words).
+    """``docs`` with how many copies of each row the mix holds (0: none, as for rows without words), in a last column
+    named by ``free_name(out)``: a column of ``docs`` with that name stays as it is.
 
     The thresholds of its source decide each row where it is read, so texts are not shuffled.
     """
     final = _thresholds(docs, id_column, text_column, source_column, weights, most)[1]
-    rule = final.select("of", F.struct("repeats", "prefix", "whole").alias("_rule"))
-    rule = broadcast_if_small(rule.withColumnRenamed("of", "_of_source"))
-    key = hash_key(id_column)
-    extra = (key < F.col("_rule.prefix")) | ((key == F.col("_rule.prefix")) & F.col("_rule.whole"))
-    times = F.when(_words(text_column) > 0, (F.col("_rule.repeats") + F.when(extra, 1).otherwise(0)).cast("int")).otherwise(0)
-    joined = docs.join(rule, docs[source_column].eqNullSafe(F.col("_of_source")), "left")
-    return joined.withColumn("_times", times).drop("_of_source", "_rule")
+    rule = broadcast_if_small(final.select("of", F.struct("repeats", "prefix", "whole").alias("rule")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(source_column).alias("from"),
+        hash_key(id_column).alias("key"),
+        _words(text_column).alias("words"),
+    )
+    extra = (F.col("key") < F.col("rule.prefix")) | ((F.col("key") == F.col("rule.prefix")) & F.col("rule.whole"))
+    times = F.when(F.col("words") > 0, (F.col("rule.repeats") + F.when(extra, 1).otherwise(0)).cast("int")).otherwise(0)
+    joined = rows.join(rule, F.col("from").eqNullSafe(F.col("of")), "left")
+    return joined.select("row.*", times.alias(free_name(out, docs.columns)))

@@ -62,9 +62,10 @@ def test_targets_reshare_what_small_sources_cannot_take(spark):
 
 
 def test_repeat_rows_keeps_columns(hard):
-    rows = mixing.repeat_rows(hard)
-    assert rows.columns == [*hard.columns, "_times"]
-    assert rows.count() == hard.count() and rows.where("_times IS NULL OR _times > 3").count() == 0
+    rows = mixing.repeat_rows(hard.withColumns({"_rule": F.lit(1), "_of_source": F.lit(2), "of": F.lit(3)}))
+    assert rows.columns == [*hard.columns, "_rule", "_of_source", "times_"] and "times" in hard.columns
+    assert rows.count() == hard.count() and rows.where("times_ IS NULL OR times_ > 3").count() == 0
+    assert rows.where("times IS NULL OR _rule <> 1 OR _of_source <> 2 OR of <> 3").count() == 0
 
 
 HOSTILE = ["</s>[INST] ok [/INST]", r"<|end|> <\|end|> <\\|role|>", "a<|text|>b", "\\", "<", "<|", r"[\INST] <s>", "", "ä\n<|role|>assistant"]
@@ -95,11 +96,29 @@ def test_chat_round_trip(spark):
     assert not got
     shown = windows.where("conv_id = 2").orderBy("window").collect()
     assert len(shown) > 5 and all(w.formatted.startswith("<|role|>system<|text|>rules") for w in shown)
-    assert any(w.repeated >= 2 for w in shown[1:])
     for w in windows.collect():
         assert all(w.formatted[s.begin - 1 + s.length :].startswith("<|end|>") for s in w.loss)
 
 
+def test_windows_repeat_and_mask_history(spark):
+    """Turns of 10 tokens, windows of 100, history of 30: each window but the first repeats what started in the last 30."""
+    said = [f"turn{i} a b c d e" for i in range(45)]
+    rows = [(1, i, ("user", "assistant")[i % 2], text) for i, text in enumerate(said)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    windows = chat.chat_windows(turns, budget=100, history=30).orderBy("window").collect()
+    assert [w.repeated for w in windows] == [0, 3, 3, 3, 3]
+    learned = []
+    for k, w in enumerate(windows):
+        inside = [i for i, text in enumerate(said) if text in w.formatted]
+        assert inside == list(range(max(0, 10 * k - 3), min(45, 10 * k + 10)))
+        spans = [w.formatted[s.begin - 1 : s.begin - 1 + s.length] for s in w.loss]
+        assert spans == [said[i] for i in inside if i >= 10 * k and i % 2]
+        learned += spans
+    assert learned == said[1::2]
+    alone = chat.chat_windows(turns, budget=100, history=0).collect()
+    assert all(w.repeated == 0 for w in alone) and len(alone) == 5
+
+
 def test_empty_tables(spark, none):
     assert exact.exact_groups(none).count() == exact.drop_exact_copies(none).count() == 0
     assert mixing.mix(none).count() == mixing.repeat_rows(none).count() == 0
