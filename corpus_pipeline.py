@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelworks.llm import decontaminate, exact, jaccard, language, mixing
 from panelworks.llm.staging import documents, stored
@@ -29,8 +29,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``times``: how often each is repeated. Documents without words stay out."""
-    return mixing.repeat_rows(docs).where("_times > 0").withColumnRenamed("_times", "times")
+    """Documents that the mix takes, and how often each is repeated in a last column ``times`` (with an underscore more
+    if there is one of that name). Documents without words stay out."""
+    times = mixing.free_name("times", docs.columns)
+    return mixing.repeat_rows(docs, out=times).where(F.col(f"`{times}`") > 0)
 
 
 STAGES = [
