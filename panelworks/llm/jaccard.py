@@ -19,6 +19,8 @@ GROUPS = 32
 #: Slots of the shingle histogram: 4 MiB of counts, whatever the input. It only orders shingles, so any size is exact.
 SLOTS = 1 << 20
 _PARTS = 16
+#: Partners that one group of verification takes; an id with more has several groups.
+PARTNERS = 1_000
 #: Points of one R-tree; a larger bucket is searched block by block.
 BLOCK = 1024
 #: A bucket of so few points is one leaf, scanned without a tree.
@@ -111,7 +113,7 @@ def _prefixes(rows: DataFrame, length: int, percent: int) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
-                        pa.array([v.tobytes() for v in vectors.reshape(-1, GROUPS)], pa.binary()),
+                        pa.array(_narrow(vectors.reshape(-1, GROUPS)), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)),
                     ],
                     ["id", "n", "sig", "sig2", "vector", "keys"],
@@ -195,10 +197,18 @@ def _flat_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have the similarity, counted on the shingles themselves."""
+    """The pairs (a, b) of ids whose sets have the similarity, counted on the shingles themselves.
+
+    The sets of all partners of an ``a`` go to its group, its own set goes there once; a group of many partners is dealt
+    over several tasks. Sets are made in the scan and meet their groups in one shuffle.
+    """
     pairs = stored(pairs, "jaccard-candidates")
-    ends = [stored(pairs.select(F.col(end).alias("of")).distinct(), f"jaccard-{end}") for end in ("a", "b")]
-    ids = broadcast_if_small(ends[0].union(ends[1]).distinct(), IDS)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    asks = pairs.join(parts, "a").select(F.col("b").alias("of"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("side"))
+    asks = stored(asks, "jaccard-asks")
+    holds_ = asks.select(F.col("a").alias("of"), "a", "part", F.lit(0).alias("side")).distinct()
+    roles = stored(asks.unionByName(holds_), "jaccard-roles")
+    ids = broadcast_if_small(roles.select("of").distinct(), IDS)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,28 +216,43 @@ def _verified(pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> D
                 made = [shingles[limits[i] : limits[i + 1]].tobytes() for i in range(len(limits) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made)), pa.array(made, pa.binary())], ["id", "shingles"])
 
-    wanted = rows.join(ids, rows["id"] == ids["of"], "left_semi")
-    sets = stored(wanted.mapInArrow(shingled, "id long, shingles binary"), "jaccard-shingles")
-    left, right = (
-        sets.join(broadcast_if_small(end, IDS), sets["id"] == end["of"], "left_semi").select(F.col("id").alias(key), F.col("shingles").alias(side))
-        for end, key, side in ((ends[0], "a", "left"), (ends[1], "b", "right"))
-    )
+    sets = rows.join(ids, rows["id"] == ids["of"], "left_semi").mapInArrow(shingled, "id long, shingles binary")
+    dealt = sets.join(broadcast_if_small(roles, IDS), F.col("id") == F.col("of")).select("a", "part", "side", "id", "shingles")
+    dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = (np.frombuffer(side.as_buffer(), np.uint64) for side in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for a, part, side, b, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                some = np.frombuffer(blob.as_buffer(), np.uint64)
+                if (a, part) != group:
+                    group, own = (a, part), []
+                if not side:
+                    own.append(some)
+                    continue
+                for one in own:
+                    both = len(np.intersect1d(one, some, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(some) - both):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return stored(dealt.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
+
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return stored(joined.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
+def _narrow(vectors: np.ndarray) -> list[bytes]:
+    """Each count vector in one, two or four bytes a coordinate, as its largest one needs."""
+    most = vectors.max(axis=1, initial=0)
+    return [v.astype(np.uint8 if m < 1 << 8 else np.uint16 if m < 1 << 16 else np.uint32).tobytes() for v, m in zip(vectors, most)]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS).astype(np.int64)
+    blobs = column.to_pylist()
+    out, width = np.empty((len(blobs), GROUPS), np.int64), np.array([len(blob) // GROUPS for blob in blobs])
+    for size in (1, 2, 4):
+        mine = np.flatnonzero(width == size)
+        out[mine] = np.frombuffer(b"".join(blobs[i] for i in mine), f"u{size}").reshape(-1, GROUPS)
+    return out
 
 
 def _fits(m, n, i, j, percent: int):
@@ -236,14 +261,14 @@ def _fits(m, n, i, j, percent: int):
     return (np.minimum(m, n) >= least) & (1 + np.minimum(m - 1 - i, n - 1 - j) >= least)
 
 
-def _candidates(members: DataFrame, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs of different labels in the same bucket that the tree's bound allows.
 
-    ``members``: ``key, id, n, place, vector, label``. A bucket is cut into blocks by size; blocks whose sizes fit are
+    ``members``: ``key, id, n, place, label``; ``points``: ``id, n, vector``. A bucket is cut into blocks by size; blocks whose sizes fit are
     paired in separate groups: one block's points are searched in a tree of the other's.
     """
     numbered = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "id")) - 1) / BLOCK))
-    numbered = stored(numbered, "jaccard-blocks")
+    numbered = stored(numbered.join(points, ["id", "n"]), "jaccard-blocks")
     blocks = numbered.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = blocks.select("key", F.col("block").alias("into"), F.col("low").alias("into_low"))
     fits = (F.col("block") < F.col("into")) & (F.col("high") * 100 >= F.col("into_low") * percent)
@@ -327,8 +352,8 @@ def near_duplicates(
     labelled = stored(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = stored(mixed.select("key"), "jaccard-mixed")
-    open_ = labelled.join(broadcast_if_small(mixed, IDS), "key").join(points, ["id", "n"]).select("key", "id", "n", "place", "vector", "label")
-    more = _verified(_candidates(open_, percent), rows, length, percent)
+    open_ = labelled.join(broadcast_if_small(mixed, IDS), "key").select("key", "id", "n", "place", "label")
+    more = _verified(_candidates(open_, points, percent), rows, length, percent)
     labels = components(links.unionByName(more))
 
     named = known.select("id", "n", "sig", "sig2").join(firsts, ["sig", "sig2", "n"], "left").select(

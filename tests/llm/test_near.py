@@ -63,10 +63,13 @@ def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = np.random.default_rng(4)
     vectors = rng.integers(0, 6, (30, jaccard.GROUPS)).astype(np.int32)
-    rows = [(1, i, int(v.sum()), 0, bytearray(v.tobytes()), i % 25) for i, v in enumerate(vectors)]
-    members = spark.createDataFrame(rows, "key long, id long, n long, place long, vector binary, label long")
-    got = {tuple(r) for r in jaccard._candidates(members, 60).collect()}
-    assert got == brute_pairs(vectors, [r[2] for r in rows], [r[5] for r in rows], 60)
+    vectors[::5] *= 300
+    rows = [(1, i, int(v.sum()), 0, i % 25) for i, v in enumerate(vectors)]
+    members = spark.createDataFrame(rows, "key long, id long, n long, place long, label long")
+    blobs = [(r[1], r[2], bytearray(v)) for r, v in zip(rows, jaccard._narrow(vectors))]
+    points = spark.createDataFrame(blobs, "id long, n long, vector binary")
+    got = {tuple(r) for r in jaccard._candidates(members, points, 60).collect()}
+    assert got == brute_pairs(vectors, [r[2] for r in rows], [r[4] for r in rows], 60)
 
 
 def brute_pairs(vectors, sizes, labels, percent):
