@@ -79,15 +79,16 @@ cte(
     FULL JOIN return_contexts x ON x.symbol = coalesce(v.symbol, p.symbol) AND x.date = coalesce(v.date, p.date)""",
     ("volume_contexts", "price_contexts", "return_contexts"),
 )
-#: What the vetoes read from the store.
-READINGS = {
-    "volume": Reading(CTX, 21, "volume", fc.mean_sum(21) / 21),
-    "short_volume": Reading(CTX, 5, "volume", fc.mean_sum(5) / 5),
-    "price": Reading(CTX, 21, "price", fc.mean_sum(21) / 21),
-    "return_21": Reading(CTX, 21, "logret", fc.mean_sum(21)),
-    "return_60": Reading(CTX, 60, "logret", fc.mean_sum(60)),
-    "return_5": Reading(CTX, 5, "logret", fc.mean_sum(5)),
-}
+def wanted_readings() -> dict[str, Reading]:
+    """What the vetoes read from the store."""
+    return {
+        "volume": Reading(CTX, 21, "volume", fc.mean_sum(21) / 21),
+        "short_volume": Reading(CTX, 5, "volume", fc.mean_sum(5) / 5),
+        "price": Reading(CTX, 21, "price", fc.mean_sum(21) / 21),
+        "return_21": Reading(CTX, 21, "logret", fc.mean_sum(21)),
+        "return_60": Reading(CTX, 60, "logret", fc.mean_sum(60)),
+        "return_5": Reading(CTX, 5, "logret", fc.mean_sum(5)),
+    }
 
 
 def filled_store(spark, p) -> str:
@@ -229,6 +230,22 @@ def training_windows(spark, sf_dir):
     return _windows(spark, sf_dir).select("symbol", "date", rnd(total, "window_sum", 6), rnd("label", "label", 6))
 
 
+SAMPLED, SEED = 2_000, 7
+
+
+@query(
+    "fc_07_window_sample",
+    check_sql(
+        f"""SELECT symbol, date, round(label, 6) AS label FROM windows
+        ORDER BY ('0x' || substr(md5('{SEED}:' || symbol || ':' || CAST(date AS VARCHAR)), 1, 15))::BIGINT, symbol, date LIMIT {SAMPLED}""",
+        "windows",
+    ),
+)
+def window_sample(spark, sf_dir):
+    drawn = fc.sample_windows(materialize(_windows(spark, sf_dir), "windows"), SAMPLED, SEED)
+    return drawn.select("symbol", "date", rnd("label", "label", 6))
+
+
 @query(
     "fc_08_forecast_losses",
     check_sql(

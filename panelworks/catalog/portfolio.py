@@ -8,9 +8,11 @@ from panelworks.catalog import forecasts, sizing, tables  # noqa: F401  (shared
 from panelworks.catalog.base import r4
 from panelworks.catalog.registry import check_sql, cte, query
 from panelworks.catalog.sources import staged
+from panelworks.operators import metrics as mt
 from panelworks.operators import portfolio as pf
 from panelworks.operators import sizing as sz
 from panelworks.operators.panel import trade_prices
+from panelworks.operators.stage import materialize
 from panelworks.sinks import tables as sink
 from panelworks.sources import market
 
@@ -287,15 +289,53 @@ def sized_screen(spark, sf_dir):
     return r4(out.drop("date"), "weight", "composite_score", digits=6)
 
 
+def published(spark, sf_dir):
+    """A run's equity, trades, selections and summary as JSON, published together; returns where."""
+    p = market.stored_panel(spark, sf_dir)
+    px = materialize(trade_prices(p.prices), "px")
+    targets = materialize(base_targets(spark, sf_dir, p), "targets")
+    v = pf.value(targets, px, COST, CAPITAL)
+    equity = materialize(pf.equity_curve(v, px, p.sessions, CAPITAL), "equity")
+    trades = materialize(pf.trades(v, px, p.sessions, COST), "trades")
+    summary = mt.summarize(equity, trades).select("run_id", "num_closed_trades", F.round("max_drawdown", 6).alias("max_drawdown"))
+    path = staged(spark, "published")
+    sink.publish_run(path, equity=equity, trades=trades, selections=pf.selection_log(targets), metrics=sink.metrics_json(summary))
+    return path
+
+
+cte(
+    "wt_summary",
+    """SELECT e.run_id, round(min(e.fall), 6) AS max_drawdown, any_value(t.n) AS num_closed_trades FROM (SELECT run_id, equity / max(equity) OVER
+    (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM wt_equity) e
+    JOIN (SELECT run_id, count(*) AS n FROM wt_trades WHERE action = 'SELL' GROUP BY 1) t USING (run_id) GROUP BY 1""",
+    ("wt_equity", "wt_trades"),
+)
+
+
 @query(
     "snk_01_run_outputs",
-    check_sql("SELECT run_id, count(*) AS sessions, round(ln(max(equity)), 6) AS log_peak FROM wt_equity GROUP BY run_id", "wt_equity"),
+    check_sql(
+        """SELECT e.run_id, e.sessions, e.log_peak, t.trades, s.decisions, s.names, m.max_drawdown, m.num_closed_trades FROM (SELECT run_id, count(*) AS sessions,
+        round(ln(max(equity)), 6) AS log_peak FROM wt_equity GROUP BY 1) e JOIN (SELECT run_id, count(*) AS trades FROM wt_trades GROUP BY 1) t USING (run_id)
+        JOIN (SELECT run_id, count(DISTINCT date) AS decisions, count(symbol) AS names FROM targets GROUP BY 1) s USING (run_id)
+        JOIN wt_summary m USING (run_id)""",
+        "wt_equity",
+        "wt_trades",
+        "targets",
+        "wt_summary",
+    ),
 )
 def run_outputs(spark, sf_dir):
-    path = staged(spark, "outputs")
-    sink.write_run_outputs(path, equity=weighted_equity(spark, sf_dir)[1])
-    back = spark.read.parquet(f"{path}/equity")
-    return back.groupBy("run_id").agg(F.count("*").alias("sessions"), F.round(F.ln(F.max("equity")), 6).alias("log_peak"))
+    path = published(spark, sf_dir)
+    equity, trades, selections, metrics = (sink.read_run(spark, path, name) for name in ("equity", "trades", "selections", "metrics"))
+    curve = equity.groupBy("run_id").agg(F.count("*").alias("sessions"), F.round(F.ln(F.max("equity")), 6).alias("log_peak"))
+    decided = selections.groupBy("run_id").agg(F.count("*").alias("decisions"), F.sum("num_symbols").alias("names"))
+    read = F.from_json("metrics", "num_closed_trades long, max_drawdown double").alias("read")
+    return (
+        curve.join(trades.groupBy("run_id").agg(F.count("*").alias("trades")), "run_id")
+        .join(decided, "run_id")
+        .join(metrics.select("run_id", read).select("run_id", "read.max_drawdown", "read.num_closed_trades"), "run_id")
+    )
 
 
 LOG_SCHEMA = "mode string, priority int, action string, symbol string, target_weight double"

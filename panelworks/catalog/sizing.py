@@ -108,7 +108,7 @@ def soft_veto(spark, sf_dir):
 
 def judged_scores(spark, sf_dir, p, rules):
     """Scores with the numbers of the forecast store that rules judge, and the first rule that drops each."""
-    readings = forecasts_source.readings(spark, forecasts.filled_store(spark, p), forecasts.READINGS)
+    readings = forecasts_source.readings(spark, forecasts.filled_store(spark, p), forecasts.wanted_readings())
     measures = vt.forecast_measures(readings, p.prices, tables.prior_ends(p))
     return vt.sequential_vetoes(tables.scores(spark, sf_dir, p).join(measures, ["symbol", "date"], "left"), rules)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.functions.windows import ordered
 from panelworks.operators.panel import at_prior_end
@@ -182,10 +182,39 @@ def training_windows(
     return cut.drop("_steps")
 
 
-def sample_windows(windows: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Seeded subsample that depends on the key only, not on partitioning."""
-    cut = int(fraction * 1_000_000)
-    return windows.filter(F.pmod(F.xxhash64("symbol", "date", F.lit(seed)), F.lit(1_000_000)) < cut)
+def sample_hash(seed: int, keys: Sequence[str] = ("symbol", "date")) -> Column:
+    """60 bits of the MD5 of the seed and the row's keys as text, which SQL can follow."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def sample_windows(windows: DataFrame, n: int, seed: int, keys: Sequence[str] = ("symbol", "date"), edge: int = 10_000) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer): those whose keys have the smallest hashes under ``seed``.
+
+    Rows are counted by the upper bits of their hashes; the bucket in which the n-th row falls is split further until it
+    has at most ``edge`` rows, and only these are ordered. Rows below it are taken where they stand. So the sample
+    depends on seed and keys and not on partitioning, and no more than one histogram at a time reaches the driver.
+    """
+    hashed = windows.withColumn("_hash", sample_hash(seed, keys))
+    bits, shift, prefix, left = 12, 60, 0, n
+    while shift:
+        shift -= bits
+        inside = hashed.where(F.shiftright("_hash", shift + bits) == prefix)
+        counts = inside.groupBy(F.shiftright("_hash", shift).alias("bucket")).count().orderBy("bucket").collect()
+        if shift == 60 - bits and sum(row["count"] for row in counts) <= n:
+            return windows
+        for row in counts:
+            if left < row["count"]:
+                break
+            left -= row["count"]
+        prefix, size = row["bucket"], row["count"]
+        if not left or size <= edge:
+            break
+    bucket = F.shiftright("_hash", shift)
+    below = hashed.where(bucket < prefix).drop("_hash")
+    order = Window.partitionBy(F.lit(0)).orderBy("_hash", *keys)
+    rest = hashed.where(bucket == prefix).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= left)
+    return below.unionByName(rest.drop("_hash", "_place"))
 
 
 def pinball(pairs: DataFrame, quantiles: Sequence[float], prefix: str = "q", target: str = "y") -> DataFrame:

@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-def write_run_outputs(path: str, **frames: DataFrame) -> None:
-    """One table per frame, partitioned by ``run_id`` so that a re-run replaces only its own rows."""
-    for name, frame in frames.items():
-        (
-            frame.repartition("run_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .parquet(f"{path}/{name}")
-        )
+MANIFEST = "version long, output string, path string, rows long"
+
+
+def publish_run(path: str, **outputs: DataFrame) -> int:
+    """Write several outputs of a run so that readers see all of them or none; returns the new version.
+
+    Every output goes to a folder of its own under a fresh name, and its rows are counted while they are written. The
+    manifest, one small file of all outputs' places, is written last: a version exists once its manifest does. A run
+    that dies before leaves unread folders and the version before in force. One run publishes at a time.
+    """
+    spark = next(iter(outputs.values())).sparkSession
+    rows = []
+    token = uuid.uuid4().hex
+    for name, frame in outputs.items():
+        counted = Observation(f"{name}-{token}")
+        place = f"{path}/data/{name}-{token}"
+        frame.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(place)
+        rows.append((name, place, counted.get["rows"]))
+    version = (latest_version(spark, path) or 0) + 1
+    listed = spark.createDataFrame([(version, *row) for row in rows], MANIFEST)
+    listed.coalesce(1).write.parquet(f"{path}/manifests/version={version}")
+    return version
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame:
+    """All manifests; none before the first run."""
+    return read_log(spark, f"{path}/manifests/*", MANIFEST)
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    return _manifests(spark, path).agg(F.max("version")).first()[0]
+
+
+def read_run(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """An output of a published run, the latest by default. A table whose rows are not as many as the manifest says, or
+    that no run published, is an error."""
+    version = latest_version(spark, path) if version is None else version
+    listed = _manifests(spark, path).where((F.col("version") == version) & (F.col("output") == name)).collect()
+    if not listed:
+        raise ValueError(f"no published output {name} in version {version}")
+    found = spark.read.parquet(listed[0]["path"])
+    if found.count() != listed[0]["rows"]:
+        raise ValueError(f"output {name} of version {version} is not whole")
+    return found
 
 
 def metrics_json(metrics: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
