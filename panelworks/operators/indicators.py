@@ -46,9 +46,8 @@ def bollinger(n: int, width: float) -> Column:
 
 
 def avg_dollar_volume(prices: DataFrame, n: int = 20, out: str = "avg_dollar_volume") -> DataFrame:
-    """``prices`` with the mean of close times volume."""
-    traded = prices.withColumn("_traded", F.col("close") * F.col("volume"))
-    return with_rolling_means(traded, {out: Mean("_traded", n)}).drop("_traded")
+    """``prices`` with the mean of close times volume. The frame is short and added up by itself."""
+    return prices.withColumn(out, rolling(F.col("close") * F.col("volume"), n))
 
 
 def cci(frame: DataFrame, n: int, out: str = "cci") -> DataFrame:
