@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelworks.llm import components, decontaminate, jaccard, repeats, suffixes
@@ -136,6 +137,9 @@ def test_passages_match_brute_force(spark, hard, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == expected and len(expected) > 5
     clean = decontaminate.drop_contaminated(hard, bench)
     assert clean.columns == hard.columns
+    monkeypatch.setattr(decontaminate, "ITEMS", 1000)
+    one_pass = decontaminate.drop_contaminated(hard, bench)
+    assert Counter(map(tuple, one_pass.collect())) == Counter(map(tuple, clean.collect()))
     assert clean.count() == hard.count() - sum(
         1 for r in hard.collect() if len(r.text or "") < 100_000 and brute_passages([r], benchmark_rows())
     )
@@ -152,6 +156,46 @@ def test_passages_before_a_repeated_word(spark):
     assert {k: sorted(v) for k, v in got.items()} == expected and sum(map(len, expected.values())) == len(docs)
 
 
+def test_blocks_find_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 63, 300, np.uint64)
+    probes = []
+    for _ in range(2000):
+        turned = rng.choice(64, rng.integers(0, 30), replace=False)
+        probes.append(prints[rng.integers(300)] ^ np.bitwise_or.reduce(np.uint64(1) << turned.astype(np.uint64), initial=np.uint64(0)))
+    probes = np.array(probes)
+    places, items = decontaminate._Fingerprints(np.arange(300) * 7, prints).within(probes)
+    expected = {(i, 7 * j) for i, a in enumerate(probes) for j, b in enumerate(prints) if int(a ^ b).bit_count() <= decontaminate.RADIUS}
+    assert list(zip(places.tolist(), items.tolist())) == sorted(expected) and len(expected) > 900
+
+
+def test_fingerprints_are_majorities_of_bits():
+    rng = np.random.default_rng(9)
+    shingles = rng.integers(0, 1 << 63, 400, np.uint64)
+    starts = np.sort(rng.choice(380, 120, replace=False))
+    ends = np.minimum(starts + 15, 390)
+    for got, low, high in zip(decontaminate.fingerprints(shingles, starts, ends), starts, ends):
+        bits = np.unpackbits(decontaminate.scramble(shingles[low:high]).view(np.uint8).reshape(-1, 8), axis=1)
+        assert np.packbits(2 * bits.sum(axis=0) > high - low).view(np.uint64)[0] == got
+
+
+def test_fingerprints_alone_find_nine_of_ten_passages(monkeypatch):
+    """Passages with every 55th word replaced, without the candidates that shared shingles give."""
+    items = [(i, prose(500 + i, 60 + 5 * (i % 30))) for i in range(150)]
+    texts = []
+    for i, text in items:
+        w = text.split()
+        for at in range(30, len(w), 55):
+            w[at] = "other"
+        texts.append(" ".join([prose(900 + i, 150), *w, prose(1200 + i, 90)]))
+    passages = decontaminate.Passages.of([i for i, _ in items], [t for _, t in items])
+    column = pa.array(texts)
+    every = {(row, item) for row, item, *_ in passages.found_in(column, 0.8)}
+    monkeypatch.setattr(decontaminate.Passages, "_by_count", lambda self, hits, *_: hits[:0])
+    alone = {(row, item) for row, item, *_ in passages.found_in(column, 0.8)}
+    assert alone <= every and len(every) > 100 and len(alone) >= 0.9 * len(every)
+
+
 def test_removed_words_match_brute_force(hard):
     rows = sorted(hard.collect(), key=key)
     first = {}
