@@ -1,4 +1,4 @@
-"""A small HTML tree and its skeleton, whose nodes have the same path on all pages of a template."""
+"""A small HTML tree and its skeleton of blocks, whose nodes get paths by alignment with other pages."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ BLOCK = frozenset(
 )
 UNWANTED = frozenset(
     "head title script style noscript template iframe nav header footer aside form button select textarea input label "
-    "option svg math object embed canvas audio video dialog menu xmp noembed noframes".split()
+    "option svg object embed canvas audio video dialog menu xmp noembed noframes".split()
 )
 UNWANTED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -118,6 +118,9 @@ def parse(html: str) -> Node:
         if tag in CLOSED_BY:
             _close(stack, CLOSED_BY[tag], _KEEPS_OPEN[tag])
         node = _node(tag, m[3])
+        if tag == "header" and any(above.tag == "article" for above in stack):
+            # An article's own header holds its headline; it goes only where all pages have the same.
+            node.unwanted = node.label.endswith("!")
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -178,9 +181,9 @@ def blocks(node: Node, skip=lambda child: False) -> list[str]:
 
 @dataclass(slots=True)
 class Shape:
-    """A node of a skeleton: all same-labelled children of a parent in one, with their tree nodes if it is a page's.
+    """A node of a skeleton, with its tree nodes if it is a page's; same-labelled blocks of text of a parent are one.
 
-    ``path`` is a hash of the labels from the root on, ``text`` and ``own_text`` are digests of all text and of what
+    ``path`` is set by alignment, equal for what is the same node of a template; ``text`` and ``own_text`` are digests of all text and of what
     stands in no child, ``size`` and ``own`` their lengths.
     """
 
@@ -200,37 +203,49 @@ class Shape:
         return self.label.split(".")[0].split("#")[0].rstrip("!")
 
 
-def _digest(data: bytes) -> int:
+def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
 def path_of(parent: int, label: str) -> int:
-    return _digest(parent.to_bytes(8, "big", signed=True) + label.encode("utf-8", "surrogatepass"))
+    return digest(parent.to_bytes(8, "big", signed=True) + label.encode("utf-8", "surrogatepass"))
 
 
 def skeleton(root: Node) -> Shape:
-    """Block and marked elements of a page, repeated siblings merged, each with digests and lengths of its text."""
+    """Block and marked elements of a page in order, each with digests and lengths of its text, without paths.
 
-    def shape(label: str, parent: int, nodes: list[Node]) -> Shape:
-        by_label: dict[str, list[Node]] = {}
-        texts = [text for node in nodes for text in _block_children(node, by_label)]
-        made = Shape(label, path_of(parent, label), nodes=nodes)
+    Blocks of text and articles of one label below one parent are one node: their number is content, not template.
+    """
+
+    def shape(label: str, nodes: list[Node]) -> Shape:
+        found: list[Node] = []
+        texts = [text for node in nodes for text in _block_children(node, found)]
+        parts: list[tuple[str, list[Node]]] = []
+        merged: dict[str, list[Node]] = {}
+        for node in found:
+            if node.label in merged:
+                merged[node.label].append(node)
+                continue
+            parts.append((node.label, [node]))
+            if node.tag in TEXTUAL or node.tag in ("article", "main"):
+                merged[node.label] = parts[-1][1]
+        made = Shape(label, 0, nodes=nodes)
         made.own = made.size = sum(map(len, texts))
         own = "\n".join(texts).encode("utf-8", "surrogatepass")
-        made.own_text = _digest(own)
+        made.own_text = digest(own)
         made.unwanted = all(node.unwanted for node in nodes)
         made.marked = all(node.marked for node in nodes)
-        made.children = [shape(name, made.path, found) for name, found in by_label.items()]
+        made.children = [shape(name, of) for name, of in parts]
         made.size += sum(child.size for child in made.children)
         below = b"".join(child.text.to_bytes(8, "big", signed=True) for child in made.children)
-        made.text = _digest(own + b"\0" + below)
+        made.text = digest(own + b"\0" + below)
         return made
 
-    return shape("", 0, [root])
+    return shape("", [root])
 
 
-def _block_children(node: Node, by_label: dict[str, list[Node]]):
-    """Texts that stand in ``node`` or in inline elements of it; block and marked elements met are added to ``by_label``."""
+def _block_children(node: Node, found: list[Node]):
+    """Texts that stand in ``node`` or in inline elements of it; block and marked elements met are added to ``found``."""
     work = list(reversed(node.children))
     while work:
         item = work.pop()
@@ -238,6 +253,6 @@ def _block_children(node: Node, by_label: dict[str, list[Node]]):
             if text := item.strip():
                 yield text
         elif item.tag in BLOCK or (item.marked and item.tag not in RAW):
-            by_label.setdefault(item.label, []).append(item)
+            found.append(item)
         elif item.tag not in RAW:
             work.extend(reversed(item.children))

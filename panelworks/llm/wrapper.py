@@ -1,4 +1,4 @@
-"""Main text of web pages by wrapper induction: what same-host pages have in common is template."""
+"""Main text of web pages by wrapper induction: same-host pages are aligned, what they have in common is template."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.llm.dom import TEXTUAL, Shape, blocks, parse, path_of, skeleton
+from panelworks.llm.matching import REFERENCE_NODES, REFERENCES, Aligner, tree_of
 from panelworks.llm.staging import stored
 
 #: A node is constant if this share of the host's pages that have it agree on its text, two different pages at least.
@@ -37,9 +38,10 @@ def _listed(shape: Shape) -> list[Shape]:
 
 
 class Wrapper:
-    """The template of a host: the constant texts by path, and the paths of the content slot."""
+    """The template of a host: its reference trees, the constant texts by path, and the paths of the content slot."""
 
-    def __init__(self, votes: list[dict]) -> None:
+    def __init__(self, trees: list[list], votes: list[dict]) -> None:
+        self.aligner = Aligner.of(trees)
         self.constant: dict[int, int] = {}
         self.slot: set[int] = set()
         self.mates = bool(votes)
@@ -83,6 +85,7 @@ class Wrapper:
 
     def text(self, html: str) -> str:
         page = skeleton(parse(html))
+        self.aligner.align(page)
         varying = self._varying(page)
         slots = {s.path for s in _listed(page) if s.path in self.slot and varying[s.path]}
         slots = slots or {s.path for s in _slot(page, varying)}
@@ -175,9 +178,43 @@ def _articles(nodes: list[Shape], varying: dict[int, int], total: int) -> list[S
     return []
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """``host, votes``: what all pages of a host say of the paths that at least two different pages have.
+def references(pages: DataFrame) -> DataFrame:
+    """``host, trees``: the most frequent trees of labels of each host's pages that have text, as JSON."""
 
+    def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[str, int], list] = {}
+            for host, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                page = skeleton(parse(html or ""))
+                if not page.size:
+                    continue
+                tree = tree_of(page)
+                if tree.count <= REFERENCE_NODES:
+                    key = (host, tree.structure)
+                    if key not in seen:
+                        seen[key] = [json.dumps(tree.plain()), 0]
+                    seen[key][1] += 1
+            rows = [(*key, *v) for key, v in seen.items()]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "structure", "tree", "pages"])
+
+    found = pages.select("host", "html").mapInArrow(structures, "host string, structure long, tree string, pages long")
+    counted = found.groupBy("host", "structure").agg(F.sum("pages").alias("pages"), F.min("tree").alias("tree"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "structure"))
+    most = counted.withColumn("place", place).where(F.col("place") <= REFERENCES)
+    trees = F.transform(F.sort_array(F.collect_list(F.struct("place", "tree"))), lambda t: t["tree"])
+    return stored(most.groupBy("host").agg(F.to_json(trees).alias("trees")), "references")
+
+
+def trees_from(column: str | None) -> list[list]:
+    return [json.loads(tree) for tree in json.loads(column)] if column else []
+
+
+def induce(pages: DataFrame, trees: DataFrame) -> DataFrame:
+    """``host, trees, votes``: what all pages of a host say of the nodes that at least two different pages have.
+
+    Each page is aligned with the reference tree of its host that it matches best; a node's path is that of its mate.
     Pages without text and repeated pages say nothing about what is constant: a text counts once two pages that differ
     elsewhere agree on it.
     """
@@ -185,10 +222,14 @@ def induce(pages: DataFrame) -> DataFrame:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes: dict[tuple[str, int, int], list] = {}
-            for host, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            known: dict[str, Aligner] = {}
+            for host, html, trees in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 page = skeleton(parse(html or ""))
                 if not page.size:
                     continue
+                if host not in known:
+                    known[host] = Aligner.of(trees_from(trees))
+                known[host].align(page)
                 work = [(0, page)]
                 while work:
                     parent, shape = work.pop()
@@ -209,19 +250,22 @@ def induce(pages: DataFrame) -> DataFrame:
 
     said = [F.min(c).alias(c) for c in ("parent", "label", "unwanted", "marked", "low")] + [F.max("high").alias("high")]
     sums = [F.sum(c).alias(c) for c in ("pages", "own")]
-    texts = pages.select("host", "html").mapInArrow(vote, _VOTE).groupBy("host", "path", "text").agg(*said, *sums)
+    aligned = pages.join(trees.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    texts = aligned.select("host", "html", "trees").mapInArrow(vote, _VOTE).groupBy("host", "path", "text").agg(*said, *sums)
     best = F.max(F.struct(F.col("pages").alias("equal"), "text", (F.col("low") != F.col("high")).alias("several"))).alias("best")
     paths = texts.groupBy("host", "path").agg(*said, *sums, best).where("low != high")
     columns = ["path", "parent", "label", "unwanted", "marked", "pages", "own", "best.equal", "best.text", "best.several"]
     per_host = paths.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("votes"))
-    return stored(per_host.select("host", F.to_json("votes").alias("votes")), "wrappers")
+    made = per_host.select(F.col("host").alias("_host"), F.to_json("votes").alias("votes"))
+    joined = trees.join(made, F.col("host") == F.col("_host"), "left")
+    return stored(joined.select("host", "trees", "votes"), "wrappers")
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``page_id, url, text`` of every row.
 
-    The nodes of all pages of a host are brought together by their path of labels (same-labelled siblings merged). Nodes
-    whose text agrees on most of the pages that have them are template; the content slot is the articles, or else the
+    The pages of a host are aligned by simple tree matching with the host's most frequent trees; the nodes of all its
+    pages that are matched with the same node are brought together. Nodes whose text agrees on most of the pages that have them are template; the content slot is the articles, or else the
     innermost node with most of the varying text. Every block outside the template is taken, also beside the slot,
     without elements for menus, headers, footers, forms and scripts. A class, id or role that names a sidebar, notice,
     advert or the like is a hint: it drops an element outside the slot that does not hold most of the varying text. A
@@ -233,19 +277,19 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     rows = pages.select(
         F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host_of(F.col(url_column)).alias("host")
     )
-    wrappers = induce(rows).withColumnRenamed("host", "_host")
-    joined = rows.join(wrappers, F.col("host") == F.col("_host"), "left").select("id", "url", "html", "host", "votes")
+    wrappers = induce(rows, references(rows)).withColumnRenamed("host", "_host")
+    joined = rows.join(wrappers, F.col("host") == F.col("_host"), "left").select("id", "url", "html", "host", "trees", "votes")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str, Wrapper] = {}
             texts = []
-            for html, host, votes in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+            for html, host, trees, votes in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 if not html:
                     texts.append("")
                     continue
                 if host not in known:
-                    known[host] = Wrapper(json.loads(votes) if votes else [])
+                    known[host] = Wrapper(trees_from(trees), json.loads(votes) if votes else [])
                 texts.append(known[host].text(html))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
