@@ -346,13 +346,16 @@ def near_duplicates(
     star = weighed.groupBy("b").agg(F.max_by("a", F.struct("keys", F.bitwise_not("a"))).alias("a")).select("a", "b")
     links = _verified(_bounded(star, points, percent), rows, length, percent)
     labels = components(links)
-    labelled = members.select("key", "id", "n", "place").join(broadcast_if_small(labels, IDS), F.col("id") == F.col("node"), "left").select(
-        "key", "id", "n", "place", F.coalesce("label", "id").alias("label")
-    )
-    labelled = stored(labelled, "jaccard-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    components_of = broadcast_if_small(labels, IDS)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        with_label = rows.select("key", "id", "n", "place").join(components_of, F.col("id") == F.col("node"), "left")
+        return with_label.select("key", "id", "n", "place", F.coalesce("label", "id").alias("label"))
+
+    # Only the few buckets of several components are written with their labels.
+    mixed = labelled(members).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = stored(mixed.select("key"), "jaccard-mixed")
-    open_ = labelled.join(broadcast_if_small(mixed, IDS), "key").select("key", "id", "n", "place", "label")
+    open_ = stored(labelled(members.join(broadcast_if_small(mixed, IDS), "key", "left_semi")), "jaccard-open")
     more = _verified(_candidates(open_, points, percent), rows, length, percent)
     labels = components(links.unionByName(more))
 
