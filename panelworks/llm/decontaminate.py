@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from panelworks.llm.staging import broadcast_if_small, stored
+from panelworks.llm.staging import bound_batches, broadcast_if_small, stored
 from panelworks.llm.words import hashes, runs, scramble, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -22,8 +22,8 @@ ITEMS, ITEM_CHARS = 20_000, 1 << 23
 #: block at least, so looking up every block with one bit turned finds all of them.
 BLOCKS = 8
 RADIUS = 2 * BLOCKS - 1
-#: Windows whose bits are summed at a time.
-_WINDOWS = 1 << 14
+#: Windows whose bits are summed at a time, and pairs of windows and items whose fingerprints are compared at a time.
+_WINDOWS, _PAIRS = 1 << 12, 1 << 19
 _FILTER_BITS = 20
 _BREAKS = np.ones(256, dtype=bool)
 _BREAKS[128:] = False
@@ -31,10 +31,15 @@ _BREAKS[48:58] = _BREAKS[97:123] = False
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice of lower-cased texts: first row, word hashes, their owners, number of texts. Punctuation separates."""
-    for first, data, offsets in slices(pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))):
-        begins, ends, owner = words(data, offsets, _BREAKS)
-        yield first, hashes(data, begins, ends, seed=3), owner, len(offsets) - 1
+    """Per slice of lower-cased texts: first row, word hashes, their owners, number of texts. Punctuation separates.
+
+    Only a slice at a time is lowered, never a whole batch.
+    """
+    for first, _, raw in slices(column):
+        own = pc.utf8_lower(column.slice(first, len(raw) - 1).cast(pa.large_string()).fill_null(""))
+        for within, data, offsets in slices(own):
+            begins, ends, owner = words(data, offsets, _BREAKS)
+            yield first + within, hashes(data, begins, ends, seed=3), owner, len(offsets) - 1
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -74,16 +79,22 @@ class _Fingerprints:
             self.blocks.append((np.searchsorted(values[order], np.arange(257)), order // len(turned)))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``prints`` and the items within RADIUS of them, each pair once."""
-        pairs = []
+        """Places in ``prints`` and the items within RADIUS of them, each pair once. At most _PAIRS are looked at at a
+        time, or those of one window."""
+        found = [np.zeros(0, np.int64)]
         for values, (edges, members) in zip(prints.view(np.uint8).reshape(-1, BLOCKS).T, self.blocks):
             low, high = edges[values], edges[values.astype(np.int64) + 1]
-            place = np.repeat(np.arange(len(prints)), high - low)
-            item = members[_ranges(low, high - 1)]
-            near = np.bitwise_count(prints[place] ^ self.prints[item]) <= RADIUS
-            pairs.append(place[near] * len(self.items) + item[near])
-        found = np.unique(np.concatenate(pairs))
-        return found // len(self.items), self.items[found % len(self.items)]
+            upto = np.cumsum(high - low)
+            begin = 0
+            while begin < len(prints):
+                end = max(int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + _PAIRS, "right")), begin + 1)
+                place = np.repeat(np.arange(begin, end), (high - low)[begin:end])
+                item = members[_ranges(low[begin:end], high[begin:end] - 1)]
+                near = np.bitwise_count(prints[place] ^ self.prints[item]) <= RADIUS
+                found.append(place[near] * len(self.items) + item[near])
+                begin = end
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.items), self.items[pairs % len(self.items)]
 
 
 @dataclass
@@ -266,6 +277,7 @@ def find_passages(
     repeats decides. Null and empty texts match nothing; repeated rows match alike; a null id stays null; empty tables
     give no rows. A benchmark beyond ITEMS takes several passes, each written before the next is prepared.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     found = None
     parts, passes = _passes(benchmark, item_column, item_text_column)
@@ -297,6 +309,7 @@ def drop_contaminated(
     One pass is a filter, nothing is shuffled. Several passes write the digests of the texts they find, and equal texts
     go with them.
     """
+    bound_batches(docs.sparkSession)
     parts, passes = _passes(benchmark, item_column, item_text_column)
     text, found = F.col(f"`{text_column}`"), None
     for passages in passes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelworks.llm.bits import collect_bits, holds
 from panelworks.llm.components import components
 from panelworks.llm.rtree import CountTree, needed
-from panelworks.llm.staging import broadcast_if_small, id_or_null, known_id, stored
+from panelworks.llm.staging import bound_batches, broadcast_if_small, id_or_null, known_id, stored
 from panelworks.llm.words import fold, group_edges, hashes, runs, scramble, slices, whole_groups, words
 
 #: Coordinates of a count vector.
@@ -327,6 +327,7 @@ def near_duplicates(
     overlap bound, the sum of coordinate minima, allows the similarity; these are verified on the shingles. Pairs
     inside a component are never made, so a group of thousands of copies costs one comparison each.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(known_id(id_column).alias("id"), F.col(text_column).alias("text"))
     known = stored(_prefixes(rows, length, percent), "jaccard-sets")
     some = known.where("n > 0")

@@ -12,6 +12,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside an operator: it sorts before every other one.
 NO_ID = -(1 << 63)
+#: Bytes of rows in one batch for Python.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python BATCH_BYTES at a time (or one row that is longer), where the session does not say
+    otherwise: a batch is held by the executor and by its worker, for each core."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(frame: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``frame`` once and read it back, so that a lost executor costs a re-read and later steps see its size.
 

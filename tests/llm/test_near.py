@@ -255,3 +255,16 @@ def test_empty_tables(spark, none):
     assert decontaminate.find_passages(none, bench).count() == decontaminate.drop_contaminated(none, bench).count() == 0
     assert decontaminate.find_passages(bench.withColumnRenamed("item_id", "doc_id"), bench.limit(0)).count() == 0
     assert repeats.without_repeats(none).count() == suffixes.without_repeated_strings(none).count() == 0
+
+
+def test_fingerprints_within_the_radius_are_found_however_few_pairs_are_looked_at(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    turned = np.array([sum(1 << int(b) for b in rng.choice(64, n % 20, replace=False)) for n in range(300)], np.uint64)
+    prints = items[np.arange(300) % 40] ^ turned
+    index = decontaminate._Fingerprints(np.arange(100, 140), items)
+    want = {(p, 100 + i) for p in range(300) for i in range(40) if int(prints[p] ^ items[i]).bit_count() <= decontaminate.RADIUS}
+    for pairs in (1, 50, 1 << 19):
+        monkeypatch.setattr(decontaminate, "_PAIRS", pairs)
+        assert set(zip(*(x.tolist() for x in index.within(prints)))) == want
+    assert [len(x) for x in index.within(prints[:0])] == [0, 0]
