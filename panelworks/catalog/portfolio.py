@@ -11,6 +11,7 @@ from panelworks.catalog.sources import staged
 from panelworks.operators import metrics as mt
 from panelworks.operators import portfolio as pf
 from panelworks.operators import sizing as sz
+from panelworks.operators import veto as vt
 from panelworks.operators.panel import trade_prices
 from panelworks.operators.stage import materialize
 from panelworks.sinks import tables as sink
@@ -282,6 +283,11 @@ def order_counts(spark, sf_dir):
 def sized_screen(spark, sf_dir):
     p = market.stored_panel(spark, sf_dir)
     _, positions, best = _plan_inputs(spark, sf_dir)
+    return _sized(spark, sf_dir, p, best, positions)
+
+
+def _sized(spark, sf_dir, p, best, positions):
+    """The screen of the names in ``best``, weighted by inverse volatility."""
     sized = sz.inverse_vol_weights(best, sz.prior_volatility(p.prices, tables.prior_ends(p), 21))
     held = tables.current_holdings(tables.snapshots(spark, sf_dir))
     scores = best.select("date", "symbol", "score")
@@ -289,6 +295,41 @@ def sized_screen(spark, sf_dir):
     return r4(out.drop("date"), "weight", "composite_score", digits=6)
 
 
+# The screen after the vetoes: the three best names of the last scored date that no forecast rule drops.
+cte(
+    "spared",
+    """SELECT date, symbol, score, rank FROM (SELECT date, symbol, score, row_number() OVER (ORDER BY score DESC, symbol) AS rank
+    FROM judged WHERE reason IS NULL AND date = (SELECT max(date) FROM judged)) WHERE rank <= 3""",
+    ("judged",),
+)
+cte(
+    "spared_weights",
+    """SELECT symbol, rank, score, CASE WHEN count(*) OVER () > 1 THEN inv / sum(inv) OVER () ELSE 1 END AS weight FROM (
+    SELECT s.*, CASE WHEN v.vol IS NULL THEN 1000 ELSE 1 / greatest(v.vol, 0.001) END AS inv FROM spared s
+    LEFT JOIN prior_vol v ON v.symbol = s.symbol AND v.date = s.date)""",
+    ("spared", "prior_vol"),
+)
+
+
+@query(
+    "pf_08_vetoed_screen",
+    check_sql(
+        """SELECT CAST(row_number() OVER (ORDER BY v.weight DESC, v.rank) AS INTEGER) AS rank, v.symbol, round(v.weight, 6) AS weight,
+        round(v.score, 6) AS composite_score, h.name, h.sector, CASE WHEN p.symbol IS NULL THEN 'BUY' ELSE 'HOLD' END AS action
+        FROM spared_weights v LEFT JOIN current_holdings h ON h.ticker = v.symbol LEFT JOIN plan_positions p ON p.symbol = v.symbol""",
+        "spared_weights",
+        "current_holdings",
+        "plan_positions",
+    ),
+)
+def vetoed_screen(spark, sf_dir):
+    p = market.stored_panel(spark, sf_dir)
+    _, positions, _ = _plan_inputs(spark, sf_dir)
+    judged = materialize(sizing.judged_scores(spark, sf_dir, p, sizing.RULES), "judged")
+    spared = vt.spared(judged, judged.agg(F.max("date").alias("date")))
+    return _sized(spark, sf_dir, p, sz.top_n_equal_weights(spared.select("date", "symbol", "score"), 3), positions)
+
+
 def published(spark, sf_dir):
     """A run's equity, trades, selections and summary as JSON, published together; returns where."""
     p = market.stored_panel(spark, sf_dir)

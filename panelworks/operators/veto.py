@@ -94,6 +94,12 @@ def sequential_vetoes(scores: DataFrame, rules: Sequence[tuple[str, str, float]]
     return scores.withColumn("reason", reason)
 
 
+def spared(judged: DataFrame, dates: DataFrame) -> DataFrame:
+    """What :func:`sequential_vetoes` left of the sessions in ``dates``. A session all of whose names were dropped has
+    none: nothing is carried over from an earlier one."""
+    return judged.filter("reason is null").join(F.broadcast(dates), "date", "left_semi").drop("reason")
+
+
 def apply_veto(scores: DataFrame, vetoes: DataFrame) -> DataFrame:
     return scores.join(vetoes.filter("vetoed").select("symbol", "date"), ["symbol", "date"], "left_anti")
 

@@ -79,6 +79,17 @@ def test_first_failing_rule_is_the_reason(spark):
     assert [r[-1] for r in rows(out, "i")] == ["first", "second", None]
 
 
+def test_screen_takes_what_the_vetoes_left_of_its_session(spark):
+    data = [("2024-01-01", "A", 1.0, 9.0), ("2024-01-02", "A", 1.0, 0.1), ("2024-01-02", "B", 2.0, None), ("2024-01-02", "C", 3.0, 0.4)]
+    f = spark.createDataFrame([(D(d), *r) for d, *r in data], "date date, symbol string, score double, a double")
+    judged = vt.sequential_vetoes(f, [("low", "a", 0.3)])
+    last = judged.agg(F.max("date").alias("date"))
+    assert rows(vt.spared(judged, last).select("symbol", "score"), "symbol") == [("B", 2.0), ("C", 3.0)]
+    # All names of the session dropped: nothing is left, the session before does not stand in.
+    strict = vt.sequential_vetoes(f.filter("a is not null"), [("low", "a", 0.5)])
+    assert rows(vt.spared(strict, last)) == []
+
+
 def test_missing_forecast_is_not_vetoed(spark):
     days = business_days("2024-01-01", 10)
     p = panel(spark, {"A": [1.0] * 10, "B": [1.0] * 10}, days, volume=100.0)
