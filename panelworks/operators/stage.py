@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``, or else a folder of the session's warehouse, which executors
-    share as well. The caller's settings stay as they are."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stage"
-    return configured.rstrip("/")
+    """The shared folder named in ``spark.checkpoint.dir``. Without it a local session uses a folder of its warehouse; on
+    a cluster that folder is the driver's own unless set, so there the setting is required. The caller's settings stay
+    as they are."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stage"
 
 
 def materialize(frame: DataFrame, label: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ import __spark_entry__ as entry
 from check_queries import TABLES, compare
 
 from panelworks.catalog import load_all
+from panelworks.operators.stage import stage_dir
 
 WITHOUT_SQL = {"pf_04_keep_overlap_equity"}
 
@@ -53,3 +55,19 @@ def test_flagship(spark):
 def test_matches_sql(spark, con, sf_dir, name):
     ok, note = compare(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name], con)
     assert ok, note
+
+
+@pytest.mark.parametrize(
+    "master, shared, folder",
+    [("yarn", "hdfs:/ck/", "hdfs:/ck"), ("local[2]", None, "/w/_stage"), ("local", None, "/w/_stage"), ("yarn", None, None), ("local-cluster[2,1,1024]", None, None)],
+)
+def test_stages_go_to_a_shared_folder(master, shared, folder):
+    settings = {"spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": "/w/"}
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default=None: settings[name] or default), sparkContext=SimpleNamespace(master=master)
+    )
+    if folder is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            stage_dir(session)
+    else:
+        assert stage_dir(session) == folder
