@@ -66,34 +66,41 @@ def sample_candidates(
     seed: int,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Random parameter sets, one per row of ``candidates(candidate_id)``, without repeats.
+    """Random parameter sets, one per row of ``candidates(candidate_id)``, without repeats: of equal sets the smallest
+    candidate stays. A null candidate draws nothing.
 
     Which paths change, how many and to what is decided by hashes of the seed, the candidate and the
     option, so a sample does not depend on partitioning. Options equal to the base value are not drawn.
     Parameter sets already ``seen`` (column ``config_hash``) are dropped.
+
+    A candidate's draw is one expression over its row; only distinct sets of each task are shuffled.
     """
-    spark = candidates.sparkSession
-    rows = [(p, float(v)) for p, options in space.items() for v in options if float(v) != float(base[p])]
-    options = spark.createDataFrame(rows, "path string, value double")
+    paths = sorted(space)
+    options = {p: [float(v) for v in space[p] if float(v) != float(base[p])] for p in paths}
+    open_paths = [p for p in paths if options[p]]
 
     def draw(*parts: Column | str) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
+    def drawn(path: str) -> Column:
+        """The option of ``path`` whose hash is the smallest."""
+        made = [F.struct(draw("candidate_id", F.lit(path), F.lit(v).cast("string")).alias("hash"), F.lit(v).alias("value")) for v in options[path]]
+        return F.array_min(F.array(*made))["value"]
+
     changes = F.conv(F.substring(draw("candidate_id"), 1, 8), 16, 10).cast("bigint") % max_changes + 1
-    text = F.col("value").cast("string")
-    drawn = candidates.select("candidate_id").withColumn("_k", changes).crossJoin(F.broadcast(options))
-    by_path = Window.partitionBy("candidate_id", "path").orderBy(draw("candidate_id", "path", text))
-    one_each = drawn.withColumn("_rn", F.row_number().over(by_path)).filter("_rn = 1")
-    by_candidate = Window.partitionBy("candidate_id").orderBy(draw("candidate_id", "path"))
-    picked = one_each.withColumn("_rn", F.row_number().over(by_candidate)).filter("_rn <= _k")
-    changed = picked.groupBy("candidate_id").agg(
-        *[F.max(F.when(F.col("path") == p, F.col("value"))).alias(f"_{p}") for p in sorted(space)]
-    )
-    params = F.struct(*[F.coalesce(f"_{p}", F.lit(float(base[p]))).alias(p) for p in sorted(space)])
-    out = changed.select("candidate_id", params.alias("params"))
+    ranked = F.array_sort(F.array(*[F.struct(draw("candidate_id", F.lit(p)).alias("hash"), F.lit(p).alias("path")) for p in open_paths]))
+    rows = candidates.select("candidate_id").where("candidate_id IS NOT NULL" if open_paths else "false")
+    if open_paths:
+        rows = rows.withColumn("_picked", F.transform(F.slice(ranked, F.lit(1), changes.cast("int")), lambda x: x["path"]))
+    values = [
+        F.when(F.array_contains("_picked", p), drawn(p)).otherwise(F.lit(float(base[p]))) if options[p] else F.lit(float(base[p]))
+        for p in paths
+    ]
+    sets = rows.select("candidate_id", *[v.alias(f"_{i}") for i, v in enumerate(values)])
+    distinct = sets.groupBy(*[f"_{i}" for i in range(len(paths))]).agg(F.min("candidate_id").alias("candidate_id"))
+    params = F.struct(*[F.col(f"_{i}").alias(p) for i, p in enumerate(paths)])
+    out = distinct.select("candidate_id", params.alias("params"))
     out = out.withColumn("config_hash", config_hash(F.col("params")))
-    first = Window.partitionBy("config_hash").orderBy("candidate_id")
-    out = out.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
     return out if seen is None else out.join(seen.select("config_hash"), "config_hash", "left_anti")
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from helpers import D, business_days, one_key, panel, rows
 from pyspark.sql import functions as F
@@ -120,6 +122,28 @@ def test_sampled_candidates_are_new(spark):
     assert sw.sample_candidates(ids.repartition(3), space, base, 2, 7, seen).count() == 3
 
 
+def test_candidates_are_drawn_in_their_rows(spark):
+    space, base = {"a": [1, 2, 3], "b": [5, 6], "c": [0, 7, 8, 9], "d": [4]}, {"a": 1, "b": 5, "c": 0, "d": 4}
+
+    def md5(*parts):
+        return hashlib.md5(":".join(map(str, ("11", *parts))).encode()).hexdigest()
+
+    want = {}
+    for i in (*range(1, 40), 3, 3):
+        k = int(md5(i)[:8], 16) % 2 + 1
+        picked = sorted("abc", key=lambda p: md5(i, p))[:k]
+        new = {p: min((float(v) for v in space[p] if v != base[p]), key=lambda v: md5(i, p, v)) for p in picked}
+        key = tuple(new.get(p, float(base[p])) for p in "abcd")
+        want[key] = min(i, want.get(key, i))
+    ids = spark.createDataFrame([(i,) for i in (None, *reversed(range(1, 40)), 3, 3)], "candidate_id long").repartition(3)
+    out = sw.sample_candidates(ids, space, base, 2, 11)
+    assert {tuple(r.params): r.candidate_id for r in out.collect()} == want and out.count() == len(want)
+    # One candidate's options never make rows, and sets that thousands of candidates draw meet in no task's sort.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert sw.sample_candidates(ids, {"d": [4]}, {"d": 4}, 2, 11).count() == 0
+
+
 def test_pinball(spark):
     pairs = spark.createDataFrame([(1.0, 0.0, 0.0)], "y double, q0 double, mean double")
     assert fc.pinball(pairs, [0.9]).first()[:] == pytest.approx((0.9, 1.0))
