@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelworks.llm.bits import collect_bits, holds
@@ -85,7 +86,7 @@ def _histogram(texts: DataFrame, length: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, length: int, percent: int) -> DataFrame:
-    """``id, n, sig, sig2, vector, keys`` of each text: its set's size, two sums that name the set, the numbers of
+    """Stored ``id, n, sig, sig2, vector, keys`` of each text: its set's size, two sums that name the set, the numbers of
     shingles per group, and the rarest shingles, of which two sets that similar share one."""
     spark = rows.sparkSession
     frequency = spark.sparkContext.broadcast(_histogram(rows.select("text"), length))
@@ -119,12 +120,15 @@ def _prefixes(rows: DataFrame, length: int, percent: int) -> DataFrame:
                     ["id", "n", "sig", "sig2", "vector", "keys"],
                 )
 
-    return rows.mapInArrow(describe, "id long, n long, sig long, sig2 long, vector binary, keys array<long>")
+    schema = "id long, n long, sig long, sig2 long, vector binary, keys array<long>"
+    made = stored(rows.mapInArrow(describe, schema), "jaccard-sets")
+    frequency.unpersist()
+    return made
 
 
-def _shared_keys(known: DataFrame, rep: DataFrame) -> DataFrame:
+def _shared_keys(known: DataFrame, rep: DataFrame) -> tuple[DataFrame, Broadcast]:
     """``key, id, n, place``: the prefix keys that may be in two sets or more, with their rank in the set, of the sets in
-    ``rep``. Keys meet ``rep`` as one row per set."""
+    ``rep``. Keys meet ``rep`` as one row per set. Also the filter it uses, to be given back when the rows are stored."""
     twice = known.sparkSession.sparkContext.broadcast(collect_bits(known.select("keys"), _flat_keys, 2)[0])
     own = ["id", "n", "sig", "sig2"]
 
@@ -151,7 +155,7 @@ def _shared_keys(known: DataFrame, rep: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "place"])
 
     packed = known.mapInArrow(keep, "id long, n long, sig long, sig2 long, keys binary, places binary")
-    return packed.join(rep, own, "left_semi").mapInArrow(spread, "key long, id long, n long, place long")
+    return packed.join(rep, own, "left_semi").mapInArrow(spread, "key long, id long, n long, place long"), twice
 
 
 def _members(keyed: DataFrame) -> DataFrame:
@@ -329,12 +333,14 @@ def near_duplicates(
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(known_id(id_column).alias("id"), F.col(text_column).alias("text"))
-    known = stored(_prefixes(rows, length, percent), "jaccard-sets")
+    known = _prefixes(rows, length, percent)
     some = known.where("n > 0")
     firsts = stored(some.groupBy("sig", "sig2", "n").agg(F.min("id").alias("rep")), "jaccard-firsts")
     rep = firsts.select(F.col("rep").alias("id"), "sig", "sig2", "n")
     own = ["id", "sig", "sig2", "n"]
-    members = stored(_members(_shared_keys(known, rep)), "jaccard-members")
+    shared, twice = _shared_keys(known, rep)
+    members = stored(_members(shared), "jaccard-members")
+    twice.unpersist()
     points = some.select(*own, "vector").join(rep, own, "left_semi").dropDuplicates(own).select("id", "n", "vector")
     points = stored(points, "jaccard-points")
 

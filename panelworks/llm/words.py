@@ -8,8 +8,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 20
+#: Bytes of text worked on at once; a longer text is a slice of its own. A byte takes 64 in arrays of hashes and powers.
+SLICE = 1 << 18
+#: Powers that a worker keeps of a base, at most; for longer texts they are made anew.
+_KEPT = 1 << 22
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -71,13 +73,13 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of an odd base modulo 2**64 and of its inverse."""
     known = _POWERS.get(base)
     if known is None or len(known[0]) <= n:
-        size = max(n + 1, SLICE + 1)
+        size = -(-(n + 1) // SLICE) * SLICE
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             column = np.full(size, b, dtype=np.uint64)
             column[0] = 1
             made.append(np.cumprod(column, dtype=np.uint64))
-        if n > 4 * SLICE:
+        if n > _KEPT:
             return made[0], made[1]
         _POWERS[base] = known = (made[0], made[1])
     return known

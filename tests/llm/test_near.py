@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelworks.llm import components, decontaminate, jaccard, repeats, suffixes
+from panelworks.llm import components, decontaminate, jaccard, repeats, suffixes, words
 from panelworks.llm.columns import insert_columns
 from panelworks.llm.rtree import CountTree, needed
 from tests.llm.conftest import prose
@@ -268,3 +269,15 @@ def test_fingerprints_within_the_radius_are_found_however_few_pairs_are_looked_a
         monkeypatch.setattr(decontaminate, "_PAIRS", pairs)
         assert set(zip(*(x.tolist() for x in index.within(prints)))) == want
     assert [len(x) for x in index.within(prints[:0])] == [0, 0]
+
+
+def test_sets_of_many_texts_take_little_memory():
+    texts = pa.array([prose(i, 2000) for i in range(300)], pa.string())
+    words._POWERS.clear()
+    tracemalloc.start()
+    whole = [s[a:b].tobytes() for _, s, limits in jaccard._sets(texts, 5) for a, b in zip(limits[:-1], limits[1:])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    alone = [s.tobytes() for text in texts for _, s, _ in jaccard._sets(pa.array([text]), 5)]
+    assert whole == alone
