@@ -76,6 +76,28 @@ def test_quality_on_hard_rows(spark, hard, none):
     assert {(round(r.score, 9), r.predicted) for r in one} == {(0.7, 1)}
 
 
+def test_ranking_learns_from_every_row_and_pair(spark):
+    rng = np.random.default_rng(2)
+    features, labels = rng.normal(size=(300, quality.FEATURES)), rng.integers(0, 2, 300)
+    features[:, 3] += labels
+    data = [(x.tolist(), int(y)) for x, y in zip(features, labels)]
+    one, other = (quality.fit_rows(spark.createDataFrame(data, "features array<double>, label int").repartition(k)) for k in (1, 5))
+    assert (one[0] == other[0]).all() and one[1] == other[1]
+    assert np.isclose(one[1], np.quantile(features @ one[0], (labels == 0).mean(), method="midpoint"), rtol=1e-12)
+    scale = features.std(axis=0)
+    apart = ((features[labels == 1][:, None] - features[labels == 0][None]) / scale).reshape(-1, quality.FEATURES)
+    w = one[0] * scale
+    slope = apart.T @ (1 / (1 + np.exp(apart @ w))) / len(apart) - quality.RIDGE * w
+    assert np.abs(slope).max() < 2e-5
+
+
+def test_score_of_a_rank_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PICKED", 3)
+    values = np.concatenate((np.random.default_rng(4).normal(size=500) ** 5, np.full(40, 0.25)))
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(3)
+    assert [quality._ranked(scores, k) for k in (0, 270, 539)] == np.sort(values)[[0, 270, 539]].tolist()
+
+
 def test_ranking_orders_a_separable_sample():
     rng = np.random.default_rng(1)
     features = rng.normal(size=(400, 5))
